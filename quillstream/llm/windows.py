@@ -1,0 +1,26 @@
+"""Hashes of word windows as native array expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _joined(df: DataFrame, out: str, a: str, b: str, skip: int) -> DataFrame:
+    """out[i] = hash(a[i], b[i + skip]), as long as both exist."""
+    n = f"greatest(size({b}) - {skip}, 0)"
+    return df.withColumn(out, F.expr(f"zip_with(slice({a}, 1, {n}), slice({b}, {skip + 1}, {n}), (x, y) -> xxhash64(x, y))"))
+
+
+def window_hashes(df: DataFrame, words: str, size: int, out: str) -> DataFrame:
+    """Adds ``out``: a 64-bit hash of each window of ``size`` (3 or 5) neighbouring words; empty for fewer words.
+
+    Words are hashed once; wider windows are hashes of two narrower ones, which costs less than indexing the words of
+    every window.
+    """
+    df = df.withColumn("_h1", F.expr(f"transform({words}, x -> xxhash64(x))"))
+    df = _joined(df, "_h2", "_h1", "_h1", 1)
+    if size == 3:
+        return _joined(df, out, "_h2", "_h1", 2).drop("_h1", "_h2")
+    df = _joined(df, "_h4", "_h2", "_h2", 2)
+    return _joined(df, out, "_h4", "_h1", 4).drop("_h1", "_h2", "_h4")

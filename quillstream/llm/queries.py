@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.decontamination import contaminated
+from quillstream.llm.near_duplicates import near_duplicates
+from quillstream.llm.pii import personal_data
 from quillstream.llm.quality_rules import quality_rules
+from quillstream.llm.sentencepiece_codec import tokens
+
+#: The tokenizer file of op2 and of the pipeline's last stage.
+TOKENIZER = os.environ.get("QUILLSTREAM_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +25,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op8_pii": op8_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

@@ -10,7 +10,7 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.staging import stage
@@ -28,17 +28,18 @@ RATIOS = {
 REACH, MIN_DOCS = 4, 200
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each document; null or empty texts count 0 everywhere.
+def text_counts(docs: DataFrame, *carry: Column) -> DataFrame:
+    """doc_id, lang, source, the columns ``carry`` and the counts of each document; null or empty texts count 0.
 
     Repeated 3-word windows are found in the row itself: hashes of the windows are sorted with their positions, so
     equal windows are neighbours; nothing is shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select("doc_id", "lang", "source", text.alias("_text"), F.array_remove(F.split(text, SPACE), "").alias("_w"), lines.alias("_l"))
+    df = docs.select("doc_id", "lang", "source", *carry, text.alias("_text"), F.array_remove(F.split(text, SPACE), "").alias("_w"), lines.alias("_l"))
+    carried = [c for c in df.columns if c not in ("_text", "_w", "_l")]
     df = df.select(
-        "doc_id", "lang", "source", "_w",
+        *carried, "_w",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -48,7 +49,11 @@ def text_counts(docs: DataFrame) -> DataFrame:
     df = window_hashes(df, "_w", 3, "_h")
     df = df.withColumn("_s", F.expr("if(size(array_distinct(_h)) < size(_h), sort_array(transform(_h, (h, i) -> struct(h, i))), cast(array() as array<struct<h: bigint, i: int>>))"))
     df = df.withColumn("_p", F.expr("array_sort(transform(filter(transform(_s, (e, k) -> struct(e.i as i, coalesce(e.h = get(_s, k - 1).h, false) or coalesce(e.h = get(_s, k + 1).h, false) as twice)), e -> e.twice), e -> e.i))"))
-    return df.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (v, k) -> least(3, coalesce(get(_p, k + 1) - v, 3))), 0L, (a, x) -> a + x)")).drop("_w", "_h", "_s", "_p")
+    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (v, k) -> least(3, coalesce(get(_p, k + 1) - v, 3))), 0L, (a, x) -> a + x)"))
+    # a generator keeps filters on the counts above it; below, they would be repeated for each element of the arrays
+    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    kept = [c for c in carried if c != "_w"]
+    return df.select(*kept, F.explode_outer(F.array(F.struct(*counts))).alias("_c")).select(*kept, "_c.*")
 
 
 def _ratio(name: str):
@@ -94,9 +99,26 @@ def quality_rules(docs: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS)
     """
     counts = stage(text_counts(docs), "quality-counts")
     fences = stage(limits(sketches(counts), reach, min_docs), "quality-limits")
+    judged = _judged(counts, fences)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
+
+
+def _judged(counts: DataFrame, fences: DataFrame) -> DataFrame:
+    """Adds base_failed and kept, joined by language and source."""
     fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     inside = F.lit(True)
     for k in RATIOS:
         inside = inside & F.coalesce(_ratio(k).between(F.col(f"lo_{k}"), F.col(f"hi_{k}")), F.lit(True))
-    return counts.join(fences, F.expr("lang <=> _lang and source <=> _source"), "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & inside).alias("kept"), "n_lines")
+    joined = counts.join(fences, F.expr("lang <=> _lang and source <=> _source"), "left")
+    return joined.withColumn("base_failed", base).withColumn("kept", ~base & inside)
+
+
+def quality_filter(docs: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their own columns.
+
+    The counts are made again beside each row instead of being joined to it, which would shuffle the texts.
+    """
+    fences = stage(limits(sketches(text_counts(docs)), reach, min_docs), "quality-limits")
+    counts = text_counts(docs, F.struct("*").alias("_row"))
+    return _judged(counts, fences).where("kept").select("_row.*")

@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.decontamination import contaminated
+from quillstream.llm.html_text import extract
 from quillstream.llm.near_duplicates import near_duplicates
 from quillstream.llm.pii import personal_data
 from quillstream.llm.quality_rules import quality_rules
+from quillstream.llm.secrets import secret_spans
 from quillstream.llm.sentencepiece_codec import tokens
+from quillstream.llm.sharding import sharded
+from quillstream.llm.warc_zip import archived
 
 #: The tokenizer file of op2 and of the pipeline's last stage.
 TOKENIZER = os.environ.get("QUILLSTREAM_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
@@ -33,10 +37,26 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc": op4_warc,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_html_extraction": op7_html_extraction,
     "op8_pii": op8_pii,
+    "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

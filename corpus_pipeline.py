@@ -1,12 +1,57 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before it kept.
+
+1. quality: documents that the quality rules reject go.
+2. near_duplicates: of each group of near duplicates the document with the smallest doc_id stays.
+3. decontamination: documents that hold a benchmark item go.
+4. secrets: values that look like live credentials are replaced in the text; copied examples stay.
+5. tokens: doc_id, lang, source, n_tokens, token_ids and round_trip of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstream.llm.decontamination import contaminated
+from quillstream.llm.near_duplicates import near_duplicates
+from quillstream.llm.quality_rules import quality_filter
+from quillstream.llm.queries import TOKENIZER
+from quillstream.llm.secrets import redact_live
+from quillstream.llm.sentencepiece_codec import tokens
+from quillstream.llm.staging import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_filter(docs)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(stage(kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(stage(found, "contaminated"), F.col("doc_id") == F.col("_found"), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact_live(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens(docs, TOKENIZER, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("decontamination", decontamination), ("secrets", secrets), ("tokens", encode)]
 
-STAGES: list = []
+#: Near duplicates and token ids have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; every stage's result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

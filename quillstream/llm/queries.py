@@ -15,6 +15,7 @@ from quillstream.llm.quality_rules import quality_rules
 from quillstream.llm.secrets import secret_spans
 from quillstream.llm.sentencepiece_codec import tokens
 from quillstream.llm.sharding import sharded
+from quillstream.llm.suffix_dedup import remove_repeats
 from quillstream.llm.warc_zip import archived
 
 #: The tokenizer file of op2 and of the pipeline's last stage.
@@ -41,6 +42,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc": op4_warc,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_html_extraction": op7_html_extraction,
     "op8_pii": op8_pii,

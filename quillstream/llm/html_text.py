@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillstream.llm.staging import map_arrow
+
 #: HTML's elements without an end, and those that are part of a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -164,4 +166,4 @@ def extract(pages: DataFrame) -> DataFrame:
     An empty table gives no rows.
     """
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")
+    return map_arrow(pages.select("page_id", "url", "html"), _extract, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.staging import stage
+from quillstream.llm.staging import map_arrow, stage
 
 #: kind -> (pattern, group that holds the value, its least length). The order is the order of kinds at one start.
 BASE = {
@@ -60,7 +60,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     repository = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
     rows = docs.select("doc_id", "text", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
     kinds = dict(rows.dtypes)
-    rows = rows.mapInArrow(_scan, f"doc_id {kinds['doc_id']}, owner string, repository string, spans {SPANS}")
+    rows = map_arrow(rows, _scan, f"doc_id {kinds['doc_id']}, owner string, repository string, spans {SPANS}")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     each = rows.where("size(spans) > 0").select("row", "owner", "repository", F.explode("spans").alias("m"))
     held = each.select(F.col("m.value").alias("value"), "owner", "repository").distinct()

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.bytehash import U64, mix, powers
+from quillstream.llm.staging import map_arrow
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -261,4 +262,4 @@ def tokens(docs: DataFrame, model: str, bpe: bool = True, keep: tuple[str, ...]
                     yield pa.record_batch([*(batch.column(c)[a:b] for c in keep), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32))), pa.array(same)], [*keep, "n_tokens", "token_ids", "round_trip"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_tokens bigint, token_ids array<int>, round_trip boolean")
+    return map_arrow(docs.select(*keep, "text"), run, f"{kinds}, n_tokens bigint, token_ids array<int>, round_trip boolean")

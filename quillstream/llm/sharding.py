@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.staging import new_folder, stage
+from quillstream.llm.staging import map_arrow, new_folder, stage
 
 SHARDS, SEED = 16, 20240501
 #: Bytes of text in a bucket, which is shuffled in a task's memory, and in a partition, which holds whole buckets.
@@ -72,7 +72,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     dealt = scattered.repartition(partitions, "_shuffle_bucket").join(places.selectExpr("bucket as _shuffle_at", "first as _shuffle_first"), F.col("_shuffle_bucket") == F.col("_shuffle_at"))
     dealt = dealt.sortWithinPartitions("_shuffle_bucket", "_shuffle_key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", `_shuffle_rank` bigint"
-    mixed = dealt.mapInArrow(shuffle, schema).withColumn("_shuffle_place", F.expr("_shuffle_first + _shuffle_rank"))
+    mixed = map_arrow(dealt, shuffle, schema).withColumn("_shuffle_place", F.expr("_shuffle_first + _shuffle_rank"))
     # shard s begins at place ceil(s * rows / shards)
     placed = mixed.withColumn("shard", F.expr(f"cast(_shuffle_place * {shards} div {max(rows, 1)} as int)"))
     placed = placed.withColumn("slot", F.expr(f"_shuffle_place - (shard * {rows}L + {shards - 1}) div {shards}"))

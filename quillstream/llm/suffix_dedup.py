@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
-from quillstream.llm.staging import stage
+from quillstream.llm.staging import map_arrow, stage
 
 WIDTH, GRAM = 400, 32
 #: Different segments of a group sorted in one task, and segments worked on at once.
@@ -246,7 +246,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _across_tasks(rows: DataFrame) -> DataFrame:
     """The repeated part of each segment of large groups: windows whose hash pair two segments have."""
-    windows = stage(rows.select("gram", "s1", "s2", "segment").mapInArrow(_window_hashes, "gram bigint, s1 bigint, s2 bigint, at bigint, w1 bigint, w2 bigint"), "windows")
+    windows = stage(map_arrow(rows.select("gram", "s1", "s2", "segment"), _window_hashes, "gram bigint, s1 bigint, s2 bigint, at bigint, w1 bigint, w2 bigint"), "windows")
     key = F.xxhash64("s1", "s2")
     twice = windows.groupBy("gram", "w1", "w2").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("gram", "w1", "w2")
     hits = windows.join(twice, ["gram", "w1", "w2"], "left_semi")
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.octet_length(text).cast("long").alias("n_bytes"))
-    listed = stage(rows.mapInArrow(_list_anchors, f"doc_id {dict(docs.dtypes)['doc_id']}, h1 bigint, h2 bigint, n_bytes bigint, grams array<bigint>, places array<bigint>"), "anchors")
+    listed = stage(map_arrow(rows, _list_anchors, f"doc_id {dict(docs.dtypes)['doc_id']}, h1 bigint, h2 bigint, n_bytes bigint, grams array<bigint>, places array<bigint>"), "anchors")
     classes = stage(listed.groupBy("h1", "h2", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "texts")
 
     each = listed.where("n_bytes >= 400").select("h1", "h2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("h1", "h2", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     wanted = stage(wanted.join(classes, ["h1", "h2"]).selectExpr("first as _d", "h1 as _h1", "h2 as _h2", "places"), "wanted")
     at = (F.col("doc_id") == F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
     texts = stage(rows.join(wanted, at).select("h1", "h2", "text", "places"), "wanted-texts")
-    segments = stage(texts.mapInArrow(_cut_segments, "gram bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, start bigint, back bigint, segment binary"), "segments")
+    segments = stage(map_arrow(texts, _cut_segments, "gram bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, start bigint, back bigint, segment binary"), "segments")
 
     spot = F.xxhash64("h1", "h2", "start")
     distinct = segments.groupBy("gram", "s1", "s2").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.first("back").alias("back"), F.first("segment").alias("segment"))
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sizes = stage(distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     single = distinct.join(sizes, "gram").select("gram", "s1", "s2", "back", "segment", "n")
     small = single.where(f"n <= {GROUP}").drop("n").repartition("gram").sortWithinPartitions("gram", "s1", "s2")
-    found = small.mapInArrow(_sort_groups, "gram bigint, s1 bigint, s2 bigint, lo bigint, hi bigint")
+    found = map_arrow(small, _sort_groups, "gram bigint, s1 bigint, s2 bigint, lo bigint, hi bigint")
     if not sizes.where(f"n > {GROUP}").isEmpty():
         found = found.union(_across_tasks(single.where(f"n > {GROUP}")))
     whole = distinct.where("a <> b").select("gram", "s1", "s2", F.lit(0).cast("long").alias("lo"), F.octet_length("segment").cast("long").alias("hi"))
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cuts = segments.select("gram", "s1", "s2", "h1", "h2", "start").join(found, ["gram", "s1", "s2"])
     cuts = cuts.groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("cuts"))
     kept = texts.select("h1", "h2", "text").join(cuts, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-    kept = stage(kept.mapInArrow(_keep, "h1 bigint, h2 bigint, removed bigint, spans bigint, kept string"), "kept")
+    kept = stage(map_arrow(kept, _keep, "h1 bigint, h2 bigint, removed bigint, spans bigint, kept string"), "kept")
 
     plain = stage(classes.join(kept, ["h1", "h2"], "left"), "texts-kept")
     whole_text = F.expr(f"copies > 1 and n_bytes >= {WIDTH}")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.staging import new_folder, stage
+from quillstream.llm.staging import map_arrow, new_folder, stage
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST = 1000
@@ -183,7 +183,7 @@ def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> Data
         if package is not None:
             yield close()
 
-    return stage(rows.mapInArrow(write, "path string, records bigint"), "packages")
+    return stage(map_arrow(rows, write, "path string, records bigint"), "packages")
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     spread = packages.select("path").repartition(F.col("path"))
-    return spread.mapInArrow(read, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, actual_bytes bigint, actual_digest string")
+    return map_arrow(spread, read, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, actual_bytes bigint, actual_digest string")
 
 
 def archived(pages: DataFrame) -> DataFrame:

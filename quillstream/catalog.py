@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillstream.plans.oracles import ORACLES
+from quillstream.plans.queries import QUERIES
+
+FLAGSHIP = "invoice_round_trip"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -6,9 +6,11 @@ number of differing bits of two sketches estimates high similarities precisely (
 few banded candidates reach the exact check, which compares whole shingle sets.
 
 Documents with equal sets are one class, and only the classes' smallest documents are banded. Within a bucket of a band
-candidates are first compared with one pivot; the buckets whose members are in one component by then are done, and in
-the others all pairs of different components are compared, so no link that a bucket holds is lost. A pair at the
-threshold shares no bucket with probability (1 - 0.8**5)**32 < 4e-6, and its sketch fails the filter with about the same.
+all are first compared with one pivot, which closes most buckets: their members are in one component. In the open
+buckets every two members of different components are compared, sketches first, in blocks of documents within tasks;
+a task gives back links between components only, so no pair of a large group becomes a row, and no link that a bucket
+holds is lost. A pair at the threshold shares no bucket with probability (1 - 0.8**5)**32 < 4e-6, and its sketch fails
+the filter with about the same.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
 from quillstream.llm.components import connected_components
-from quillstream.llm.staging import stage
+from quillstream.llm.staging import map_arrow, stage
 from quillstream.llm.texts import pieces
 
 SHINGLE, PERCENT = 4, 80
@@ -31,8 +33,13 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
 #: Sketch estimates below the threshold by this much are dropped: over four standard deviations of 160 samples.
 SLACK = 0.15
-#: Rounds with another pivot before the rest is compared pair by pair, and how many pairs a class may cost without them.
-PIVOT_ROUNDS, PAIRS_PER_CLASS = 6, 4
+#: Documents of a block; two blocks are compared in a task's memory.
+BLOCK = 512
+#: Documents that open buckets connect are compared as one group up to this many, and bucket by bucket beyond.
+TOGETHER = 4096
+
+#: Differing bits of two sketches at the threshold less the slack: 2k(1 - J) odd samples spread over n bits.
+MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - PERCENT / 100 + SLACK) / SKETCH_BITS)))
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).astype(U64)
@@ -125,76 +132,151 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose odd sketches and set sizes allow the threshold."""
     side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    k, n = BANDS * ROWS, SKETCH_BITS
-    # estimate >= threshold - slack, solved for the number of differing bits
-    most = n / 2 * (1 - np.exp(-4 * k * (1 - PERCENT / 100 + SLACK) / n))
     bits = sum((F.bit_count(F.expr(f"su[{i}] ^ sv[{i}]")) for i in range(SKETCH_BITS // 64)), F.lit(0))
     fits = F.expr(f"100 * least(nu, nv) >= {PERCENT} * greatest(nu, nv)")
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(fits & (bits <= F.lit(float(most)))).select("u", "v")
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(fits & (bits <= MOST_BITS)).select("u", "v")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the whole shingle sets, made again, of the documents in ``ids``."""
+    return map_arrow(docs.join(ids, "doc_id", "left_semi"), _sets, "doc_id bigint, shingles array<bigint>").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold; sets are made again for the documents in pairs only."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "shingle-sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    sets = stage(_sets_of(docs, ids), "shingle-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     both = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("common"))
     return both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("u", "v")
 
 
+def _links_between(doc: np.ndarray, label: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join different labels, as few as join the same ones; side 0 is compared with side 1, side 2 with itself."""
+    size = np.array([len(s) for s in sets])
+    one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(len(doc)),) * 2
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for k in range(0, len(one), 128):
+        a = one[k : k + 128]
+        bits = np.bitwise_count(sketch[a][:, None, :] ^ sketch[two][None, :, :]).sum(2, dtype=np.int64)
+        low, high = np.minimum(size[a][:, None], size[two]), np.maximum(size[a][:, None], size[two])
+        ok = (bits <= MOST_BITS) & (100 * low >= PERCENT * high) & (label[a][:, None] != label[two])
+        if one is two:
+            ok &= a[:, None] < two
+        rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(rows):
+            continue
+        a, b, ok = a[rows], two[columns], ok[np.ix_(rows, columns)]
+        common = np.zeros(ok.shape, np.int64)
+        flat, owner = np.concatenate([sets[x] for x in a]), np.repeat(np.arange(len(a)), size[a])
+        words, at = np.unique(flat, return_inverse=True)
+        for v in range(0, len(words), 16384):  # shingles of the rows, some at a time
+            m = np.zeros((len(a), min(16384, len(words) - v)), np.float32)
+            own = (at >= v) & (at < v + 16384)
+            m[owner[own], at[own] - v] = 1
+            for c in range(0, len(b), 256):
+                part = np.zeros((min(256, len(b) - c), m.shape[1]), np.float32)
+                for r, x in enumerate(b[c : c + 256]):
+                    f = np.minimum(np.searchsorted(words, sets[x]), len(words) - 1)
+                    f = f[(words[f] == sets[x]) & (f >= v) & (f < v + 16384)]
+                    part[r, f - v] = 1
+                common[:, c : c + 256] += np.rint(m @ part.T).astype(np.int64)
+        both = size[a][:, None] + size[b]
+        for i, j in zip(*np.nonzero(ok & (100 * common >= PERCENT * (both - common))), strict=True):
+            x, y = root(int(label[a[i]])), root(int(label[b[j]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(doc[a[i]]), int(doc[b[j]])))
+    return out
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by comparison (key, i, j)."""
+
+    def done(rows: pa.Table) -> list[tuple[int, int]]:
+        sets = [np.asarray(x.values.to_numpy()) for x in rows.column("shingles").combine_chunks()]
+        sketch = np.array(rows.column("sketch").to_pylist(), np.int64).view(U64)  # bitwise_count takes absolute values of signed ones
+        return _links_between(rows.column("doc_id").to_numpy(), rows.column("label").to_numpy(), sketch, sets, rows.column("side").to_numpy())
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and tuple(keys[a]) != now:
+                found += done(pa.Table.from_batches(held))
+                held = []
+            now = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+        if found:
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+    if held and (found := done(pa.Table.from_batches(held))):
+        yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+
+def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Confirmed links between different components of ``labels``, from the buckets that hold more than one."""
+    now = members.join(labels, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    open_ = now.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("doc_id").alias("least")).where("a <> b")
+    now = stage(now.join(open_.select("band", "least"), "band"), "open-members")
+    if now.isEmpty():
+        return None
+    met = connected_components(now.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    where = now.join(met, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", "label", F.coalesce("component", "doc_id").alias("key"))
+    where = stage(where, "open-groups")
+    count = where.groupBy("key").agg(F.countDistinct("doc_id").alias("n"))
+    large = stage(count.where(f"n > {TOGETHER}").select("key"), "large-groups")
+    # small groups take each document once; in large ones the key is the bucket
+    rows = where.join(large, "key", "left_anti").select("key", "doc_id", "label").distinct()
+    if not large.isEmpty():
+        rows = rows.union(where.join(large, "key", "left_semi").select(F.col("band").alias("key"), "doc_id", "label"))
+    rows = stage(rows, "compared")
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "doc_id", "label")
+    ids = rows.select("doc_id").distinct()
+    sets = _sets_of(docs, ids).join(classes.select("doc_id", "sketch"), "doc_id")
+    rows = rows.join(stage(sets, "open-sets"), "doc_id").select("key", "i", "j", "side", "doc_id", "label", "sketch", "shingles")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage(map_arrow(rows, _compare_blocks, "u bigint, v bigint"), "open-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id, n_links for each document.
+    """doc_id, n_shingles, component_id, kept, class_id for each document.
 
     ``docs``: doc_id, text; other columns are ignored. Null and wordless texts have no shingles and are alone. Rows
-    that repeat a doc_id are one document, of the smallest set. ``class_id`` is the smallest document with an
-    equal shingle set; ``n_links`` counts the other classes that are confirmed to be linked with the document's class
-    among the pairs compared. An empty table gives no rows.
+    that repeat a doc_id are one document, of the smallest set. ``class_id`` is the smallest document with an equal
+    shingle set. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    marks = stage(docs.mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
-    small = marks.select("doc_id", "n_shingles", "h1", "h2").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "h1", "h2")).alias("_m")).select("doc_id", "_m.*")
+    marks = stage(map_arrow(docs, _signatures, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
+    small = marks.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "h1", "h2")).alias("_m")).select("doc_id", "_m.*")
     groups = stage(small.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), "classes")
     classes = stage(marks.join(groups.select(F.col("class_id").alias("doc_id"), "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "class-signatures")
 
     members = classes.select("doc_id", F.explode("bands").alias("band"))
     full = stage(members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1"), "buckets")
-    pairs = members.join(full, "band").where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    tried = stage(_close(pairs, classes), "pairs")
-    links = stage(_confirmed(tried, docs), "confirmed")
+    members = stage(members.join(full.select("band", "pivot"), "band"), "members")
+    pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
+    links = stage(_confirmed(stage(_close(pairs, classes), "pairs"), docs), "confirmed")
     labels = stage(connected_components(links), "components")
-    members = stage(members.join(full.select("band"), "band", "left_semi"), "members")
-    for turn in range(PIVOT_ROUNDS + 1):
-        now = members.join(labels, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-        per = now.groupBy("band", "label").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("pivot"))
-        per = per.groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("squares"), F.min_by("pivot", F.xxhash64("pivot", F.lit(turn))).alias("pivot"))
-        open_ = stage(per.where("labels > 1"), "open-buckets")
-        cost = open_.selectExpr("sum((n * n - squares) / 2)").first()[0] or 0
-        if not cost:
-            break
-        now = now.join(open_.select("band", "pivot"), "band")
-        last = turn == PIVOT_ROUNDS or cost <= PAIRS_PER_CLASS * classes.count()
-        if last:
-            a = now.select("band", F.col("doc_id").alias("u"), F.col("label").alias("lu"))
-            b = now.select("band", F.col("doc_id").alias("v"), F.col("label").alias("lv"))
-            pairs = a.join(b, "band").where("u < v and lu <> lv").select("u", "v").distinct()
-        else:
-            mine = now.where("doc_id = pivot").select("band", F.col("label").alias("lp"))
-            pairs = now.join(mine, "band").where("label <> lp").select(F.least("pivot", "doc_id").alias("u"), F.greatest("pivot", "doc_id").alias("v")).distinct()
-        pairs = stage(_close(pairs.join(tried, ["u", "v"], "left_anti"), classes), "pairs")
-        more = stage(_confirmed(pairs, docs), "confirmed")
-        if more.isEmpty():
-            if last:
-                break
-            tried = tried.union(pairs)
-            continue
-        tried, links = tried.union(pairs), links.union(more)
-        labels = stage(connected_components(links), "components")
-        if last:
-            break
-    degree = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    more = _open_links(members.select("band", "doc_id"), labels, classes, docs)
+    if more is not None and not more.isEmpty():
+        labels = stage(connected_components(links.union(more)), "components")
     named = groups.join(labels, F.col("class_id") == F.col("v"), "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    named = stage(named.join(degree, "class_id", "left"), "class-components")
-    out = small.join(named, ["n_shingles", "h1", "h2"], "left")
+    out = small.join(stage(named, "class-components"), ["n_shingles", "h1", "h2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -126,3 +126,25 @@ ORACLES["ground_values"] = """
 with o as (select o_orderkey as k, 'INV-2024-' || lpad(o_orderkey::varchar, 8, '0') as number, 'Customer ' || o_custkey as customer, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d from orders)
 select k as doc_id, 'invoice_number' as field, 'b' || (1 + v) as block_id, 0.95::double as match_score, true as grounded from o
 union all select k, 'customer', 'b' || (4 + v + d), 0.95::double, true from o"""
+
+ORACLES |= {
+    "cleaned_text": r"""
+with r as (select doc_id, ' ' || chr(13) || chr(10) || replace(text, '.', chr(13)) || '  ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || ' end ' || ' ' as t from documents),
+a as (select doc_id, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t\f\x0b]+(\n|$)', '\1', 'g') as t from r)
+select doc_id, sha256(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as hash from a""",
+    "kv_line_lookup": "select o_orderkey as doc_id, 'due_date' as label, strftime(o_orderdate + interval 30 days, '%d/%m/%Y') as value from orders union all select o_orderkey, 'bill_to', 'Customer ' || o_custkey from orders",
+    "resume_sections": "select c_custkey as doc_id, 'skills' as section, c_mktsegment || chr(10) || 'sql' as content from customer union all select c_custkey, 'education', 'College ' || c_nationkey from customer",
+    "rows_as_text": "select s_suppkey, 's_suppkey: ' || s_suppkey || ', s_name: ' || s_name || case when s_suppkey % 3 <> 0 then ', s_nationkey: ' || s_nationkey else '' end as row_text from supplier",
+    "audit_events": f"""
+select 'DOCUMENT_UPLOADED' as action, count(*) as n, max(uploaded_at) as last_at from {_DOCS} union all
+select case status when 'VERIFIED' then 'DOCUMENT_VERIFIED' else 'ROUTED_TO_REVIEW' end, count(*), max(uploaded_at) from {_DOCS} where status in ('VERIFIED', 'NEEDS_REVIEW') group by 1""",
+    "review_messages": f"select document_id, case when document_id % 4 = 0 then 'a|b' when status = 'NEEDS_REVIEW' then 'low total|no date' else '' end as messages from {_DOCS}",
+    "file_names": "with u as (select page_id, list_last(string_split('..' || chr(92) || 'up/' || case when page_id % 2 = 0 then '.' else '' end || regexp_replace(url, '^https?:', ''), '/')) as n from pages) select page_id, coalesce(nullif(regexp_replace(n, '^\\.+', ''), ''), 'unnamed_document') as name from u",
+    "multi_type_extract": """
+with o as (select o_orderkey as k, o_orderkey % 4 as m, o_custkey as c, strftime(o_orderdate, '%Y-%m-%d') as d, cast(cast(o_totalprice as decimal(18,2)) as varchar) as t from orders),
+f as (select k, 'purchase_order' as doc_type, unnest([{'f': 'po_number', 'v': 'PO-' || k, 'c': 0.90}, {'f': 'buyer_name', 'v': 'Cust ' || c, 'c': 0.85}, {'f': 'order_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': '$' || t, 'c': 0.85}]) as x from o where m = 0
+  union all select k, 'insurance', unnest([{'f': 'policy_number', 'v': 'P/' || k, 'c': 0.90}, {'f': 'start_date', 'v': d, 'c': 0.80}, {'f': 'expiry_date', 'v': '2030-01-01', 'c': 0.80}, {'f': 'premium_amount', 'v': t, 'c': 0.85}]) from o where m = 1
+  union all select k, 'bank_statement', unnest([{'f': 'account_holder', 'v': 'C ' || c, 'c': 0.85}, {'f': 'account_number', 'v': k::varchar, 'c': 0.90}, {'f': 'transaction_date', 'v': d, 'c': 0.80}, {'f': 'balance_amount', 'v': t, 'c': 0.85}]) from o where m = 2
+  union all select k, 'receipt', unnest([{'f': 'store_name', 'v': 'Corner Shop', 'c': 0.80}, {'f': 'receipt_number', 'v': k::varchar, 'c': 0.85}, {'f': 'receipt_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': t, 'c': 0.85}, {'f': 'payment_method', 'v': 'VISA', 'c': 0.80}]) from o where m = 3)
+select k as doc_id, doc_type, x.f as field, x.v as value, x.c::double as confidence from f""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import normalize as N
 from quillstream.functions import text as T
-from quillstream.operators import analytics, classify, extract, grounding, insights, reconcile, review, validate
+from quillstream.operators import analytics, classify, extract, grounding, insights, reconcile, review, structure, typed_fields, validate
 from quillstream.plans.tables import dashboard_documents, rendered_invoices, table, western
 from quillstream.streaming import intake
 
@@ -335,3 +335,62 @@ def events_sliding(spark, sf_dir):
 @query
 def events_sessions(spark, sf_dir):
     return intake.sessions(table(spark, sf_dir, "events").where("user_id is not null"))
+
+
+@query
+def cleaned_text(spark, sf_dir):
+    raw = F.concat(F.lit(" \r\n"), F.translate("text", ".", "\r"), F.lit("  \t\n\n\n\n end \x00 "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(structure.cleaned(raw), 256).alias("hash"))
+
+
+@query
+def kv_line_lookup(spark, sf_dir):
+    return structure.labelled_lines(rendered_invoices(spark, sf_dir)).where("label in ('due_date', 'bill_to')").select("doc_id", "label", "value")
+
+
+@query
+def resume_sections(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    text = F.concat_ws("\n", "c_name", F.lit("Technical Skills:"), F.concat(F.lit("• "), F.col("c_mktsegment")), F.lit("- sql"), F.lit("EDUCATION"), F.concat(F.lit("College "), F.col("c_nationkey")))
+    return structure.sections(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+
+
+@query
+def rows_as_text(spark, sf_dir):
+    return structure.rows_as_text(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("s_nationkey")), ["s_suppkey"], "supplier").select("s_suppkey", "row_text")
+
+
+@query
+def audit_events(spark, sf_dir):
+    return structure.events(dashboard_documents(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"), F.max("at").alias("last_at"))
+
+
+@query
+def review_messages(spark, sf_dir):
+    d = dashboard_documents(spark, sf_dir)
+    errors = F.when(F.col("document_id") % 4 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b")))
+    out = structure.messages(errors, F.col("status"), F.lit("low total; ; no date"))
+    return d.select("document_id", F.array_join(out, "|").alias("messages"))
+
+
+@query
+def file_names(spark, sf_dir):
+    name = F.concat(F.lit("..\\up/"), F.when(F.col("page_id") % 2 == 0, ".").otherwise(""), F.regexp_replace("url", "^https?:", ""))
+    return table(spark, sf_dir, "pages").select("page_id", structure.safe_name(name).alias("name"))
+
+
+@query
+def multi_type_extract(spark, sf_dir):
+    """Rendered documents of four types; the values are those of their rows."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    day, total = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("purchase_order", "insurance", "bank_statement", "receipt")]), (k % 4 + 1).cast("int"))
+    texts = F.create_map(
+        F.lit("purchase_order"), F.concat(F.lit("PO Number: PO-"), k, F.lit("\nBuyer: Cust "), F.col("o_custkey"), F.lit("\nOn "), day, F.lit("\nGrand Total: $"), total),
+        F.lit("insurance"), F.concat(F.lit("Policy No: P/"), k, F.lit("\nFrom "), day, F.lit(" to 2030-01-01\nPremium Amount: "), total),
+        F.lit("bank_statement"), F.concat(F.lit("Account Holder: C "), F.col("o_custkey"), F.lit("\nAccount No: "), k, F.lit("\n1999-01-01 then "), day, F.lit("\nClosing Balance: "), total),
+        F.lit("receipt"), F.concat(F.lit("Corner Shop\nReceipt # "), k, F.lit("\n"), day, F.lit("\nTotal paid: "), total, F.lit("\nVISA")),
+    )
+    docs = o.select(k.alias("doc_id"), kind.alias("doc_type"), F.element_at(texts, kind).alias("text"))
+    return typed_fields.typed_fields(docs).where("value is not null")

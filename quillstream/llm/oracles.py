@@ -82,4 +82,64 @@ select doc_id, item_id, n_windows::bigint as n_windows, words_covered::bigint as
 from covered left join changed using (doc_id, item_id) where words_covered >= 0.8 * n
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op10_benchmark_decontamination": _OP10}
+_OP3 = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from w where len(w) >= 4)
+  union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 3),
+n as (select doc_id, count(*) as n, string_agg(s, '|' order by s) as whole from s group by doc_id),
+links as (
+  select a.doc_id as u, b.doc_id as v from s a join s b on a.s = b.s and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by all having 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, l.v from reach r join links l on l.u = r.v),
+c as (select u, min(v) as c from reach group by u)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.c as component_id, d.doc_id = c.c as kept,
+  case when n.n is null then d.doc_id else min(d.doc_id) over (partition by n.whole) end as class_id
+from documents d left join n on n.doc_id = d.doc_id join c on c.u = d.doc_id
+"""
+
+_OP4 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+m as (select *, case when strlen(h) >= 1000 then max(page_id) over (partition by h) end as last from p)
+select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as payload_digest, case when last <> page_id then 'revisit' else 'response' end as record_type,
+  case when last <> page_id then last end as refers_to, true as intact from m
+"""
+
+#: kind, what may stand before it, pattern with the value as its only group, least length of the value.
+_SECRETS = (
+    ("assign", "", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", "", "(AKIA[A-Z0-9]+)", 18),
+    ("hex", "", "([0-9a-f]{16,})", 16),
+    ("vendor", "(?:^|[^A-Za-z0-9])", "(gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{30,})", 20),
+    ("jwt", "(?:^|[^A-Za-z0-9])", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 28),
+    ("pem", "", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----)", 60),
+    ("login", "", r"://[A-Za-z0-9._-]+:([A-Za-z0-9._~!$*+=-]+)@", 6),
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FOUND = "\n  union all ".join(
+    f"select doc_id, source, lang, {k} as k, '{name}' as kind, regexp_extract_all(t, {_quoted(before + pattern)}) as m, string_split_regex(t, {_quoted(before + pattern)}) as p, {_quoted('^' + before)} as before, {_quoted(before + pattern)} as pattern, {least} as least from d"
+    for k, (name, before, pattern, least) in enumerate(_SECRETS)
+)
+_VALUES = "case kind " + " ".join(f"when '{name}' then regexp_extract(t, {_quoted(before + pattern)}, 1)" for name, before, pattern, _ in _SECRETS) + " end"
+_BEFORE = "case kind " + " ".join(f"when '{name}' then length(regexp_extract(t, {_quoted('^' + before)}))" for name, before, _, _ in _SECRETS if before) + " else 0 end"
+_OP6 = f"""
+with d as (select doc_id, source, lang, coalesce(text, '') as t from documents),
+f as ({_FOUND}),
+e as (select doc_id, source, lang, k, kind, least, m[i] as t, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as pos
+  from (select *, unnest(range(1, len(m) + 1)) as i from f)),
+s as (select doc_id, source, lang, k, kind, (pos + {_BEFORE})::bigint as s, (pos + length(t))::bigint as e, {_VALUES} as value from e where length({_VALUES}) >= least),
+o as (select value, count(distinct coalesce(source, '')) < 3 and count(distinct (coalesce(source, ''), coalesce(lang, ''))) < 6 as live from s group by value),
+j as (select s.*, o.live, kind || ':' || s || ':' || e as span from s join o using (value)),
+g as (select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c, string_agg(span, ',' order by s, k) filter (k < 3) as base,
+  string_agg(span, ',' order by s, k) filter (k < 3 or live) as spans, count(*) filter (live) as live, count(*) filter (not live) as example from j group by doc_id)
+select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(live, 0) as n_live, coalesce(example, 0) as n_example from d left join g on g.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_minhash_near_dedup": _OP3, "op4_warc": _OP4, "op6_secret_scans": _OP6, "op10_benchmark_decontamination": _OP10}

@@ -10,7 +10,8 @@ HEAD, MOST = 4096, 10 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, path: str, stream: bool = False, schema: str = "path string, modificationTime timestamp, length bigint, content binary") -> DataFrame:
-    """path, length, content of the files below ``path``; as a stream, files that arrive are taken up."""
+    """path, length, content of the files below ``path``; as a stream, files that arrive are taken up.
+    Spark passes over empty files."""
     reader = spark.readStream.schema(schema) if stream else spark.read
     return reader.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 

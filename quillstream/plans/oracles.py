@@ -148,3 +148,16 @@ f as (select k, 'purchase_order' as doc_type, unnest([{'f': 'po_number', 'v': 'P
   union all select k, 'receipt', unnest([{'f': 'store_name', 'v': 'Corner Shop', 'c': 0.80}, {'f': 'receipt_number', 'v': k::varchar, 'c': 0.85}, {'f': 'receipt_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': t, 'c': 0.85}, {'f': 'payment_method', 'v': 'VISA', 'c': 0.80}]) from o where m = 3)
 select k as doc_id, doc_type, x.f as field, x.v as value, x.c::double as confidence from f""",
 }
+
+ORACLES |= {
+    "ocr_lines": """
+select o_orderkey as doc_id, 1 as line, 'Invoice Number: N-' || o_orderkey as text, 0.0::double as x0, 190.0::double as x1, 0.92::double as confidence from orders
+union all select o_orderkey, 2, strftime(o_orderdate, '%Y-%m-%d'), 200.0::double, 240.0::double, 0.8::double from orders""",
+    "spatial_neighbours": "select o_orderkey as doc_id, 'Number:' as keyword, 'N-' || o_orderkey as value from orders",
+    "schema_resolution": """
+select p_partkey as doc_id, p_type as doc_type, case when p_size = 17 then 's1' when lower(p_type) like '%promo%' then 's1' when lower(p_type) like '%anodized%' then 's2' end as schema_id,
+  case when p_size = 17 then 'fingerprint' when lower(p_type) like '%promo%' or lower(p_type) like '%anodized%' then 'name' else 'none' end as how from part""",
+    "canonical_keys": """
+select case when event_id % 2 = 1 then 'odd' else 'even' end as family, case lower(event_type) when 'click' then 'interest' when 'purchase' then case when event_id % 2 = 1 then 'bought_now' else 'bought' end else lower(event_type) end as canonical_key,
+  count(*) as n from events group by all""",
+}

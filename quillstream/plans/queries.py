@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import normalize as N
 from quillstream.functions import text as T
-from quillstream.operators import analytics, classify, extract, grounding, insights, reconcile, review, structure, typed_fields, validate
-from quillstream.plans.tables import dashboard_documents, rendered_invoices, table, western
+from quillstream.operators import analytics, classify, extract, grounding, insights, layout, reconcile, review, schemas, structure, typed_fields, validate
+from quillstream.plans.tables import dashboard_documents, rendered_invoices, rendered_words, table, western
 from quillstream.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,3 +394,27 @@ def multi_type_extract(spark, sf_dir):
     )
     docs = o.select(k.alias("doc_id"), kind.alias("doc_type"), F.element_at(texts, kind).alias("text"))
     return typed_fields.typed_fields(docs).where("value is not null")
+
+
+@query
+def ocr_lines(spark, sf_dir):
+    return layout.lines_of_words(rendered_words(spark, sf_dir)).select("doc_id", "line", "text", "x0", "x1", "confidence")
+
+
+@query
+def spatial_neighbours(spark, sf_dir):
+    return layout.right_neighbours(rendered_words(spark, sf_dir), "^Number:$", r"\d").select("doc_id", "keyword", "value")
+
+
+@query
+def schema_resolution(spark, sf_dir):
+    registry = spark.createDataFrame([("s1", "Promo", "parts", 1, "old", True), ("s1", "Promo", "parts", 2, "17", True), ("s2", "Anodized", "parts", 1, None, True), ("s3", "Brushed", "parts", 1, "5", False)], "schema_id string, name string, family string, version int, fingerprint string, is_active boolean")
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("doc_type"), F.col("p_size").cast("string").alias("fingerprint"))
+    return schemas.resolve(docs, registry)
+
+
+@query
+def canonical_keys(spark, sf_dir):
+    aliases = spark.createDataFrame([("interest", "click", None), ("bought", "purchase", None), ("bought_now", "purchase", "odd")], "canonical_key string, alias string, family string")
+    fields = table(spark, sf_dir, "events").select("event_id", F.upper("event_type").alias("field_key"), F.when(F.col("event_id") % 2 == 1, "odd").otherwise("even").alias("family"))
+    return schemas.canonical(fields, aliases).groupBy("family", "canonical_key").agg(F.count("*").alias("n"))

@@ -39,3 +39,13 @@ def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Grand Total: $"), western(total)),
     ))
     return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+
+
+def rendered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a line "Invoice Number: N-<key>" and a line with the date, 50 wide, as text recognition gives them; every
+    third order has a speck between."""
+    k = F.col("o_orderkey")
+    word = lambda line, no, text, conf: F.struct(F.lit(line).alias("line"), F.lit(no).alias("word_no"), text.alias("text"), F.lit(conf).alias("conf"), F.lit(no * 50.0).alias("x0"), F.lit(line * 20.0).alias("y0"), F.lit(no * 50.0 + 40).alias("x1"), F.lit(line * 20.0 + 10).alias("y1"))
+    words = F.array(word(1, 0, F.lit("Invoice"), 96.0), word(1, 1, F.lit("Number:"), 92.0), word(1, 2, F.when(k % 3 == 0, "~").otherwise(""), 4.0), word(1, 3, F.concat(F.lit("N-"), k.cast("string")), 88.0), word(2, 4, F.date_format("o_orderdate", "yyyy-MM-dd"), 80.0))
+    rows = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.explode(words).alias("w")).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("block"), "w.*")
+    return rows.withColumn("pos", F.col("word_no"))

@@ -111,3 +111,18 @@ def boolean(value: Column) -> Column:
 
 def identifier(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(value), r"""^["'#:]+|["'.]+$""", ""))
+
+
+def field(value: Column, data_type: Column) -> Column:
+    """struct(value, valid, error) of a raw value by its type; missing values are valid, other types are trimmed text."""
+    text = F.trim(value)
+    missing = F.coalesce(text, F.lit("")) == ""
+    kind = F.lower(F.trim(F.coalesce(data_type, F.lit("string"))))
+    out = (
+        F.when(kind == "date", date_guessed(text).cast("string")).when(kind == "money", money(text).cast("string")).when(kind == "number", number(text).cast("string"))
+        .when(kind == "percent", percent(text).cast("string")).when(kind == "email", email(text)).when(kind == "phone", phone(text))
+        .when(kind == "bool", boolean(text).cast("string")).when(kind == "id", identifier(text)).otherwise(text)
+    )
+    valid = F.when(kind == "email", out.contains("@") & out.contains(".")).when(kind == "phone", F.length(F.regexp_replace(out, "[^0-9]", "")) >= 7).otherwise(out.isNotNull())
+    error = F.when(~valid, F.concat(F.lit("Value '"), value, F.lit("' is not a valid "), kind))
+    return F.struct(F.when(~missing, out).alias("value"), (missing | valid).alias("valid"), F.when(~missing, error).alias("error"))

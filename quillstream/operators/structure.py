@@ -64,3 +64,15 @@ def events(docs: DataFrame) -> DataFrame:
     status = F.create_map(*[F.lit(x) for x in ("VERIFIED", "DOCUMENT_VERIFIED", "NEEDS_REVIEW", "ROUTED_TO_REVIEW", "FAILED", "PROCESSING_FAILED")])
     both = F.array_compact(F.array(F.when(F.col("uploaded_at").isNotNull(), F.lit("DOCUMENT_UPLOADED")), F.try_element_at(status, F.col("status"))))
     return docs.select("document_id", F.explode(both).alias("action"), F.col("uploaded_at").alias("at"))
+
+
+def header_names(headers: Column) -> Column:
+    """Names of columns: blank, unnamed and none are column_<place>; repeated ones get _2, _3, ..."""
+    named = F.transform(headers, lambda h, i: F.when(F.lower(F.trim(F.coalesce(h, F.lit("")))).rlike("^(unnamed:.*|none|nan|)$"), F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(F.trim(h)))
+    return F.transform(named, lambda h, i: F.concat(h, F.when(F.size(F.filter(F.slice(named, 1, i), lambda o: o == h)) > 0, F.concat(F.lit("_"), (F.size(F.filter(F.slice(named, 1, i), lambda o: o == h)) + 1).cast("string"))).otherwise("")))
+
+
+def review_items(records: DataFrame, fields: str = "fields") -> DataFrame:
+    """document_id, field, value, original, confidence, source: a row per field of a record's map of structs."""
+    each = records.select("document_id", F.explode(fields).alias("field", "f"))
+    return each.select("document_id", "field", F.coalesce("f.normalized_value", "f.value").alias("value"), F.coalesce("f.original_value", "f.value").alias("original"), "f.confidence", "f.source")

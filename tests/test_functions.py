@@ -80,3 +80,19 @@ def test_threshold_is_inclusive(spark):
     for c, status in ((0.85, "VERIFIED"), (0.849, "NEEDS_REVIEW")):
         got = df.select(validate.route(F.array().cast("array<string>"), {"a": F.lit(c)})[0]).first()[0]
         assert got == status
+
+
+def test_field_dispatch(spark):
+    rows = [("14/08/2024", "date", "2024-08-14", True), ("$1,250.50", "money", "1250.5", True), ("18%", "percent", "18.0", True), ("abc", "number", None, False), ("", "date", None, True), (None, "money", None, True), ("x", "email", "x", False), (" hi ", "text", "hi", True)]
+    df = spark.createDataFrame(rows, "v string, t string, want string, ok boolean").select("want", "ok", N.field(F.col("v"), F.col("t")).alias("f"))
+    for r in df.collect():
+        assert (r.f.value, r.f.valid) == (r.want, r.ok) and (r.f.error is None) == r.ok
+
+
+def test_headers_and_items(spark):
+    from quillstream.operators import structure
+
+    df = spark.createDataFrame([(["Amount", "", "Amount", "Unnamed: 3", None, " Amount "],)], "h array<string>")
+    assert df.select(structure.header_names(F.col("h"))).first()[0] == ["Amount", "column_2", "Amount_2", "column_4", "column_5", "Amount_3"]
+    rec = spark.createDataFrame([(1, {"total": ("5", None, "5.00", 0.9, "rule"), "x": ("raw", "orig", None, None, "ai")})], "document_id int, fields map<string, struct<value: string, original_value: string, normalized_value: string, confidence: double, source: string>>")
+    assert sorted(tuple(r) for r in structure.review_items(rec).collect()) == [(1, "total", "5.00", "5", 0.9, "rule"), (1, "x", "raw", "orig", None, "ai")]

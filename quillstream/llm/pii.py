@@ -39,7 +39,8 @@ PROPOSED = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "_num"),
 }
 KINDS = [*BASE, *PROPOSED]
-#: Features of a proposal; t: its text, b: 32 characters before it in lower case, a: the character after it.
+#: Features of a proposal; t: its text, b: 32 characters before it in lower case, from the last semicolon on (what an
+#: earlier item of a list is called says nothing of this one), a: the character after it.
 FEATURES = {
     "kind": "m.k",
     "n_digits": "length(regexp_replace(m.t, '[^0-9]', ''))",
@@ -83,7 +84,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_base", F.concat(*[_found(k, VALID[k]) for k in BASE]))
     df = df.withColumn("_all", F.concat(*[_found(k) for k in PROPOSED]))
     free = "filter(_all, m -> not exists(_base, o -> o.s < m.e and m.s < o.e))"
-    return df.withColumn("_more", F.expr(f"transform({free}, m -> struct(m.k as k, m.s as s, m.e as e, m.t as t, lower(substring(_x, greatest(m.s - 31, 1), least(m.s, 32))) as b, substring(_x, m.e + 1, 1) as a))"))
+    return df.withColumn("_more", F.expr(f"transform({free}, m -> struct(m.k as k, m.s as s, m.e as e, m.t as t, substring_index(lower(substring(_x, greatest(m.s - 31, 1), least(m.s, 32))), ';', -1) as b, substring(_x, m.e + 1, 1) as a))"))
 
 
 def _tree(node: list) -> str:

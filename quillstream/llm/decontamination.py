@@ -48,25 +48,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. An item counts as held when matched
     windows cover at least ``least_cover`` of its template words. Null and empty texts, and items of fewer than five
-    template words, match nothing. Repeated rows of a doc_id count as one document. Empty tables give no rows.
+    template words, match nothing. Rows that repeat a doc_id are each matched by themselves, and the row that covers most
+    of an item counts. Empty tables give no rows.
     """
     items = window_hashes(template_words(benchmark.select("item_id", "text"), "text", "_iw"), "_iw_k", WINDOW, "_h")
     items = items.select("item_id", F.size("_iw").alias("item_words"), "_iw", F.posexplode_outer("_h").alias("ipos", "_ih")).where("_ih is not null")
     items = items.select("item_id", "item_words", "ipos", "_ih", F.expr(f"slice(_iw, ipos + 1, {WINDOW})").alias("_is"))
     items = items.where(f"size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS}")
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = window_hashes(template_words(docs.select("doc_id", "text"), "text", "_dw"), "_dw_k", WINDOW, "_h")
-    found = found.select("doc_id", "_dw", F.posexplode_outer("_h").alias("dpos", "_dh")).where("_dh is not null")
+    found = window_hashes(template_words(docs.select("doc_id", "text", F.xxhash64("text").alias("_row")), "text", "_dw"), "_dw_k", WINDOW, "_h")
+    found = found.select("doc_id", "_row", "_dw", F.posexplode_outer("_h").alias("dpos", "_dh")).where("_dh is not null")
     if not small:
-        found = found.select("doc_id", F.expr(f"slice(_dw, dpos + 1, {WINDOW})").alias("_ds"), "dpos", "_dh")
+        found = found.select("doc_id", "_row", F.expr(f"slice(_dw, dpos + 1, {WINDOW})").alias("_ds"), "dpos", "_dh")
     else:
         items = F.broadcast(items)
     slots = f"slice(_dw, dpos + 1, {WINDOW})" if small else "_ds"
     pairs = f"filter(zip_with(_is, {slots}, (i, d) -> struct(i, d)), p -> ascii(p.i) < 4) as pairs"
-    hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "item_id", "item_words", "ipos", "dpos - ipos as diagonal", pairs)
-    aligned = hits.groupBy("doc_id", "item_id", "item_words", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "_row", "item_id", "item_words", "ipos", "dpos - ipos as diagonal", pairs)
+    aligned = hits.groupBy("doc_id", "_row", "item_id", "item_words", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     steady = aligned.where("size(array_distinct(transform(pairs, p -> p.i))) = size(pairs)")
-    whole = steady.groupBy("doc_id", "item_id", "item_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    whole = steady.groupBy("doc_id", "_row", "item_id", "item_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     covered = F.expr(f"aggregate(transform(at, (v, k) -> least({WINDOW}, coalesce(get(at, k + 1) - v, {WINDOW}))), 0L, (a, x) -> a + x)")
     out = whole.select("doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), covered.alias("words_covered"), F.col("item_words").cast("long").alias("item_words"), F.expr("cast(size(filter(pairs, p -> p.i <> p.d)) as bigint)").alias("n_changed_slots"))
-    return out.where(F.col("words_covered") >= least_cover * F.col("item_words"))
+    out = out.where(F.col("words_covered") >= least_cover * F.col("item_words"))
+    best = out.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("words_covered", "n_windows", (-F.col("n_changed_slots")).alias("same"))).alias("_b"))
+    return best.select("doc_id", "item_id", "_b.n_windows", "_b.words_covered", "item_words", (-F.col("_b.same")).alias("n_changed_slots"))

@@ -47,27 +47,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("value", pa.string())]))
     for batch in batches:
         found = [[dict(zip(("k", "s", "e", "value"), x, strict=True)) for x in find(t or "")] for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "owner", "repository")), pa.array(found, kind)], ["doc_id", "owner", "repository", "spans"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(found, kind)], [*rest, "spans"])
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """row, doc_id and spans (k, s, e, value, live) of each row of ``docs`` (doc_id, text, lang, source).
+def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, *carry: Column) -> DataFrame:
+    """row, doc_id, the columns ``carry`` and judged spans (s, k, e, value, live) of each row of ``docs`` (doc_id, text, lang, source).
 
     The owner of a document is its source and its repository the source and language, unless other columns are given;
     null owners count as one owner. ``row`` numbers the rows. Null and empty texts have no spans.
     """
     owner = F.coalesce(F.col("source"), F.lit("")) if owner is None else owner
     repository = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
-    rows = docs.select("doc_id", "text", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
-    kinds = dict(rows.dtypes)
-    rows = map_arrow(rows, _scan, f"doc_id {kinds['doc_id']}, owner string, repository string, spans {SPANS}")
+    rows = docs.select("doc_id", "text", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), *carry)
+    rest = [(c, kind) for c, kind in rows.dtypes if c != "text"]
+    rows = map_arrow(rows, _scan, ", ".join(f"{c} {kind}" for c, kind in rest) + f", spans {SPANS}")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     each = rows.where("size(spans) > 0").select("row", "owner", "repository", F.explode("spans").alias("m"))
     held = each.select(F.col("m.value").alias("value"), "owner", "repository").distinct()
     freq = held.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"))
     verdict = stage(freq.select("value", F.expr(f"owners < {OWNERS} and repositories < {REPOSITORIES}").alias("live")), "secret-owners")
     judged = each.select("row", "m.*").join(verdict, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "value", "live"))).alias("judged"))
-    return rows.select("row", "doc_id").join(judged, "row", "left")
+    return rows.drop("owner", "repository", "spans").join(judged, "row", "left")
 
 
 def secret_spans(docs: DataFrame, **columns: Column) -> DataFrame:
@@ -89,14 +90,19 @@ def secret_spans(docs: DataFrame, **columns: Column) -> DataFrame:
 def redact_live(docs: DataFrame, mark: str = "[SECRET]", **columns: Column) -> DataFrame:
     """``docs`` with ``mark`` in place of each stretch that spans of live-looking values cover, and n_chars to match.
 
-    doc_id must be unique; all columns stay. Examples stay in the text.
+    All rows and columns stay. Rows that repeat a doc_id, null ones too, are redacted each by its own text. Examples stay
+    in the text.
     """
-    found = scan(docs, **columns).where("exists(judged, m -> m.live)").select("doc_id", F.expr("filter(judged, m -> m.live)").alias("_m"))
-    found = stage(found.select(F.col("doc_id").alias("_d"), "_m"), "secret-live")
+    # a text's live spans depend on the text alone, so they are joined to rows of that very text, once per doc_id and text
+    h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(7), "text")
+    owner, repository = columns.get("owner"), columns.get("repository")
+    found = scan(docs, owner, repository, h1.alias("h1"), h2.alias("h2")).where("exists(judged, m -> m.live)")
+    found = found.select(F.col("doc_id").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.expr("filter(judged, m -> m.live)").alias("_m"))
+    found = stage(found.dropDuplicates(["_d", "_h1", "_h2"]), "secret-live")
     # a piece of text before each span, from where the spans before it end
     pieces = "transform(_m, (m, i) -> struct(if(i = 0, 0, array_max(transform(slice(_m, 1, i), x -> x.e))) as p, m.s as s))"
     text = f"concat(array_join(transform({pieces}, (x, i) -> if(x.s > x.p or i = 0, concat(substring(text, x.p + 1, x.s - x.p), '{mark}'), '')), ''), substring(text, array_max(transform(_m, x -> x.e)) + 1))"
-    df = docs.join(found, F.col("doc_id") == F.col("_d"), "left")
+    df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left")
     df = df.withColumn("text", F.expr(f"if(_m is null, text, {text})"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.expr("if(_m is null, n_chars, cast(length(text) as bigint))"))

@@ -262,6 +262,14 @@ def test_secrets(spark, edge):
     assert len(secrets.secret_spans(edge).collect()) == len(EDGE) and secrets.secret_spans(edge.limit(0)).count() == 0
 
 
+def test_secrets_of_repeated_ids(spark):
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3)]
+    rows = [(i, t) for i in (1, None) for t in ("short " + keys[0] + " end", "a longer way to " + keys[1] + " and on", "nothing here, but text that is long enough to be cut")] + [(1, "short " + keys[0] + " end"), (2, keys[2])]
+    got = secrets.redact_live(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id bigint, text string, lang string, source string")).collect()
+    want = [(i, re.sub("|".join(keys), "[SECRET]", t)) for i, t in rows]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_html(spark):
     body = "<p>First sentence, with words &amp; more.<br>Second line, still one block; see it.</p><p>Another <b>bold</b> paragraph, as long as it takes, to count.</p>"
     page = f'<html><head><title>T</title><script>var t="</p>";</script></head><body><header class="site-header">Brand</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>Head</h1>{body}<aside>Related</aside><form>Mail <input></form></article><section id="comments"><p>Nice one, thanks.</p></section><footer>&copy; x</footer></body></html>'

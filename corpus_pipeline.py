@@ -5,6 +5,8 @@
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: values that look like live credentials are replaced in the text; copied examples stay.
 5. tokens: doc_id, lang, source, n_tokens, token_ids and round_trip of what is left.
+
+Rows with a null doc_id are each a document of their own in every stage.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from quillstream.llm.quality_rules import quality_filter
 from quillstream.llm.queries import TOKENIZER
 from quillstream.llm.secrets import redact_live
 from quillstream.llm.sentencepiece_codec import tokens
-from quillstream.llm.staging import stage
+from quillstream.llm.staging import numbered, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(stage(kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+    named, top = numbered(docs)
+    kept = near_duplicates(named).where("kept").select("doc_id")
+    return _unnamed(named.join(stage(kept, "kept"), "doc_id", "left_semi").select(*docs.columns), top)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(stage(found, "contaminated"), F.col("doc_id") == F.col("_found"), "left_anti")
+    named, top = numbered(docs)
+    found = contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
+    return _unnamed(named.join(stage(found, "contaminated"), F.col("doc_id") == F.col("_found"), "left_anti"), top)
+
+
+def _unnamed(docs: DataFrame, top: int | None) -> DataFrame:
+    """Null again for the ids that ``numbered`` gave."""
+    return docs if top is None else docs.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

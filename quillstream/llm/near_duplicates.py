@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
 from quillstream.llm.components import connected_components
-from quillstream.llm.staging import map_arrow, stage
+from quillstream.llm.staging import map_arrow, numbered, stage
 from quillstream.llm.texts import pieces
 
 SHINGLE, PERCENT = 4, 80
@@ -258,10 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id for each document.
 
     ``docs``: doc_id, text; other columns are ignored. Null and wordless texts have no shingles and are alone. Rows
-    that repeat a doc_id are one document, of the smallest set. ``class_id`` is the smallest document with an equal
-    shingle set. An empty table gives no rows.
+    that repeat a doc_id are one document, of the smallest set; rows with a null doc_id are each a document of their own,
+    greater than all others, and a component or class of only such documents has a null id (one of them is kept).
+    ``class_id`` is the smallest document with an equal shingle set. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs, top = numbered(docs.select("doc_id", "text"))
     marks = stage(map_arrow(docs, _signatures, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
     small = marks.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "h1", "h2")).alias("_m")).select("doc_id", "_m.*")
     groups = stage(small.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -276,7 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _open_links(members.select("band", "doc_id"), labels, classes, docs)
     if more is not None and not more.isEmpty():
         labels = stage(connected_components(links.union(more)), "components")
-    named = groups.join(labels, F.col("class_id") == F.col("v"), "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = small.join(stage(named, "class-components"), ["n_shingles", "h1", "h2"], "left")
+    by_class = groups.join(labels, F.col("class_id") == F.col("v"), "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = small.join(stage(by_class, "class-components"), ["n_shingles", "h1", "h2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = lambda c: c if top is None else F.when(c <= top, c)
+    return out.select(named(F.col("doc_id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), named(F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SENT: dict[str, str] = {}
 
@@ -41,6 +42,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """``docs`` with an id of its own, greater than all others, in place of each null doc_id, and the greatest doc_id.
+
+    The greatest is None when no id is null, and ``docs`` stays as it is then. Rows without an id are written, so that
+    their new ids hold. New ids follow each other without gaps, so they fit whatever room the ids leave.
+    """
+    known = docs.agg(F.max("doc_id").cast("long").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    if not known.nulls:
+        return docs, None
+    top = 0 if known.top is None else known.top
+    own = stage(docs.where("doc_id is null").withColumn("_n", F.monotonically_increasing_id()), "nameless")
+    # the number's high bits are the partition's, the low 33 the row's in it
+    parts = own.groupBy(F.shiftright("_n", 33).alias("_p")).agg(F.count("*").alias("_size"))
+    parts = stage(parts.selectExpr("_p", "sum(_size) over (order by _p) - _size as _before"), "nameless-parts")
+    new = F.lit(top) + 1 + F.col("_before") + F.col("_n").bitwiseAND((1 << 33) - 1)
+    own = own.join(F.broadcast(parts), F.shiftright("_n", 33) == F.col("_p")).withColumn("doc_id", new)
+    return docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(own.select(*docs.columns)), top
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package's modules sent to the executors, once per session."""
     context = df.sparkSession.sparkContext

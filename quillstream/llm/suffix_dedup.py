@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = stage(each.groupBy("gram").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("gram"), "grams")
     wanted = each.join(twice, "gram", "left_semi").groupBy("h1", "h2").agg(F.collect_set("place").alias("places"))
     wanted = stage(wanted.join(classes, ["h1", "h2"]).selectExpr("first as _d", "h1 as _h1", "h2 as _h2", "places"), "wanted")
-    at = (F.col("doc_id") == F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
     texts = stage(rows.join(wanted, at).select("h1", "h2", "text", "places"), "wanted-texts")
     segments = stage(map_arrow(texts, _cut_segments, "gram bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, start bigint, back bigint, segment binary"), "segments")
 

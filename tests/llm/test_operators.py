@@ -119,6 +119,13 @@ def test_near_duplicates_edges(spark, edge):
     assert near_duplicates.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    text = lambda a: " ".join(f"{a}{k}" for k in range(60))
+    rows = [(-5, text("a")), (None, text("b")), (None, text("a")), (None, text("c")), (None, text("c")), (None, None), (2**63 - 9, text("d"))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept, str(r.class_id)) for r in got) == sorted([("-5", 57, "-5", True, "-5"), ("None", 57, "None", True, "None"), ("None", 57, "-5", False, "-5"), ("None", 57, "None", True, "None"), ("None", 57, "None", False, "None"), ("None", 0, "None", True, "None"), (str(2**63 - 9), 57, str(2**63 - 9), True, str(2**63 - 9))])
+
+
 def test_odd_sketch_estimates():
     r = np.random.default_rng(1)
     with np.errstate(over="ignore"):
@@ -237,6 +244,14 @@ def test_repeats_edges(spark, edge):
     assert suffix_dedup.remove_repeats(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4000, 1])
+def test_repeats_without_ids(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rows = [(None, t) for _, t in repeats_fixture()[:45]] + [(7, None)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows)
+
+
 def test_suffix_mergesort():
     data = np.frombuffer(b"banana$bandana$ban", np.uint8)
     with np.errstate(over="ignore"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstream.llm import queries, secrets
@@ -36,3 +37,18 @@ def test_pipeline(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in got} == set(seen[3]) and all(r.token_ids == sp.encode(seen[3][r.doc_id]) for r in got)
+
+
+def test_rows_without_ids(spark):
+    """Rows with null ids are judged each by itself, and clean ones come through."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    prose = lambda a: " ".join(f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))
+    key = "0123456789abcdef0123"
+    rows = [(None, prose("q")), (None, prose("r") + " " + key), (None, prose("r") + " " + key), (None, prose("s") + "\n" + item), (1, prose("t")), (None, prose("t"))]
+    step = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    columns = step.columns
+    for name, f in corpus_pipeline.STAGES[1:-1]:
+        step = corpus_pipeline.stage(f(spark, step, DATA), name)
+        assert step.columns == columns
+    want = [(None, prose("q")), (None, prose("r") + " [SECRET]"), (1, prose("t"))]
+    assert sorted(((r.doc_id, r.text) for r in step.collect()), key=str) == sorted(want, key=str)

@@ -4,7 +4,9 @@ A text becomes template words: lower case without punctuation, where numbers, un
 (capitalised words inside a sentence) are typed placeholders that remember their value. Windows of five template words
 are joined by hash with the windows of the benchmark items. The matched windows of a document and an item that lie on
 one alignment must fill the slots consistently: a slot value of the item always stands for the same value of the
-document. So a question with other numbers or names is still found, and a chance match of loose placeholders is not.
+document. So a question with other numbers or names is still found, and a chance match of loose placeholders is not:
+windows of fewer than three plain words are loose, and match only where their placeholders' values are equal too. Items
+of fewer than five template words are one window of their whole length.
 
 Native: DataFrame functions only.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.windows import window_hashes
+from quillstream.llm.windows import window_counts, window_hashes
 
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "meters", "metres", "dollars", "euros", "cents", "percent", "degrees", "km/h", "mph")
@@ -43,32 +45,53 @@ def template_words(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out + "_k", F.when(F.col("_t").rlike("[\x01-\x03]"), F.transform(out, lambda w: F.when(F.ascii(w) < 4, F.substring(w, 1, 1)).otherwise(w))).otherwise(F.col(out))).drop("_t")
 
 
+def _window_keys(df: DataFrame, words: str, size: int, out: str) -> DataFrame:
+    """Adds ``out``: a key of each window of ``size`` words; it holds the placeholders' values where the window is loose."""
+    loose = f"xxhash64(slice({words}, i + 1, {size}))"
+    df = window_hashes(df, words + "_k", size, "_t")
+    df = window_counts(df, words + "_k", "ascii(x) > 3", size, "_n")
+    # not get(_n, i): the planner would count all windows again for each of them
+    both = "zip_with(_t, _n, (t, n) -> struct(t, n))"
+    return df.withColumn(out, F.expr(f"transform({both}, (e, i) -> if(e.n < {LEAST_WORDS}, {loose}, e.t))")).drop("_t", "_n")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEAST_COVER) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. An item counts as held when matched
-    windows cover at least ``least_cover`` of its template words. Null and empty texts, and items of fewer than five
-    template words, match nothing. Rows that repeat a doc_id are each matched by themselves, and the row that covers most
-    of an item counts. Empty tables give no rows.
+    windows cover at least ``least_cover`` of its template words. Null and empty texts, and items without any word, match
+    nothing. Rows that repeat a doc_id are each matched by themselves, and the row that covers most of an item counts.
+    Empty tables give no rows.
     """
-    items = window_hashes(template_words(benchmark.select("item_id", "text"), "text", "_iw"), "_iw_k", WINDOW, "_h")
-    items = items.select("item_id", F.size("_iw").alias("item_words"), "_iw", F.posexplode_outer("_h").alias("ipos", "_ih")).where("_ih is not null")
-    items = items.select("item_id", "item_words", "ipos", "_ih", F.expr(f"slice(_iw, ipos + 1, {WINDOW})").alias("_is"))
-    items = items.where(f"size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS}")
+    words = template_words(benchmark.select("item_id", "text"), "text", "_iw").withColumn("item_words", F.size("_iw"))
+    short = sorted(r.item_words for r in words.where(f"item_words between 1 and {WINDOW - 1}").select("item_words").distinct().collect())
+    items = None
+    for size in (WINDOW, *short):
+        part = _window_keys(words.where(f"item_words {'>=' if size == WINDOW else '='} {size}"), "_iw", size, "_h")
+        part = part.select("item_id", "item_words", "_iw", F.posexplode("_h").alias("ipos", "_ih"))
+        part = part.select("item_id", "item_words", "ipos", "_ih", F.expr(f"slice(_iw, ipos + 1, {WINDOW})").alias("_is"))
+        items = part if items is None else items.union(part)
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = window_hashes(template_words(docs.select("doc_id", "text", F.xxhash64("text").alias("_row")), "text", "_dw"), "_dw_k", WINDOW, "_h")
-    found = found.select("doc_id", "_row", "_dw", F.posexplode_outer("_h").alias("dpos", "_dh")).where("_dh is not null")
+    found = _window_keys(template_words(docs.select("doc_id", "text", F.xxhash64("text").alias("_row")), "text", "_dw"), "_dw", WINDOW, "_h")
+    if short:
+        for size in short:
+            found = _window_keys(found, "_dw", size, f"_h{size}of")
+        at = [f"transform({h}, (h, i) -> struct(i as dpos, h as _dh))" for h in ("_h", *(f"_h{size}of" for size in short))]
+        found = found.select("doc_id", "_row", "_dw", F.expr(f"inline_outer(concat({', '.join(at)}))")).where("_dh is not null")
+    else:
+        found = found.select("doc_id", "_row", "_dw", F.posexplode_outer("_h").alias("dpos", "_dh")).where("_dh is not null")
     if not small:
         found = found.select("doc_id", "_row", F.expr(f"slice(_dw, dpos + 1, {WINDOW})").alias("_ds"), "dpos", "_dh")
     else:
         items = F.broadcast(items)
     slots = f"slice(_dw, dpos + 1, {WINDOW})" if small else "_ds"
-    pairs = f"filter(zip_with(_is, {slots}, (i, d) -> struct(i, d)), p -> ascii(p.i) < 4) as pairs"
+    # a loose window's values are equal already, and take no part in the slots' consistency
+    pairs = f"filter(zip_with(_is, slice({slots}, 1, size(_is)), (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS}) as pairs"
     hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "_row", "item_id", "item_words", "ipos", "dpos - ipos as diagonal", pairs)
     aligned = hits.groupBy("doc_id", "_row", "item_id", "item_words", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     steady = aligned.where("size(array_distinct(transform(pairs, p -> p.i))) = size(pairs)")
     whole = steady.groupBy("doc_id", "_row", "item_id", "item_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    covered = F.expr(f"aggregate(transform(at, (v, k) -> least({WINDOW}, coalesce(get(at, k + 1) - v, {WINDOW}))), 0L, (a, x) -> a + x)")
+    covered = F.expr(f"aggregate(transform(at, (v, k) -> least({WINDOW}, item_words, coalesce(get(at, k + 1) - v, {WINDOW}))), 0L, (a, x) -> a + x)")
     out = whole.select("doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), covered.alias("words_covered"), F.col("item_words").cast("long").alias("item_words"), F.expr("cast(size(filter(pairs, p -> p.i <> p.d)) as bigint)").alias("n_changed_slots"))
     out = out.where(F.col("words_covered") >= least_cover * F.col("item_words"))
     best = out.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("words_covered", "n_windows", (-F.col("n_changed_slots")).alias("same"))).alias("_b"))

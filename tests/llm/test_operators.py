@@ -365,3 +365,12 @@ def test_decontamination(spark, edge):
     assert (1, 1) in got and (2, 1) in got and not {k for k in got if k[0] in (4, 6, 7)}
     assert (3, 1) not in got  # one slot, two values
     assert contaminated(edge, bench).count() == 0 and contaminated(edge.limit(0), bench).count() == 0 and contaminated(edge, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_loose_and_short_items(spark):
+    items = {1: "Compute 12 + 30 * 7 - 4", 2: "Solve 3x + 5 = 20", 3: "中文句子没有空格", 4: "Capital of Peru?", 5: "Solve 8", 6: "Add 7 kg to 9 kg, then say how many kg of rice Maria has with 4 kg 5 g 6 g 7 g more", 7: "", 8: "?!", 9: "who wrote this famous book"}
+    docs = {i: "Before it. " + t + " After it." for i, t in items.items()} | {101: "Compute 13 + 30 * 7 - 4", 102: "Solve 3x + 5 = 21", 103: "中文句子没有空格吗", 104: "Capital in Peru?", 105: "Solve 9", 106: "1 2 3 4 5 6 7 8 9", 107: "", 108: None}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert sorted(got) == [(i, i) for i in (1, 2, 3, 4, 5, 6, 9)]
+    assert all(r.words_covered == r.item_words and r.n_changed_slots == 0 for r in got.values()) and got[4, 4].item_words == 3

@@ -7,7 +7,7 @@ begin, reads the index, and reads each record by its range.
 
 Payloads of at least ``LEAST`` bytes that are equal are written once, as the response with the largest page_id; the
 others are revisits that name it. Packages are written below a folder that all executors see, under the name of their
-partition, so a task that runs again replaces its own.
+task's attempt; a package counts once the row that names it is there, so what a lost attempt leaves is never read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST = 1000
 #: A package is closed when its data reach this size.
 PACKAGE_BYTES = 32 << 20
+#: Records that a task reads of a package at once.
+BLOCK_RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -130,11 +132,29 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])].partition(b"\r\n\r\n")[2]
 
 
-def read_package(source, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each record of a package, by the ranges of its index."""
+def index_blocks(source, size: int, records: int) -> Iterator[tuple[int, int, int, int]]:
+    """(place of the archive, its length, place in the index, length there) of each run of ``records`` index lines."""
     members = directory(source, size)
     (first, length), (index, n) = members[DATA], members[INDEX]
     source.seek(index)
+    at = taken = lines = 0
+    while at < n:
+        part = source.read(min(1 << 20, n - at))
+        k = part.find(b"\n")
+        while k >= 0:
+            lines += 1
+            if lines == records:
+                yield first, length, index + taken, at + k + 1 - taken
+                taken, lines = at + k + 1, 0
+            k = part.find(b"\n", k + 1)
+        at += len(part)
+    if taken < n:
+        yield first, length, index + taken, n - taken
+
+
+def read_records(source, first: int, length: int, index: int, n: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and payload of each record that the index names between ``index`` and ``index + n``, by its range."""
+    source.seek(index)
     for line in source.read(n).decode().splitlines():
         where = json.loads(line.split(" ", 2)[2])
         if where["offset"] + where["length"] > length:
@@ -146,8 +166,9 @@ def read_package(source, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write each row of ``pages`` (page_id, url, html) as a record; returns (path, records), a row per package.
 
-    Other columns are ignored. Null html is an empty payload, null url an empty one; a null page_id stays null. page_id should be unique: rows that repeat one are written
-    each, and a revisit names the page_id. An empty table gives no package.
+    Other columns are ignored. Null html is an empty payload, null url an empty one; a null page_id stays null. Rows that
+    repeat a page_id are written each; of equal payloads those of the largest page_id are all responses. An empty table
+    gives no package.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
@@ -167,14 +188,13 @@ def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> Data
         def close() -> pa.RecordBatch:
             package.close()
             stream.close()
-            files.move(f"{root}/{name}.{task.taskAttemptId()}", f"{root}/{name}")
             return pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([len(package.index)], pa.int64())], ["path", "records"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "refers_url")), strict=True):
                 if package is None:
-                    name = f"part-{task.partitionId():06d}-{part:04d}.wacz"
-                    stream = files.open_output_stream(f"{root}/{name}.{task.taskAttemptId()}")
+                    name = f"part-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}.wacz"
+                    stream = files.open_output_stream(f"{root}/{name}")
                     package = Package(stream)
                 package.add(row[0], row[1], record(*row), row[3])
                 if package.size >= package_bytes:
@@ -186,33 +206,44 @@ def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> Data
     return stage(map_arrow(rows, write, "path string, records bigint"), "packages")
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
-    """The records of the packages whose ``path`` is given, one task or more per package at most by their number.
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "actual_bytes", "actual_digest"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    page = lambda x: int(x[len("<urn:page:") : -1]) if x != "<urn:page:>" else None
+    for batch in batches:
+        for block in batch.to_pylist():
+            files, inner = pafs.FileSystem.from_uri(block.pop("path"))
+            rows = []
+            with files.open_input_file(inner) as source:
+                for h, payload in read_records(source, **block):
+                    response = h["warc-type"] == "response"
+                    rows.append((page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], None if response else page(h["warc-refers-to"]), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), len(payload) if response else None, hashlib.sha1(payload).hexdigest() if response else None))
+            if rows:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def read_packages(packages: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
+    """The records of the packages whose ``path`` is given, read in blocks of ``block_records`` by many tasks.
 
     page_id, record_type, refers_to, payload_digest and payload_bytes as the record states them, actual_digest and
     actual_bytes of the payload that was read (null for revisits), url.
     """
+    spark = packages.sparkSession
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "actual_bytes", "actual_digest"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        page = lambda x: int(x[len("<urn:page:") : -1]) if x != "<urn:page:>" else None
+    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 files, inner = pafs.FileSystem.from_uri(path)
-                rows = []
                 with files.open_input_file(inner) as source:
-                    for h, payload in read_package(source, source.size()):
-                        response = h["warc-type"] == "response"
-                        rows.append((page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], None if response else page(h["warc-refers-to"]), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), len(payload) if response else None, hashlib.sha1(payload).hexdigest() if response else None))
-                        if len(rows) >= 10_000:
-                            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                            rows = []
+                    rows = [(path, *x) for x in index_blocks(source, source.size(), block_records)]
                 if rows:
-                    yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)], ["path", "first", "length", "index", "n"])
 
-    spread = packages.select("path").repartition(F.col("path"))
-    return map_arrow(spread, read, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, actual_bytes bigint, actual_digest string")
+    tasks = lambda n: max(1, min(n, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    listed = map_arrow(packages.select("path").repartition(tasks(packages.count()), "path"), list_blocks, "path string, first bigint, length bigint, index bigint, n bigint")
+    blocks = stage(listed, "package-blocks")
+    spread = blocks.repartition(tasks(blocks.count()), "path", "index")
+    return map_arrow(spread, _read_blocks, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, actual_bytes bigint, actual_digest string")
 
 
 def archived(pages: DataFrame) -> DataFrame:

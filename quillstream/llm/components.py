@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.staging import stage
+from quillstream.llm.staging import drop, stage
 
 
 def _seen(edges: DataFrame) -> tuple:
@@ -25,13 +25,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour of u moves to the smallest of u and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        old = (edges, least)
         edges = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        drop(*old)
         # small star: the smaller neighbours of u, and u, move to the smallest of them
         least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = edges.join(least, "u").selectExpr("v as u", "m as v").where("u <> v")
+        old = (edges, least)
         edges = stage(moved.union(least.selectExpr("u", "m as v")).distinct(), "small-star")
+        drop(*old)
         after = _seen(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("v"), F.col("v").alias("component"))
+    out._staged_at = edges._staged_at  # for drop()
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,25 +11,32 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _SENT: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local mode, tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder where it is unset, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
@@ -39,29 +47,62 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more, so that a job's tables don't add up on disk."""
+    for table in tables:
+        path = None if table is None else table.__dict__.get("_staged_at")
+        if path:
+            files, target = _file_system(table.sparkSession, path)
+            files.delete(target, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
-    """``docs`` with an id of its own, greater than all others, in place of each null doc_id, and the greatest doc_id.
+def row_ids(docs: DataFrame) -> tuple[DataFrame, str, DataFrame | None]:
+    """``docs`` with a column that tells its rows apart, that column's name, and the rows whose value isn't their doc_id.
 
-    The greatest is None when no id is null, and ``docs`` stays as it is then. Rows without an id are written, so that
-    their new ids hold. New ids follow each other without gaps, so they fit whatever room the ids leave.
+    The value is the doc_id where one row has it. Rows with a null doc_id, and all but one of those that repeat one, get
+    values greater than all ids, without gaps, so that they fit whatever room the ids leave. The third result has (row,
+    doc_id) of these rows and is None where there are none. Such rows are written, so that their values hold.
     """
+    row = free_name(docs.columns, "_row")
+    plain = docs.withColumn(row, F.col("doc_id").cast("long"))
     known = docs.agg(F.max("doc_id").cast("long").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    if not known.nulls:
-        return docs, None
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    repeats = not again.isEmpty()
+    if not known.nulls and not repeats:
+        drop(again)
+        return plain, row, None
     top = 0 if known.top is None else known.top
-    own = stage(docs.where("doc_id is null").withColumn("_n", F.monotonically_increasing_id()), "nameless")
+    odd = docs.where("doc_id is null")
+    if repeats:
+        odd = odd.unionByName(docs.join(again, F.col("doc_id") == F.col("_again"), "left_semi"))
+        plain = plain.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    n = free_name(docs.columns, "_n")
+    odd = stage(odd.withColumn(n, F.monotonically_increasing_id()), "odd-rows")
     # the number's high bits are the partition's, the low 33 the row's in it
-    parts = own.groupBy(F.shiftright("_n", 33).alias("_p")).agg(F.count("*").alias("_size"))
-    parts = stage(parts.selectExpr("_p", "sum(_size) over (order by _p) - _size as _before"), "nameless-parts")
-    new = F.lit(top) + 1 + F.col("_before") + F.col("_n").bitwiseAND((1 << 33) - 1)
-    own = own.join(F.broadcast(parts), F.shiftright("_n", 33) == F.col("_p")).withColumn("doc_id", new)
-    return docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(own.select(*docs.columns)), top
+    parts = odd.groupBy(F.shiftright(n, 33).alias("_p")).agg(F.count("*").alias("_size"))
+    parts = stage(parts.selectExpr("_p", "sum(_size) over (order by _p) - _size as _before"), "odd-parts")
+    first = stage(odd.where("doc_id is not null").groupBy("doc_id").agg(F.min(n).alias("_first")).select("_first"), "first-rows")
+    fresh = F.lit(top) + 1 + F.col("_before") + F.col(n).bitwiseAND((1 << 33) - 1)
+    odd = odd.join(F.broadcast(parts), F.shiftright(n, 33) == F.col("_p")).join(first, F.col(n) == F.col("_first"), "left")
+    odd = odd.withColumn(row, F.when(F.col("_first").isNull(), fresh).otherwise(F.col("doc_id").cast("long")))
+    names = stage(odd.where("_first is null").select(F.col(row).alias("row"), "doc_id"), "odd-names")
+    return plain.where("doc_id is not null").unionByName(odd.select(*docs.columns, row)), row, names
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package's modules sent to the executors, once per session."""
     context = df.sparkSession.sparkContext
     if _SENT.get("to") != context.applicationId:

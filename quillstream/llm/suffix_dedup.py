@@ -5,22 +5,30 @@ equal anchors at the same place, so only windows of one anchor's text need to be
 
 1. Each text's anchors are listed; anchors whose gram occurs at one place only are done.
 2. For the others the segment of the text that their windows cover goes to the group of the gram. Equal segments are one
-   (all their windows are repeated), so a passage in a third of the corpus is compared once.
+   (all their windows are repeated), so a passage in a third of the corpus is compared once; equal segments of one text
+   that overlap are one row, so a long run of one character is as short as any other.
 3. In a group the segments are sorted by what follows the anchor and by what stands before it: a mergesort whose
    comparisons find the common extension with prefix polynomial hashes and binary search. Runs of neighbours with a common
    extension of v bytes after the anchor, and neighbours among them with l bytes in common before it, share a string of
    l + v bytes; from 400 on it is repeated. Bytes are compared before that counts, and another hash base is taken if a
    collision shows.
-4. Groups of more than ``GROUP`` different segments are compared across tasks instead, by the hashes of their windows.
+4. A group of more than ``GROUP`` different segments, which would strain a task, is split by longer anchors first: its
+   windows go by the place of the gram in them into ``CLASSES`` classes, and a class is split by the bytes that all its
+   windows have in common. Segments become shorter with each round, so that they fall apart or become equal. Then the
+   same sort follows; so results are the same for any ``GROUP``.
 5. The covered intervals of a text are merged, and the bytes outside are hashed.
 
 Texts that are equal are one text in all of this; a text that occurs twice is covered whole.
+
+Beside the removal, ``holds_passage`` tells of passages of more than 50 words, whatever their bytes: windows of 51 words
+have anchors in the same way, and the hashes of those windows whose anchor occurs more than once are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +37,13 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
-from quillstream.llm.staging import map_arrow, stage
+from quillstream.llm.staging import drop, map_arrow, stage
 
 WIDTH, GRAM = 400, 32
-#: Different segments of a group sorted in one task, and segments worked on at once.
-GROUP, BLOCK = 4000, 8000
+#: Different segments of a group sorted in one task, classes that a larger one is split into, and segments worked on at once.
+GROUP, CLASSES, BLOCK = 1000, 8, 2000
+#: Words of a passage, and of its anchor; windows looked at together.
+PASSAGE, WORDS, WORD_PIECE = 51, 16, 1 << 15
 #: Window starts of a text looked at together.
 PIECE = 1 << 20
 _PLACE = 24
@@ -64,6 +74,29 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each ``width`` neighbouring values."""
+    n = len(values) - width + 1
+    return np.lib.stride_tricks.sliding_window_view(values, width).argmin(1) + np.arange(n) if n > 0 else np.zeros(0, np.int64)
+
+
+def word_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor's words, its place, hash of the window) of each window of PASSAGE words of a text."""
+    word = np.concatenate([[False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    if len(start) < PASSAGE:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
+    pre = bytehash.prefix(data)
+    h = bytehash.mix(bytehash.slices(pre, start, end) ^ (end - start).astype(U64))
+    power = bytehash.powers(len(h))
+    sums = np.concatenate([[U64(0)], np.cumsum(h * power[0][: len(h)])])
+    of = lambda n: bytehash.mix((sums[n:] - sums[:-n]) * power[1][: len(h) - n + 1])
+    gram = of(WORDS)
+    least = np.concatenate([_sliding_least(gram[k : k + WORD_PIECE + PASSAGE - WORDS], PASSAGE - WORDS + 1) + k for k in range(0, len(h) - PASSAGE + 1, WORD_PIECE)])
+    return gram[least], least, of(PASSAGE)
+
+
 def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
     for x in column:
         yield np.frombuffer((x.as_py() or "").encode("utf-8", "replace"), np.uint8)
@@ -76,30 +109,85 @@ def _list(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each text's anchors, and those that it has at several places; the same of its words."""
     with np.errstate(over="ignore"):
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                found = [anchors(d)[:2] for d in _bytes(part.column("text"))]
-                yield pa.record_batch([part.column("doc_id"), part.column("h1"), part.column("h2"), part.column("n_bytes"), _list([h.view(np.int64) for h, _ in found], pa.int64()), _list([p for _, p in found], pa.int64())], ["doc_id", "h1", "h2", "n_bytes", "grams", "places"])
+                found: tuple[list, ...] = ([], [], [], [])
+                for data in _bytes(part.column("text")):
+                    gram, place, _ = word_anchors(data)
+                    for side, grams in enumerate((anchors(data)[0], gram[np.unique(place, return_index=True)[1]])):
+                        own, n = np.unique(grams, return_counts=True)
+                        found[2 * side].append(own.view(np.int64))
+                        found[2 * side + 1].append(own[n > 1].view(np.int64))
+                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "h1", "h2", "n_bytes")), *(_list(x, pa.int64()) for x in found)], ["doc_id", "h1", "h2", "n_bytes", "grams", "grams_again", "words", "words_again"])
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of a text's anchors at ``places``."""
-    names = ["gram", "s1", "s2", "h1", "h2", "start", "back", "segment"]
+    """The segments of a text's anchors whose gram is one of ``grams``; equal ones that overlap are one, from start to last."""
+    names = ["gram", "s1", "s2", "h1", "h2", "start", "last", "back", "segment"]
     with np.errstate(over="ignore"):
         for batch in batches:
             for k in range(len(batch)):
                 data = np.frombuffer(batch.column("text")[k].as_py().encode("utf-8", "replace"), np.uint8)
                 h, place, first, last = anchors(data)
-                own = np.flatnonzero(np.isin(place, batch.column("places")[k].values.to_numpy()))
-                if not len(own):
-                    continue
-                raw = data.tobytes()
-                parts = [raw[a : b + WIDTH] for a, b in zip(first[own].tolist(), last[own].tolist(), strict=True)]
-                keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in parts), np.int64).reshape(-1, 2)
-                one = lambda c, n=len(own): pa.array([batch.column(c)[k].as_py()] * n, pa.int64())  # noqa: E731, B023
-                yield pa.record_batch([pa.array(h[own].view(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), one("h1"), one("h2"), pa.array(first[own]), pa.array((place - first)[own]), pa.array(parts, pa.binary())], names)
+                own = np.flatnonzero(np.isin(h.view(np.int64), batch.column("grams")[k].values.to_numpy()))
+                raw, rows, at = data.tobytes(), [], {}
+                for a, b, p, g in zip(first[own].tolist(), last[own].tolist(), place[own].tolist(), h[own].view(np.int64).tolist(), strict=True):
+                    part = raw[a : b + WIDTH]
+                    key = (g, hashlib.blake2b(part, digest_size=16).digest(), p - a)
+                    if (n := at.get(key)) is not None and a - rows[n][1] <= WIDTH:
+                        rows[n][1] = a
+                    else:
+                        at[key] = len(rows)
+                        rows.append([a, a, part, key])
+                for c in range(0, len(rows), 4096):
+                    some = rows[c : c + 4096]
+                    keys = np.frombuffer(b"".join(key[1] for *_, key in some), np.int64).reshape(-1, 2)
+                    one = lambda c, n=len(some): pa.array([batch.column(c)[k].as_py()] * n, pa.int64())  # noqa: E731, B023
+                    yield pa.record_batch([pa.array([x[3][0] for x in some], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), one("h1"), one("h2"), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([x[3][2] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.binary())], names)
+
+
+def _passage_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, window): the hashes of a text's windows of PASSAGE words whose anchor is one of ``words``, each once or twice."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for k in range(len(batch)):
+                data = np.frombuffer(batch.column("text")[k].as_py().encode("utf-8", "replace"), np.uint8)
+                gram, _, window = word_anchors(data)
+                own, n = np.unique(window[np.isin(gram.view(np.int64), batch.column("words")[k].values.to_numpy())], return_counts=True)
+                own = np.concatenate([own, own[n > 1]]).view(np.int64)
+                for c in range(0, len(own), 1 << 16):
+                    part = own[c : c + (1 << 16)]
+                    one = lambda c, n=len(part): pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64))  # noqa: E731, B023
+                    yield pa.record_batch([one("h1"), one("h2"), pa.array(part)], ["h1", "h2", "window"])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of large groups by class: what the windows of a class cover, under the hash of the bytes that all have.
+
+    ``low`` and ``high``: the least and greatest place of the gram in the windows that the segment stands for.
+    """
+    names = ["gram", "s1", "s2", "new_gram", "t1", "t2", "shift", "low", "high", "back", "segment"]
+    for batch in batches:
+        out = []
+        for g, s1, s2, low, high, back, segment in zip(*(batch.column(c).to_pylist() for c in ("gram", "s1", "s2", "low", "high", "back", "segment")), strict=True):
+            width = -(-(high - low + 1) // CLASSES)
+            for a in range(low, high + 1, width):
+                b = min(high, a + width - 1)
+                first, last = max(0, back - b), min(len(segment) - WIDTH, back - a)
+                if first <= last:
+                    part = segment[first : last + WIDTH]
+                    core = segment[back - a : back - b + WIDTH]
+                    key = hashlib.blake2b(struct.pack("<qqq", g, a, b) + core, digest_size=8).digest()
+                    t = hashlib.blake2b(part, digest_size=16).digest()
+                    out.append((g, s1, s2, *struct.unpack("<q", key), *struct.unpack("<qq", t), first, a, b, back - first, part))
+            if len(out) >= 4096:
+                yield pa.record_batch([pa.array(x, pa.binary() if n == "segment" else pa.int64()) for n, x in zip(names, zip(*out, strict=True), strict=True)], names)
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(x, pa.binary() if n == "segment" else pa.int64()) for n, x in zip(names, zip(*out, strict=True), strict=True)], names)
 
 
 class Text:
@@ -230,29 +318,6 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.slice(k, 64)
-                segments = [np.frombuffer(x.as_py(), np.uint8) for x in part.column("segment")]
-                rows = np.repeat(np.arange(len(part)), [len(s) - WIDTH + 1 for s in segments])
-                offset = np.concatenate([np.arange(len(s) - WIDTH + 1) for s in segments])
-                ends = [bytehash.prefix(s, seed) for s in segments for seed in (0, 1)]
-                w = [np.concatenate([bytehash.mix(bytehash.slices(p, i := np.arange(len(p) - WIDTH), i + WIDTH)) for p in ends[seed::2]]) for seed in (0, 1)]
-                take = pa.array(rows)
-                yield pa.record_batch([*(part.column(c).take(take) for c in ("gram", "s1", "s2")), pa.array(offset), pa.array(w[0].view(np.int64)), pa.array(w[1].view(np.int64))], ["gram", "s1", "s2", "at", "w1", "w2"])
-
-
-def _across_tasks(rows: DataFrame) -> DataFrame:
-    """The repeated part of each segment of large groups: windows whose hash pair two segments have."""
-    windows = stage(map_arrow(rows.select("gram", "s1", "s2", "segment"), _window_hashes, "gram bigint, s1 bigint, s2 bigint, at bigint, w1 bigint, w2 bigint"), "windows")
-    key = F.xxhash64("s1", "s2")
-    twice = windows.groupBy("gram", "w1", "w2").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("gram", "w1", "w2")
-    hits = windows.join(twice, ["gram", "w1", "w2"], "left_semi")
-    return hits.groupBy("gram", "s1", "s2").agg(F.min("at").alias("lo"), (F.max("at") + WIDTH).alias("hi"))
-
-
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the intervals of each text and hash what is left."""
     for batch in batches:
@@ -277,51 +342,96 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("h1"), batch.column("h2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], ["h1", "h2", "removed", "spans", "kept"])
 
 
+def _repeated_parts(segments: DataFrame) -> DataFrame:
+    """(h1, h2, lo, hi): the repeated intervals of each text, from its segments (gram, s1, s2, h1, h2, start, last, back, segment)."""
+    places = segments.select("gram", "s1", "s2", "h1", "h2", "start", "last")
+    spot = F.xxhash64("h1", "h2", "start")
+    keys = ["gram", "s1", "s2"]
+    distinct = segments.groupBy(keys).agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.max(F.col("last") - F.col("start")).alias("apart"), F.min("back").alias("back"), F.min("segment").alias("segment"))
+    distinct = distinct.select(*keys, ((F.col("a") != F.col("b")) | (F.col("apart") > 0)).alias("twice"), "back", "segment", F.lit(0).cast("long").alias("low"), F.lit(WIDTH - GRAM).cast("long").alias("high"))
+    out = None
+    while True:
+        distinct = stage(distinct, "segments-distinct")
+        sizes = stage(distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+        large = stage(sizes.where(f"n > {GROUP}").select("gram"), "large-groups")
+        small = distinct.join(sizes.where(f"n <= {GROUP}").select("gram"), "gram", "left_semi").select(*keys, "back", "segment").repartition("gram").sortWithinPartitions("gram", "s1", "s2")
+        found = map_arrow(small, _sort_groups, "gram bigint, s1 bigint, s2 bigint, lo bigint, hi bigint")
+        found = found.union(distinct.where("twice").select(*keys, F.lit(0).cast("long").alias("lo"), F.octet_length("segment").cast("long").alias("hi")))
+        found = stage(found, "repeated")
+        cuts = stage(places.join(found, keys).select("h1", "h2", (F.col("start") + F.col("lo")).alias("lo"), (F.col("last") + F.col("hi")).alias("hi")), "intervals")
+        out = cuts if out is None else out.union(cuts)
+        drop(found, sizes)
+        if large.isEmpty():
+            drop(distinct, large)
+            return out
+        parts = stage(map_arrow(distinct.join(large, "gram", "left_semi"), _split, "gram bigint, s1 bigint, s2 bigint, new_gram bigint, t1 bigint, t2 bigint, shift bigint, low bigint, high bigint, back bigint, segment binary"), "split-segments")
+        moved = parts.select(*keys, "new_gram", "t1", "t2", "shift")
+        before = places
+        places = stage(places.join(moved, keys).select(F.col("new_gram").alias("gram"), F.col("t1").alias("s1"), F.col("t2").alias("s2"), "h1", "h2", (F.col("start") + F.col("shift")).alias("start"), (F.col("last") + F.col("shift")).alias("last")), "places")
+        spots = stage(places.groupBy(keys).agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.max(F.col("last") - F.col("start")).alias("apart")), "spots")
+        old = (distinct, large)
+        distinct = parts.groupBy(F.col("new_gram").alias("gram"), F.col("t1").alias("s1"), F.col("t2").alias("s2")).agg(*[F.min(c).alias(c) for c in ("low", "high", "back", "segment")])
+        distinct = stage(distinct.join(spots, keys).select(*keys, ((F.col("a") != F.col("b")) | (F.col("apart") > 0)).alias("twice"), "back", "segment", "low", "high"), "split-distinct")
+        drop(*old, parts, spots, before)
+
+
+def _wanted(listed: DataFrame, column: str) -> DataFrame:
+    """(h1, h2, column): the grams of each text that another text has, or that it has at several places."""
+    each = listed.where(F.size(column) > 0).select("h1", "h2", F.explode(column).alias("gram"))
+    key = F.xxhash64("h1", "h2")
+    twice = each.groupBy("gram").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("gram")
+    twice = stage(twice.union(listed.select(F.explode(f"{column}_again").alias("gram"))).distinct(), "grams")
+    wanted = stage(each.join(twice, "gram", "left_semi").groupBy("h1", "h2").agg(F.collect_set("gram").alias(column)), "wanted-grams")
+    drop(twice)
+    return wanted
+
+
+def _with_passage(texts: DataFrame) -> DataFrame:
+    """(h1, h2) of the texts that hold a passage of PASSAGE words that starts at two places, in one text or in several."""
+    windows = stage(map_arrow(texts.where("words is not null").select("h1", "h2", "text", "words"), _passage_windows, "h1 bigint, h2 bigint, window bigint"), "passage-windows")
+    repeated = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    out = stage(windows.join(repeated, "window", "left_semi").select("h1", "h2").distinct(), "passages")
+    drop(windows)
+    return out
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, holds_passage of each row of ``docs`` (doc_id, text).
 
-    Other columns are ignored. Null and empty texts have 0 bytes (kept_sha256 is that of no bytes). Texts shorter than
-    400 bytes lose nothing. Rows that repeat, with the same doc_id or not, are copies of each other. An empty table gives
-    no rows.
+    ``n_kept``: bytes that are left. ``holds_passage``: whether the text loses bytes or holds a passage of more than 50
+    words that also starts elsewhere (in a text with equal words in another place, or a copy). Other columns are ignored.
+    Null and empty texts have 0 bytes (kept_sha256 is that of no bytes). Texts shorter than 400 bytes lose nothing. Rows
+    that repeat, with the same doc_id or not, are copies of each other. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.octet_length(text).cast("long").alias("n_bytes"))
-    listed = stage(map_arrow(rows, _list_anchors, f"doc_id {dict(docs.dtypes)['doc_id']}, h1 bigint, h2 bigint, n_bytes bigint, grams array<bigint>, places array<bigint>"), "anchors")
+    listed = stage(map_arrow(rows, _list_anchors, f"doc_id {dict(docs.dtypes)['doc_id']}, h1 bigint, h2 bigint, n_bytes bigint, grams array<bigint>, grams_again array<bigint>, words array<bigint>, words_again array<bigint>"), "anchors")
     classes = stage(listed.groupBy("h1", "h2", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "texts")
-
-    each = listed.where("n_bytes >= 400").select("h1", "h2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("h1", "h2", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
-    key = F.xxhash64("h1", "h2", "place")
-    twice = stage(each.groupBy("gram").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("gram"), "grams")
-    wanted = each.join(twice, "gram", "left_semi").groupBy("h1", "h2").agg(F.collect_set("place").alias("places"))
-    wanted = stage(wanted.join(classes, ["h1", "h2"]).selectExpr("first as _d", "h1 as _h1", "h2 as _h2", "places"), "wanted")
+    grams, words = _wanted(listed, "grams"), _wanted(listed, "words")
+    wanted = stage(grams.join(words, ["h1", "h2"], "full").join(classes, ["h1", "h2"]).select(F.col("first").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "grams", "words"), "wanted")
+    drop(grams, words)
     at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    texts = stage(rows.join(wanted, at).select("h1", "h2", "text", "places"), "wanted-texts")
-    segments = stage(map_arrow(texts, _cut_segments, "gram bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, start bigint, back bigint, segment binary"), "segments")
-
-    spot = F.xxhash64("h1", "h2", "start")
-    distinct = segments.groupBy("gram", "s1", "s2").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.first("back").alias("back"), F.first("segment").alias("segment"))
-    distinct = stage(distinct, "segments-distinct")
-    sizes = stage(distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    single = distinct.join(sizes, "gram").select("gram", "s1", "s2", "back", "segment", "n")
-    small = single.where(f"n <= {GROUP}").drop("n").repartition("gram").sortWithinPartitions("gram", "s1", "s2")
-    found = map_arrow(small, _sort_groups, "gram bigint, s1 bigint, s2 bigint, lo bigint, hi bigint")
-    if not sizes.where(f"n > {GROUP}").isEmpty():
-        found = found.union(_across_tasks(single.where(f"n > {GROUP}")))
-    whole = distinct.where("a <> b").select("gram", "s1", "s2", F.lit(0).cast("long").alias("lo"), F.octet_length("segment").cast("long").alias("hi"))
-    found = stage(found.union(whole), "repeated")
-
-    cuts = segments.select("gram", "s1", "s2", "h1", "h2", "start").join(found, ["gram", "s1", "s2"])
-    cuts = cuts.groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("cuts"))
+    texts = stage(rows.join(wanted, at).select("h1", "h2", "text", "grams", "words"), "wanted-texts")
+    drop(wanted)
+    passages = _with_passage(texts).withColumn("passage", F.lit(True))
+    texts_cut = texts.where("grams is not null").select("h1", "h2", "text", "grams")
+    segments = stage(map_arrow(texts_cut, _cut_segments, "gram bigint, s1 bigint, s2 bigint, h1 bigint, h2 bigint, start bigint, last bigint, back bigint, segment binary"), "segments")
+    cuts = _repeated_parts(segments).groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
     kept = texts.select("h1", "h2", "text").join(cuts, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     kept = stage(map_arrow(kept, _keep, "h1 bigint, h2 bigint, removed bigint, spans bigint, kept string"), "kept")
+    drop(texts, segments)
+    plain = classes.join(kept, ["h1", "h2"], "left").join(passages, ["h1", "h2"], "left").join(listed.groupBy("h1", "h2").agg(F.max(F.size("words") > 0).alias("long")), ["h1", "h2"])
+    plain = stage(plain, "texts-kept")
+    drop(listed, classes, kept, passages)
 
-    plain = stage(classes.join(kept, ["h1", "h2"], "left"), "texts-kept")
     whole_text = F.expr(f"copies > 1 and n_bytes >= {WIDTH}")
     plain = plain.select(
         "h1", "h2", "n_bytes",
         F.when(whole_text, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole_text, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole_text, F.sha2(F.lit(""), 256)).otherwise(F.col("kept")).alias("kept_sha256"),
+        (F.coalesce("passage", F.lit(False)) | (F.expr("copies > 1") & F.col("long"))).alias("passage"),
     )
     own = rows.select("doc_id", "h1", "h2", "n_bytes", F.sha2("text", 256).alias("_own"))
-    return own.join(plain, ["h1", "h2", "n_bytes"]).select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept_sha256", "_own").alias("kept_sha256"))
+    out = own.join(plain, ["h1", "h2", "n_bytes"]).withColumn("holds_passage", F.col("passage") | (F.col("n_removed") > 0))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept_sha256", "_own").alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "holds_passage")

@@ -20,7 +20,7 @@ def test_pipeline(spark):
     columns = docs.columns
     kept = {r.doc_id for r in queries.op1_quality_rules(spark, DATA).collect() if r.kept}
     rows = {r.doc_id: r.text for r in docs.collect()}
-    near = brute_near([(i, rows[i]) for i in sorted(kept)])
+    near = brute_near([(i, rows[i]) for i in sorted(kept)], corpus_pipeline.SHINGLE)
     alone = {i for i, (_, c) in near.items() if c == i}
     step = docs
     seen = []

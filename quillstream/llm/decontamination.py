@@ -3,9 +3,9 @@
 A text becomes template words: lower case without punctuation, where numbers, units behind numbers, and names
 (capitalised words inside a sentence) are typed placeholders that remember their value. Windows of five template words
 are joined by hash with the windows of the benchmark items. The matched windows of a document and an item that lie on
-one alignment must fill the slots consistently: a slot value of the item always stands for the same value of the
-document. So a question with other numbers or names is still found, and a chance match of loose placeholders is not:
-windows of fewer than three plain words are loose, and match only where their placeholders' values are equal too. Items
+one alignment must fill the slots consistently: a name of the item always stands for the same name of the document.
+Numbers and units are slots by their place, as equal ones ("3 apples and 3 pears") needn't stay equal. So a question with
+other numbers or names is still found, and a chance match of loose placeholders is not: windows of fewer than three plain words are loose, and match only where their placeholders' values are equal too. Items
 of fewer than five template words are one window of their whole length.
 
 Native: DataFrame functions only.
@@ -89,7 +89,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     pairs = f"filter(zip_with(_is, slice({slots}, 1, size(_is)), (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS}) as pairs"
     hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "_row", "item_id", "item_words", "ipos", "dpos - ipos as diagonal", pairs)
     aligned = hits.groupBy("doc_id", "_row", "item_id", "item_words", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    steady = aligned.where("size(array_distinct(transform(pairs, p -> p.i))) = size(pairs)")
+    steady = aligned.where("size(array_distinct(transform(filter(pairs, p -> ascii(p.i) = 2), p -> p.i))) = size(filter(pairs, p -> ascii(p.i) = 2))")
     whole = steady.groupBy("doc_id", "_row", "item_id", "item_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     covered = F.expr(f"aggregate(transform(at, (v, k) -> least({WINDOW}, item_words, coalesce(get(at, k + 1) - v, {WINDOW}))), 0L, (a, x) -> a + x)")
     out = whole.select("doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), covered.alias("words_covered"), F.col("item_words").cast("long").alias("item_words"), F.expr("cast(size(filter(pairs, p -> p.i <> p.d)) as bigint)").alias("n_changed_slots"))

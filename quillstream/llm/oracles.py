@@ -26,17 +26,17 @@ ratios as (
 buckets as (
   select lang, source, ratio, least, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as b from ratios),
 levels as (
-  select lang, source, ratio, least, count(*) as n, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3, 0 as level from buckets group by all
-  union all select lang, null, ratio, least, count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.75), 1 from buckets group by lang, ratio, least
-  union all select null, null, ratio, least, count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.75), 2 from buckets group by ratio, least),
+  select lang, source, ratio, least, count(*) as n, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.5) as q2, 0 as level from buckets group by all
+  union all select lang, null, ratio, least, count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.5), 1 from buckets group by lang, ratio, least
+  union all select null, null, ratio, least, count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.5), 2 from buckets group by ratio, least),
 chosen as (
   select f.lang, f.source, f.ratio,
          case when f.n >= 200 then f.q1 when g.n >= 200 then g.q1 else e.q1 end as q1,
-         case when f.n >= 200 then f.q3 when g.n >= 200 then g.q3 else e.q3 end as q3, f.least
+         case when f.n >= 200 then f.q2 when g.n >= 200 then g.q2 else e.q2 end as q2, f.least
   from levels f join levels g on g.level = 1 and f.ratio = g.ratio and f.lang is not distinct from g.lang
   join levels e on e.level = 2 and e.ratio = f.ratio where f.level = 0),
 fences as (
-  select lang, source, ratio, q1 - 4 * greatest(q3 - q1, least) as lo, q3 + 4 * greatest(q3 - q1, least) as hi from chosen),
+  select lang, source, ratio, q2 - 4 * greatest(2 * (q2 - q1), least) as lo, q2 + 4 * greatest(2 * (q2 - q1), least) as hi from chosen),
 judged as (
   select c.*, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
     (select coalesce(bool_and(case f.ratio when 'symbols' then 1000 * n_symbols // n_words when 'dup_lines' then 1000 * n_dup_lines // n_lines
@@ -69,7 +69,7 @@ hits as (
 slots as (
   select doc_id, item_id, diagonal, br[j] as bv, dr[j] as dv from (select *, unnest(range(1, 6)) as j from hits) where ascii(br[j]) < 4),
 bad as (
-  select distinct doc_id, item_id, diagonal from (select doc_id, item_id, diagonal, bv from slots group by all having count(distinct dv) > 1)),
+  select distinct doc_id, item_id, diagonal from (select doc_id, item_id, diagonal, bv from slots where ascii(bv) = 2 group by all having count(distinct dv) > 1)),
 steady as (
   select * from hits h where not exists (select 1 from bad b where b.doc_id = h.doc_id and b.item_id = h.item_id and b.diagonal = h.diagonal)),
 covered as (

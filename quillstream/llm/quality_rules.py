@@ -3,7 +3,10 @@
 Each document gets counts over its whole text. The ratios made of them go into log-linear histogram sketches (a bucket
 keeps the six highest bits of the value, so its relative error is at most 1/32). Sketches merge by adding counts, so one
 scan builds them per (lang, source) and the coarser ones (lang; everything) are sums of the finer ones. The limits of a
-ratio are its quartiles plus ``reach`` times the interquartile range, and are joined back to the documents.
+ratio are its median plus or minus ``reach`` times its spread, and are joined back to the documents. The spread is twice
+the distance from the first quartile to the median: junk lies above, so up to half of a group may be junk without moving
+its limits. A ratio that is the same in a quarter of a group, like the share of repeats in clean prose, has no such
+distance; a least spread stands in there.
 
 Native: DataFrame functions only.
 """
@@ -79,10 +82,11 @@ def limits(sketch: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> D
         merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
         whole = "partition by " + ", ".join([*keys, "ratio"])
         merged = merged.selectExpr("*", f"sum(n) over ({whole}) as total", f"sum(n) over ({whole} order by bucket) as upto")
-        quart = merged.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), F.min(F.when(F.expr("upto * 4 >= total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.expr("upto * 4 >= total * 3"), F.col("bucket"))).alias("q3"))
+        at = lambda part: F.min(F.when(F.expr(f"upto * 4 >= total * {part}"), F.col("bucket")))
+        quart = merged.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), at(1).alias("q1"), at(2).alias("q2"))
         least = F.create_map(*[F.lit(x) for k, (_, _, s) in RATIOS.items() for x in (k, s)])
-        spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("ratio")])
-        wide = quart.withColumn("lo", F.col("q1") - reach * spread).withColumn("hi", F.col("q3") + reach * spread)
+        spread = F.greatest(2 * (F.col("q2") - F.col("q1")), least[F.col("ratio")])
+        wide = quart.withColumn("lo", F.col("q2") - reach * spread).withColumn("hi", F.col("q2") + reach * spread)
         wide = wide.groupBy(*keys).agg(F.max("total").alias(f"n{level}"), F.struct(*[F.max(F.when(F.col("ratio") == k, F.col(e))).alias(f"{e}_{k}") for k in RATIOS for e in ("lo", "hi")]).alias(f"f{level}"))
         levels.append(wide)
     fine, by_lang, every = levels

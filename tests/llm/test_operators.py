@@ -68,6 +68,14 @@ def test_quality_adapts_to_its_group(spark):
     assert all(got[i] for i in range(300)) and all(got[1000 + i] for i in range(300)) and not got[5000]
 
 
+def test_quality_of_a_source_with_much_junk(spark):
+    """Nearly half of a source is junk; its limits are those of the rest."""
+    words = [" ".join(f"w{(i * 7 + k * k) % 977}" for k in range(80)) for i in range(300)]
+    rows = [(i, t.replace(" ", " ### ") if i < 130 else t, "en", "s") for i, t in enumerate(words)]
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[i] == (i >= 130) for i in got)
+
+
 def brute_near(rows, size=4):
     sets = {}
     for i, t in rows:
@@ -433,6 +441,13 @@ def test_decontamination(spark, edge):
     assert contaminated(edge, bench).count() == 0 and contaminated(edge.limit(0), bench).count() == 0 and contaminated(edge, bench.limit(0)).count() == 0
 
 
+def test_decontamination_tells_numbers_apart_by_place(spark):
+    item = "If a farmer has 3 apples and 3 pears in a basket, how many pieces of fruit are in the basket in the end?"
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, text string")
+    got = contaminated(frame([(1, item.replace("3 apples", "5 apples").replace("3 pears", "7 pears"))], "doc_id"), frame([(1, item)], "item_id")).collect()
+    assert len(got) == 1 and got[0].n_changed_slots == 2 and got[0].words_covered == got[0].item_words
+
+
 def test_decontamination_of_loose_and_short_items(spark):
     items = {1: "Compute 12 + 30 * 7 - 4", 2: "Solve 3x + 5 = 20", 3: "中文句子没有空格", 4: "Capital of Peru?", 5: "Solve 8", 6: "Add 7 kg to 9 kg, then say how many kg of rice Maria has with 4 kg 5 g 6 g 7 g more", 7: "", 8: "?!", 9: "who wrote this famous book"}
     docs = {i: "Before it. " + t + " After it." for i, t in items.items()} | {101: "Compute 13 + 30 * 7 - 4", 102: "Solve 3x + 5 = 21", 103: "中文句子没有空格吗", 104: "Capital in Peru?", 105: "Solve 9", 106: "1 2 3 4 5 6 7 8 9", 107: "", 108: None}

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import re
+import time
 import zipfile
 
 import duckdb
@@ -368,9 +369,89 @@ def test_html(spark):
 
 def test_pages_have_their_articles(spark):
     for r in queries.op7_html_extraction(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
-        blocks = [re.sub(r"\s+", " ", html_text.entities.unescape(re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x))).strip() for x in re.split("</?(?:p|h1)>", inner)]
-        assert r.text == " ".join(b for b in blocks if b)
+        assert r.text == article_of(r.html)
+
+
+def test_html_of_articles_with_odd_parts():
+    body = "".join(f"<p>Paragraph {k} is a sentence of some length, with commas, and it goes on for a while.</p>" for k in range(6))
+    want = " ".join(f"Paragraph {k} is a sentence of some length, with commas, and it goes on for a while." for k in range(6))
+    table = "<table>" + "".join(f"<tr><th>{k}</th><td>cell {k}</td><td>x{k}</td></tr>" for k in range(40)) + "</table>"
+    cells = " ".join(f"{k} cell {k} x{k}" for k in range(40))
+    assert html_text.main_text(f'<body><article><header class="entry-header"><h1>Head</h1></header>{body}{table}</article></body>') == f"Head {want} {cells}"
+    assert html_text.main_text(f'<body><div class="content-sidebar-wrap"><div class="post"><h1>Head</h1>{body}</div></div></body>') == f"Head {want}"
+    notes = "".join(f"<p>Reader {k} says that this is a sentence of some length, with commas, and that it goes on.</p>" for k in range(4))
+    assert html_text.main_text(f'<body><article><h1>Head</h1>{body}<div class="comments">{notes}</div></article></body>') == f"Head {want}"
+    links = "".join(f'<li><a href="/{k}">A link to page {k}</a></li>' for k in range(8))
+    assert html_text.main_text(f"<body><ul>{links}</ul><div><h1>Head</h1>{body}<ul>{links}</ul></div></body>") == f"Head {want}"
+
+
+def test_broken_markup_takes_linear_time():
+    for junk in ('<b x="', "<b>x", "<div>x", "<div></p>", "< ", "<a \"> <b '>", "<!--", '<p class="', "<b x=' y=\"", "<td><b>", "<![CDATA[", "&lt;<"):
+        page = junk * (1_000_000 // len(junk))
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 30, junk
+    half = "<b>" + "<div>" * 60_000
+    for page in (half + "</b>" * 60_000, half + "</p>" * 60_000, half + "<p>x" * 60_000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 30
+
+
+def overlap(a, b):
+    a, b = collections.Counter(a.split()), collections.Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())) if a or b else 1.0
+
+
+def article_of(html):
+    inner = re.search("<article>(.*?)</article>", html, re.S)[1]
+    blocks = [re.sub(r"\s+", " ", html_text.entities.unescape(re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x))).strip() for x in re.split("</?(?:p|h1)>", inner)]
+    return " ".join(b for b in blocks if b)
+
+
+def test_ratios_alone_find_the_articles(spark):
+    """With articles, class words and HTML's own parts hidden from it, the method still selects the articles' paths."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    scores = [overlap(html_text.main_text(h, hints=False), article_of(h)) for h in pages]
+    assert np.mean(scores) > 0.95 and np.mean(np.array(scores) >= 0.9) > 0.9
+
+
+def plain_scores(page, own):
+    """The method again, path by path and block by block."""
+    key = lambda b: (page.elements[b.element].path, page.elements[b.element].named, page.elements[b.element].inside)
+
+    def tags(path):
+        out = []
+        while path:
+            out.append(path)
+            path = page.paths[path]
+        return out[::-1]
+
+    by = collections.defaultdict(list)
+    for b in own:
+        by[key(b)].append(b)
+    chars = {k: (1 + sum(len(b.text) - b.linked for b in v)) / len(v) for k, v in by.items()}
+    marks = {k: (1 + sum(len(re.findall("[.,;:!?。、，！？]", b.text)) for b in v if b.linked < len(b.text))) / len(v) for k, v in by.items()}
+    out = collections.defaultdict(list)
+    for i, b in enumerate(own):
+        c = m = w = 0.0
+        for j in range(max(0, i - 2), min(len(own), i + 3)):
+            p, q = tags(key(b)[0]), tags(key(own[j])[0])
+            same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+            steps, both = len(p) + len(q) - 2 * same, len(p) + len(q)
+            like = ((1 - steps / both) if both else 1.0) ** 4 * np.exp(-((i - j) ** 2) / 2) if i != j else 1.0
+            c, m, w = c + like * chars[key(own[j])], m + like * marks[key(own[j])], w + like
+        out[key(b)].append(np.sqrt(c / w * m / w))
+    return {k: np.mean(v) * (1 / 8 if k[1] else 1) * (8 if k[2] else 1) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("hints", [True, False])
+def test_path_scores_against_a_plain_version(spark, hints):
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        page = html_text.Page(r.html, hints)
+        own = [b for b in page.blocks if not page.elements[b.element].apart]
+        got, want = html_text.path_scores(page, own), plain_scores(page, own)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * want[k] for k in want)
 
 
 def luhn(d):

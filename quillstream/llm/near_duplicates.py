@@ -7,15 +7,15 @@ few banded candidates reach the exact check, which compares whole shingle sets.
 
 Documents with equal sets are one class, and only the classes' smallest documents are banded. Within a bucket of a band
 all are first compared with one pivot, which closes most buckets: their members are in one component. In the open
-buckets every two members of different components are compared, sketches first, in blocks of documents within tasks;
-a task gives back links between components only, so no pair of a large group becomes a row, and no link that a bucket
-holds is lost. A pair at the threshold shares no bucket with probability (1 - 0.8**5)**32 < 4e-6, and its sketch fails
-the filter with about the same.
+buckets, each member set once, every two members of different components are compared, sketches first, in blocks of
+documents within tasks; a task gives back links between components only, so no pair of a large group becomes a row, and
+no link that a bucket holds is lost. A pair at the threshold shares no bucket with probability (1 - 0.8**5)**32 < 4e-6,
+and its sketch fails the filter with about 1e-6 (tests/llm measures the whole miss rate).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,18 @@ from pyspark.sql import functions as F
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
 from quillstream.llm.components import connected_components
-from quillstream.llm.staging import map_arrow, numbered, stage
+from quillstream.llm.staging import drop, map_arrow, row_ids, stage
 from quillstream.llm.texts import pieces
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
-#: Sketch estimates below the threshold by this much are dropped: over four standard deviations of 160 samples.
-SLACK = 0.15
-#: Documents of a block; two blocks are compared in a task's memory.
-BLOCK = 512
-#: Documents that open buckets connect are compared as one group up to this many, and bucket by bucket beyond.
-TOGETHER = 4096
+#: Sketch estimates below the threshold by this much are dropped: over five standard deviations of 160 samples.
+SLACK = 0.2
+#: Documents and shingles of a block at most (a longer document is a block of its own); two blocks are compared in a task's memory.
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
+#: Rows of a hot pivot are dealt over this many tasks.
+SALT = 32
 
 #: Differing bits of two sketches at the threshold less the slack: 2k(1 - J) odd samples spread over n bits.
 MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - PERCENT / 100 + SLACK) / SKETCH_BITS)))
@@ -101,54 +101,72 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for a, b, data, offsets in pieces(batch.column("text")):
-                sets = shingle_sets(data, offsets)
-                rows = []
-                for s in sets:
-                    if len(s):
-                        m = minhash(s)
-                        h1 = int(np.add.reduce(bytehash.mix(s + U64(1))).view(np.int64))
-                        h2 = int(np.add.reduce(bytehash.mix(s ^ U64(0x5851F42D4C957F2D))).view(np.int64))
-                        rows.append((h1, h2, band_keys(m).tolist(), odd_sketch(m).tolist()))
-                    else:
-                        rows.append((None, None, [], []))
-                h1, h2, bands, sketch = zip(*rows, strict=True)
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for a, b, data, offsets in pieces(batch.column("text")):
-                sets = shingle_sets(data, offsets)
-                flat = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
-                at = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.int32())
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(at, flat)], ["doc_id", "shingles"])
+def _set_hashes(s: np.ndarray) -> tuple[int, int]:
+    return tuple(int(np.add.reduce(bytehash.mix(x)).view(np.int64)) for x in (s + U64(1), s ^ U64(0x5851F42D4C957F2D)))
+
+
+def _signatures(size: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for a, b, data, offsets in pieces(batch.column("text")):
+                    sets = shingle_sets(data, offsets, size)
+                    out = []
+                    for s in sets:
+                        if len(s):
+                            m = minhash(s)
+                            out.append((*_set_hashes(s), band_keys(m).tolist(), odd_sketch(m).tolist()))
+                        else:
+                            out.append((None, None, [], []))
+                    h1, h2, bands, sketch = zip(*out, strict=True)
+                    yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
+
+    return rows
+
+
+def _sets(size: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for a, b, data, offsets in pieces(batch.column("text")):
+                    sets = shingle_sets(data, offsets, size)
+                    flat = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
+                    at = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.int32())
+                    yield pa.record_batch([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(at, flat)], ["doc_id", "shingles"])
+
+    return rows
+
+
+def _with_pivot(pairs: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``pairs`` (u, v) with the columns of ``values`` (doc_id, ...) for u, renamed; a pivot's pairs are dealt over SALT tasks."""
+    pivots = values.join(pairs.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    pivots = pivots.select(F.col("doc_id").alias("u"), *[F.col(c).alias(n) for c, n in names.items()], F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    return pairs.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(pivots, ["u", "_salt"]).drop("_salt")
 
 
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose odd sketches and set sizes allow the threshold."""
-    side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     bits = sum((F.bit_count(F.expr(f"su[{i}] ^ sv[{i}]")) for i in range(SKETCH_BITS // 64)), F.lit(0))
     fits = F.expr(f"100 * least(nu, nv) >= {PERCENT} * greatest(nu, nv)")
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(fits & (bits <= MOST_BITS)).select("u", "v")
+    both = _with_pivot(pairs, classes, {"sketch": "su", "n_shingles": "nu"})
+    both = both.join(classes.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"), F.col("n_shingles").alias("nv")), "v")
+    return both.where(fits & (bits <= MOST_BITS)).select("u", "v")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles): the whole shingle sets, made again, of the documents in ``ids``."""
-    return map_arrow(docs.join(ids, "doc_id", "left_semi"), _sets, "doc_id bigint, shingles array<bigint>").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+    return map_arrow(docs.join(ids, "doc_id", "left_semi"), _sets(size), "doc_id bigint, shingles array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The pairs whose whole shingle sets reach the threshold; sets are made again for the documents in pairs only."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = stage(_sets_of(docs, ids), "shingle-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    sets = stage(_sets_of(docs, ids, size), "shingle-sets")
+    both = _with_pivot(pairs, sets, {"shingles": "a"}).join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     both = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("common"))
-    return both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("u", "v")
+    links = stage(both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("u", "v"), "confirmed")
+    drop(sets)
+    return links
 
 
 def _links_between(doc: np.ndarray, label: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -225,60 +243,75 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
 
 
-def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame | None:
     """Confirmed links between different components of ``labels``, from the buckets that hold more than one."""
     now = members.join(labels, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    open_ = now.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("doc_id").alias("least")).where("a <> b")
-    now = stage(now.join(open_.select("band", "least"), "band"), "open-members")
-    if now.isEmpty():
+    now = stage(now, "labelled-members")
+    # buckets of the same members, in different bands, are one
+    same = [F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").cast("decimal(38,0)")).alias("y"), F.count("*").alias("n")]
+    open_ = now.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), *same).where("a <> b")
+    open_ = stage(open_.groupBy("x", "y", "n").agg(F.min("band").alias("key")).select("key"), "open-buckets")
+    rows = now.join(open_, F.col("band") == F.col("key"), "left_semi").select(F.col("band").alias("key"), "doc_id", "label")
+    rows = stage(rows.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id"), "compared")
+    drop(now, open_)
+    if rows.isEmpty():
+        drop(rows)
         return None
-    met = connected_components(now.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
-    where = now.join(met, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", "label", F.coalesce("component", "doc_id").alias("key"))
-    where = stage(where, "open-groups")
-    count = where.groupBy("key").agg(F.countDistinct("doc_id").alias("n"))
-    large = stage(count.where(f"n > {TOGETHER}").select("key"), "large-groups")
-    # small groups take each document once; in large ones the key is the bucket
-    rows = where.join(large, "key", "left_anti").select("key", "doc_id", "label").distinct()
-    if not large.isEmpty():
-        rows = rows.union(where.join(large, "key", "left_semi").select(F.col("band").alias("key"), "doc_id", "label"))
-    rows = stage(rows, "compared")
-    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    sets = stage(_sets_of(docs, rows.select("doc_id").distinct(), size), "open-sets")
     rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    rows = rows.join(sets, "doc_id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "doc_id", "label")
-    ids = rows.select("doc_id").distinct()
-    sets = _sets_of(docs, ids).join(classes.select("doc_id", "sketch"), "doc_id")
-    rows = rows.join(stage(sets, "open-sets"), "doc_id").select("key", "i", "j", "side", "doc_id", "label", "sketch", "shingles")
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "doc_id", "label", "sketch", "shingles")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return stage(map_arrow(rows, _compare_blocks, "u bigint, v bigint"), "open-links")
+    links = stage(map_arrow(rows, _compare_blocks, "u bigint, v bigint"), "open-links")
+    drop(sets)
+    return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id for each document.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_id for each row of ``docs``; ``size`` is the words of a shingle.
 
-    ``docs``: doc_id, text; other columns are ignored. Null and wordless texts have no shingles and are alone. Rows
-    that repeat a doc_id are one document, of the smallest set; rows with a null doc_id are each a document of their own,
-    greater than all others, and a component or class of only such documents has a null id (one of them is kept).
-    ``class_id`` is the smallest document with an equal shingle set. An empty table gives no rows.
+    ``docs``: doc_id, text; other columns are ignored. Null and wordless texts have no shingles and are alone. Rows that
+    repeat a doc_id, or have none, are each a document of their own that comes after all others: of equal rows one is
+    kept. Where the smallest of a component or class is such a row, component_id or class_id is that row's doc_id, so
+    null for rows without one. ``class_id`` is the smallest document with an equal shingle set. An empty table gives no
+    rows.
     """
-    docs, top = numbered(docs.select("doc_id", "text"))
-    marks = stage(map_arrow(docs, _signatures, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
-    small = marks.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "h1", "h2")).alias("_m")).select("doc_id", "_m.*")
+    docs, row, names = row_ids(docs.select("doc_id", "text"))
+    docs = docs.select(F.col(row).alias("doc_id"), "text")
+    marks = stage(map_arrow(docs, _signatures(size), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
+    small = stage(marks.select("doc_id", "n_shingles", "h1", "h2"), "sets")
     groups = stage(small.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), "classes")
-    classes = stage(marks.join(groups.select(F.col("class_id").alias("doc_id"), "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "class-signatures")
+    classes = stage(marks.join(groups.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi"), "class-signatures")
+    drop(marks)
 
     members = classes.select("doc_id", F.explode("bands").alias("band"))
     full = stage(members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1"), "buckets")
     members = stage(members.join(full.select("band", "pivot"), "band"), "members")
-    pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    links = stage(_confirmed(stage(_close(pairs, classes), "pairs"), docs), "confirmed")
-    labels = stage(connected_components(links), "components")
-    more = _open_links(members.select("band", "doc_id"), labels, classes, docs)
+    pairs = stage(members.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct(), "pivot-pairs")
+    close = stage(_close(pairs, classes), "pairs")
+    links = _confirmed(close, docs, size)
+    drop(full, pairs, close)
+    found = connected_components(links)
+    labels = stage(found, "components")
+    drop(found)
+    more = _open_links(members.select("band", "doc_id"), labels, classes, docs, size)
+    drop(members, classes)
     if more is not None and not more.isEmpty():
-        labels = stage(connected_components(links.union(more)), "components")
+        found = connected_components(links.union(more))
+        drop(labels)
+        labels = stage(found, "components")
+        drop(found)
+    drop(links, more)
     by_class = groups.join(labels, F.col("class_id") == F.col("v"), "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = small.join(stage(by_class, "class-components"), ["n_shingles", "h1", "h2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    named = lambda c: c if top is None else F.when(c <= top, c)
-    return out.select(named(F.col("doc_id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), named(F.coalesce("class_id", "doc_id")).alias("class_id"))
+    by_class = stage(by_class, "class-components")
+    drop(groups, labels)
+    out = small.join(by_class, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if names is not None:
+        for c in ("doc_id", "component_id", "class_id"):
+            out = out.join(names.select(F.col("row").alias("_row"), F.col("doc_id").alias("_was")), F.col(c) == F.col("_row"), "left")
+            out = out.withColumn(c, F.when(F.col("_row").isNull(), F.col(c)).otherwise(F.col("_was").cast("long"))).drop("_row", "_was")
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")

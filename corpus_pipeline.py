@@ -6,7 +6,8 @@
 4. secrets: values that look like live credentials are replaced in the text; copied examples stay.
 5. tokens: doc_id, lang, source, n_tokens, token_ids and round_trip of what is left.
 
-Rows with a null doc_id are each a document of their own in every stage.
+Rows with a null doc_id, and rows that repeat one, are each a document of their own in every stage (of equal rows one stays).
+Extra columns come through. A stage deletes the tables that it wrote on its way, but for the last that its result reads.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from quillstream.llm.quality_rules import quality_filter
 from quillstream.llm.queries import TOKENIZER
 from quillstream.llm.secrets import redact_live
 from quillstream.llm.sentencepiece_codec import tokens
-from quillstream.llm.staging import numbered, stage
+from quillstream.llm.staging import drop, row_ids, stage
+
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,20 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named, top = numbered(docs)
-    kept = near_duplicates(named).where("kept").select("doc_id")
-    return _unnamed(named.join(stage(kept, "kept"), "doc_id", "left_semi").select(*docs.columns), top)
+    named, row, _ = row_ids(docs)
+    found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), SHINGLE)
+    kept = stage(found.where("kept").select(F.col("doc_id").alias("_kept")), "kept")
+    # most ids stay, so both sides grow with the input: a merge join at every size
+    return named.hint("merge").join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named, top = numbered(docs)
-    found = contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
-    return _unnamed(named.join(stage(found, "contaminated"), F.col("doc_id") == F.col("_found"), "left_anti"), top)
-
-
-def _unnamed(docs: DataFrame, top: int | None) -> DataFrame:
-    """Null again for the ids that ``numbered`` gave."""
-    return docs if top is None else docs.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+    named, row, _ = row_ids(docs)
+    found = contaminated(named.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = stage(found.select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    return named.join(found, F.col(row) == F.col("_found"), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,6 +32,10 @@ MORE = {
 KINDS = [*BASE, *MORE]
 #: A value held by so many owners, or so many repositories, is a copied example.
 OWNERS, REPOSITORIES = 3, 6
+#: A text without any of this holds no span of any kind (Java syntax).
+HINTS = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|gh[pousr]_|sk-|xox|AIza|eyJ|-----BEGIN|://[A-Za-z0-9._-]+:"
+#: Holders of a value are dealt over this many tasks.
+SALT = 32
 SPANS = "array<struct<k: int, s: int, e: int, value: string>>"
 
 
@@ -66,8 +70,10 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     each = rows.where("size(spans) > 0").select("row", "owner", "repository", F.explode("spans").alias("m"))
     held = each.select(F.col("m.value").alias("value"), "owner", "repository").distinct()
     freq = held.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"))
-    verdict = stage(freq.select("value", F.expr(f"owners < {OWNERS} and repositories < {REPOSITORIES}").alias("live")), "secret-owners")
-    judged = each.select("row", "m.*").join(verdict, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "value", "live"))).alias("judged"))
+    verdict = stage(freq.where(f"owners < {OWNERS} and repositories < {REPOSITORIES}").select("value"), "secret-live-values")
+    live = verdict.select("value", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(True).alias("live"))
+    marked = each.select("row", "m.*", F.pmod("row", F.lit(SALT)).cast("int").alias("salt")).join(live, ["value", "salt"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    judged = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "value", "live"))).alias("judged"))
     return rows.drop("owner", "repository", "spans").join(judged, "row", "left")
 
 
@@ -101,9 +107,11 @@ def redact_live(docs: DataFrame, mark: str = "[SECRET]", **columns: Column) -> D
     found = stage(found.dropDuplicates(["_d", "_h1", "_h2"]), "secret-live")
     # a piece of text before each span, from where the spans before it end
     pieces = "transform(_m, (m, i) -> struct(if(i = 0, 0, array_max(transform(slice(_m, 1, i), x -> x.e))) as p, m.s as s))"
-    text = f"concat(array_join(transform({pieces}, (x, i) -> if(x.s > x.p or i = 0, concat(substring(text, x.p + 1, x.s - x.p), '{mark}'), '')), ''), substring(text, array_max(transform(_m, x -> x.e)) + 1))"
-    df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left")
-    df = df.withColumn("text", F.expr(f"if(_m is null, text, {text})"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.expr("if(_m is null, n_chars, cast(length(text) as bigint))"))
-    return df.select(*docs.columns)
+    text = f"concat(array_join(transform({pieces}, (x, i) -> if(x.s > x.p or i = 0, concat(substring(_row.text, x.p + 1, x.s - x.p), '{mark}'), '')), ''), substring(_row.text, array_max(transform(_m, x -> x.e)) + 1))"
+    # only texts that may hold a secret are joined, so the others aren't shuffled
+    maybe = F.coalesce(F.col("text").rlike(HINTS), F.lit(False))
+    held = docs.where(maybe).select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), h1.alias("_t1"), h2.alias("_t2")).hint("merge")
+    held = held.join(found, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_t1") == F.col("_h1")) & (F.col("_t2") == F.col("_h2")), "left")
+    held = held.withColumn("_text", F.expr(f"if(_m is null, _row.text, {text})"))
+    own = {"text": F.col("_text"), "n_chars": F.expr("if(_m is null, _row.n_chars, cast(length(_text) as bigint))") if "n_chars" in docs.columns else None}
+    return docs.where(~maybe).union(held.select(*[own[c].alias(c) if c in own else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))

@@ -21,7 +21,7 @@ from quillstream.llm.quality_rules import quality_filter
 from quillstream.llm.queries import TOKENIZER
 from quillstream.llm.secrets import redact_live
 from quillstream.llm.sentencepiece_codec import tokens
-from quillstream.llm.staging import drop, row_ids, stage
+from quillstream.llm.staging import drop, row_ids, sized, stage
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -34,16 +34,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, row, _ = row_ids(docs)
     found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), SHINGLE)
-    kept = stage(found.where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    # most ids stay, so both sides grow with the input: a merge join at every size
-    return named.hint("merge").join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*docs.columns)
+    copies = stage(found.where("not kept").select(F.col("doc_id").alias("_copy")), "copies")
+    return named.join(sized(copies), F.col(row) == F.col("_copy"), "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, row, _ = row_ids(docs)
     found = contaminated(named.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = stage(found.select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
-    return named.join(found, F.col(row) == F.col("_found"), "left_anti").select(*docs.columns)
+    return named.join(sized(found), F.col(row) == F.col("_found"), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ number of differing bits of two sketches estimates high similarities precisely (
 few banded candidates reach the exact check, which compares whole shingle sets.
 
 Documents with equal sets are one class, and only the classes' smallest documents are banded. Within a bucket of a band
-all are first compared with one pivot, which closes most buckets: their members are in one component. In the open
-buckets, each member set once, every two members of different components are compared, sketches first, in blocks of
+all are first compared with one pivot, which closes most buckets: their members are in one component. In the open ones
+PIVOTS more are taken, and a member is compared with the one of each other component whose sketch is nearest. In the
+buckets that are still open, each member set once, every two members of different components are compared, sketches first, in blocks of
 documents within tasks; a task gives back links between components only, so no pair of a large group becomes a row, and
 no link that a bucket holds is lost. A pair at the threshold shares no bucket with probability (1 - 0.8**5)**32 < 4e-6,
 and its sketch fails the filter with about 1e-6 (tests/llm measures the whole miss rate).
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
 from quillstream.llm.components import connected_components
-from quillstream.llm.staging import drop, map_arrow, row_ids, stage
+from quillstream.llm.staging import drop, map_arrow, row_ids, sized, stage
 from quillstream.llm.texts import pieces
 
 SHINGLE, PERCENT = 4, 80
@@ -35,8 +36,10 @@ SKETCH_BITS = 512
 SLACK = 0.2
 #: Documents and shingles of a block at most (a longer document is a block of its own); two blocks are compared in a task's memory.
 BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
-#: Rows of a hot pivot are dealt over this many tasks.
-SALT = 32
+#: Pairs of a pivot that are joined with it in one task; those of a hot pivot are dealt over more.
+HOT = 1024
+#: Further pivots of a bucket whose members are not all linked to the first.
+PIVOTS = 8
 
 #: Differing bits of two sketches at the threshold less the slack: 2k(1 - J) odd samples spread over n bits.
 MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - PERCENT / 100 + SLACK) / SKETCH_BITS)))
@@ -138,35 +141,48 @@ def _sets(size: int) -> Callable:
 
 
 def _with_pivot(pairs: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``pairs`` (u, v) with the columns of ``values`` (doc_id, ...) for u, renamed; a pivot's pairs are dealt over SALT tasks."""
-    pivots = values.join(pairs.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    pivots = pivots.select(F.col("doc_id").alias("u"), *[F.col(c).alias(n) for c, n in names.items()], F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    return pairs.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(pivots, ["u", "_salt"]).drop("_salt")
+    """``pairs`` (u, v) with the columns of ``values`` (doc_id, ...) for u, renamed; a hot pivot's pairs are dealt over several tasks."""
+    count = stage(pairs.groupBy("u").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")), "pivots")
+    hot = count.where("salts > 1").select(F.col("u").alias("_u"), F.col("salts").alias("_salts"))  # few by what they are
+    dealt = pairs.join(hot, F.col("u") == F.col("_u"), "left").withColumn("_salt", F.pmod(F.xxhash64("v"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_u", "_salts")
+    pivots = values.join(count, F.col("doc_id") == F.col("u")).select("u", *[F.col(c).alias(n) for c, n in names.items()], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
+    return dealt.join(pivots, ["u", "_salt"]).drop("_salt")
 
 
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose odd sketches and set sizes allow the threshold."""
+    """The pairs (u, v, bits) whose odd sketches and set sizes allow the threshold; bits: by how many the sketches differ."""
     bits = sum((F.bit_count(F.expr(f"su[{i}] ^ sv[{i}]")) for i in range(SKETCH_BITS // 64)), F.lit(0))
     fits = F.expr(f"100 * least(nu, nv) >= {PERCENT} * greatest(nu, nv)")
     both = _with_pivot(pairs, classes, {"sketch": "su", "n_shingles": "nu"})
     both = both.join(classes.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"), F.col("n_shingles").alias("nv")), "v")
-    return both.where(fits & (bits <= MOST_BITS)).select("u", "v")
+    return both.where(fits).withColumn("bits", bits).where(F.col("bits") <= MOST_BITS).select("u", "v", "bits")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles): the whole shingle sets, made again, of the documents in ``ids``."""
-    return map_arrow(docs.join(ids, "doc_id", "left_semi"), _sets(size), "doc_id bigint, shingles array<bigint>")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    now = members.join(labels, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    return stage(now, "labelled-members")
+
+
+def _pivot_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links of members of open buckets to the bucket's PIVOTS further pivots, the nearest of each component."""
+    now = _labelled(members, labels)
+    seeds = [F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), F.col("doc_id").alias("u"), F.col("label").alias("of"))).alias(f"p{k}") for k in range(PIVOTS)]
+    open_ = now.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), *seeds).where("a <> b")
+    pivots = open_.select("band", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p")).select("band", "p.u", "p.of")
+    pairs = now.join(pivots, "band").where("label <> of").select("u", F.col("doc_id").alias("v"), "of").distinct()
+    pairs = stage(pairs, "more-pivot-pairs")
+    close = _close(pairs.select("u", "v"), classes).join(pairs, ["u", "v"])
+    close = stage(close.groupBy("v", "of").agg(F.min_by("u", F.struct("bits", "u")).alias("u")).select("u", "v"), "nearest-pivots")
+    links = _confirmed(close, sets)
+    drop(now, pairs, close)
+    return links
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold; sets are made again for the documents in pairs only."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = stage(_sets_of(docs, ids, size), "shingle-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets reach the threshold."""
     both = _with_pivot(pairs, sets, {"shingles": "a"}).join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     both = both.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("common"))
-    links = stage(both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("u", "v"), "confirmed")
-    drop(sets)
-    return links
+    return stage(both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("u", "v"), "confirmed")
 
 
 def _links_between(doc: np.ndarray, label: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -243,10 +259,9 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
 
 
-def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame | None:
+def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Confirmed links between different components of ``labels``, from the buckets that hold more than one."""
-    now = members.join(labels, F.col("doc_id") == F.col("v"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    now = stage(now, "labelled-members")
+    now = _labelled(members, labels)
     # buckets of the same members, in different bands, are one
     same = [F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(7), "doc_id").cast("decimal(38,0)")).alias("y"), F.count("*").alias("n")]
     open_ = now.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), *same).where("a <> b")
@@ -258,16 +273,20 @@ def _open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs:
         drop(rows)
         return None
     parts = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    sets = stage(_sets_of(docs, rows.select("doc_id").distinct(), size), "open-sets")
     rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     rows = rows.join(sets, "doc_id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
     rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "doc_id", "label", "sketch", "shingles")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = stage(map_arrow(rows, _compare_blocks, "u bigint, v bigint"), "open-links")
-    drop(sets)
-    return links
+    return stage(map_arrow(rows, _compare_blocks, "u bigint, v bigint"), "open-links")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    found = connected_components(links)
+    labels = stage(found, "components")
+    drop(found)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -290,21 +309,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     members = classes.select("doc_id", F.explode("bands").alias("band"))
     full = stage(members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1"), "buckets")
     members = stage(members.join(full.select("band", "pivot"), "band"), "members")
+    # whole sets, made again, once and only of the documents that share a bucket
+    ids = stage(members.select(F.col("doc_id").alias("_id")).distinct(), "sharing")
+    sets = stage(map_arrow(docs.join(sized(ids), F.col("doc_id") == F.col("_id"), "left_semi"), _sets(size), "doc_id bigint, shingles array<bigint>"), "shingle-sets")
+    drop(ids)
     pairs = stage(members.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct(), "pivot-pairs")
-    close = stage(_close(pairs, classes), "pairs")
-    links = _confirmed(close, docs, size)
+    close = stage(_close(pairs, classes).select("u", "v"), "pairs")
+    links = _confirmed(close, sets)
     drop(full, pairs, close)
-    found = connected_components(links)
-    labels = stage(found, "components")
-    drop(found)
-    more = _open_links(members.select("band", "doc_id"), labels, classes, docs, size)
-    drop(members, classes)
+    labels = _components(links)
+    links = links.union(_pivot_links(members.select("band", "doc_id"), labels, classes, sets))
+    drop(labels)
+    labels = _components(links)
+    more = _open_links(members.select("band", "doc_id"), labels, classes, sets)
+    drop(members, classes, sets)
     if more is not None and not more.isEmpty():
-        found = connected_components(links.union(more))
         drop(labels)
-        labels = stage(found, "components")
-        drop(found)
-    drop(links, more)
+        labels = _components(links.union(more))
     by_class = groups.join(labels, F.col("class_id") == F.col("v"), "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     by_class = stage(by_class, "class-components")
     drop(groups, labels)

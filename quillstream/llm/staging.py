@@ -61,6 +61,15 @@ def drop(*tables: DataFrame | None) -> None:
             files.delete(target, True)
 
 
+#: Ids (8 bytes each) that are broadcast; more are joined by sorting both sides.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A staged table of ids, marked for a broadcast where it has BROADCAST_IDS rows at most, and for a merge join beyond."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column has it in any case."""
     taken = {c.lower() for c in columns}

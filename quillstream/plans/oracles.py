@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from quillstream.operators.classify import KEYWORDS, ORDER, keywords, pattern
-
 _DOCS = """(select o_orderkey as document_id, case o_orderstatus when 'F' then 'VERIFIED' when 'O' then 'NEEDS_REVIEW' else 'PROCESSING' end as status,
   case when o_orderkey % 13 = 0 then '' else o_orderpriority end as file_type, o_orderdate as uploaded_at,
   case when o_orderkey % 11 <> 0 then cast((o_orderkey % 101) / 100.0 as decimal(6,2)) end as confidence, o_custkey from orders)"""
@@ -71,9 +69,9 @@ select doc_id, left(sha256(lower(lang) || '|' || lower(source) || '|' || array_t
 select conv_id, turn, sha256(regexp_replace(regexp_replace(regexp_replace('postgres://u:pw@h ' || text || ' Bearer abc.def sk-abcdefgh1234', '(://[^:/@\s]+):[^@/\s]+@', '\1:***@', 'g'), '(?i)bearer [A-Za-z0-9._-]+', 'Bearer ***', 'g'), '(sk-|AIza)[A-Za-z0-9_-]{8,}', '\1***', 'g')) as hash from conversations""",
     "truncate_head_tail": "select doc_id, sha256(case when length(text) <= 1000 then text else left(text, 600) || chr(10) || '...' || chr(10) || right(text, 400) end) as hash from documents",
     "ground_passages": f"""
-with b as (select item_id, {_FORM.replace('(x,', '(string_split(text, chr(10))[1],')} as quote from benchmark),
+with b as (select item_id, i - 1 as line_no, {_FORM.replace('(x,', '(p[i],')} as quote from (select item_id, p, unnest(range(1, len(p) + 1)) as i from (select item_id, string_split(text, chr(10)) as p from benchmark))),
 d as (select doc_id, i, {_FORM.replace('(x,', '(p[i],')} as block from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, string_split(text, chr(10)) as p from documents)))
-select doc_id, item_id, (min(i) - 1)::bigint as block_no from d, b where length(quote) >= 20 and len(string_split(quote, ' ')) >= 5 and contains(block, quote) and (' ' || block) like '% ' || quote || '%' group by all""",
+select doc_id, item_id, line_no::bigint as line_no, (min(i) - 1)::bigint as block_no from d, b where quote <> '' and contains(' ' || block || ' ', ' ' || quote || ' ') group by all""",
     "reconcile_rule_ai": """
 with r as (select o_orderkey as k, 'T-' || o_orderkey as v, cast((o_orderkey * 7 % 30 + 60) / 100.0 as decimal(6,4)) as c, o_orderkey % 5 = 0 as bad from orders where o_orderkey % 11 <> 0),
 m as (select o_orderkey as k, case o_orderkey % 3 when 0 then 't-' || o_orderkey || ' ' when 1 then 'T-' || o_orderkey || '9' else 'other' end as v, cast((o_orderkey * 5 % 30 + 65) / 100.0 as decimal(6,4)) as c, o_orderkey % 7 = 0 as bad from orders where o_orderkey % 13 <> 0),
@@ -118,10 +116,10 @@ g as (select *, sum(new) over (partition by user_id order by ts rows unbounded p
 select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n from g group by user_id, g""",
 }
 
-_SCORES = ", ".join(f"{{'s': {KEYWORDS[k][0]} * (" + " + ".join("len(regexp_extract_all(t, '" + pattern(w).replace("'", "''") + "'))" for w in keywords(k)) + f"), 'o': {-i}, 'k': '{k}'}}" for i, k in enumerate(ORDER))
+_TYPES = "['application_form', 'bank_statement', 'certificate', 'contract', 'delivery_challan', 'expense_report', 'id_document', 'insurance', 'invoice', 'medical_report', 'purchase_order', 'receipt', 'resume']"
 ORACLES["classify_documents"] = f"""
-with t as (select lower(' ' || text) as t from documents), s as (select list_max([{_SCORES}]) as b from t)
-select case when b.s >= 3 then b.k else 'invoice' end as doc_type, case when b.s >= 3 then least(0.98, round(0.60 + 0.05 * b.s, 2)) else 0.5 end::double as doc_confidence, count(*) as n from s group by all"""
+select ({_TYPES})[o_orderkey % 13 + 1] as known_type, ({_TYPES})[o_orderkey % 13 + 1] as doc_type, count(*) as n from orders group by all
+union all select 'none', 'invoice', count(*) from documents"""
 ORACLES["ground_values"] = """
 with o as (select o_orderkey as k, 'INV-2024-' || lpad(o_orderkey::varchar, 8, '0') as number, 'Customer ' || o_custkey as customer, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d from orders)
 select k as doc_id, 'invoice_number' as field, 'b' || (1 + v) as block_id, 0.95::double as match_score, true as grounded from o
@@ -141,11 +139,20 @@ select case status when 'VERIFIED' then 'DOCUMENT_VERIFIED' else 'ROUTED_TO_REVI
     "review_messages": f"select document_id, case when document_id % 4 = 0 then 'a|b' when status = 'NEEDS_REVIEW' then 'low total|no date' else '' end as messages from {_DOCS}",
     "file_names": "with u as (select page_id, list_last(string_split('..' || chr(92) || 'up/' || case when page_id % 2 = 0 then '.' else '' end || regexp_replace(url, '^https?:', ''), '/')) as n from pages) select page_id, coalesce(nullif(regexp_replace(n, '^\\.+', ''), ''), 'unnamed_document') as name from u",
     "multi_type_extract": """
-with o as (select o_orderkey as k, o_orderkey % 4 as m, o_custkey as c, strftime(o_orderdate, '%Y-%m-%d') as d, cast(cast(o_totalprice as decimal(18,2)) as varchar) as t from orders),
-f as (select k, 'purchase_order' as doc_type, unnest([{'f': 'po_number', 'v': 'PO-' || k, 'c': 0.90}, {'f': 'buyer_name', 'v': 'Cust ' || c, 'c': 0.85}, {'f': 'order_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': '$' || t, 'c': 0.85}]) as x from o where m = 0
-  union all select k, 'insurance', unnest([{'f': 'policy_number', 'v': 'P/' || k, 'c': 0.90}, {'f': 'start_date', 'v': d, 'c': 0.80}, {'f': 'expiry_date', 'v': '2030-01-01', 'c': 0.80}, {'f': 'premium_amount', 'v': t, 'c': 0.85}]) from o where m = 1
-  union all select k, 'bank_statement', unnest([{'f': 'account_holder', 'v': 'C ' || c, 'c': 0.85}, {'f': 'account_number', 'v': k::varchar, 'c': 0.90}, {'f': 'transaction_date', 'v': d, 'c': 0.80}, {'f': 'balance_amount', 'v': t, 'c': 0.85}]) from o where m = 2
-  union all select k, 'receipt', unnest([{'f': 'store_name', 'v': 'Corner Shop', 'c': 0.80}, {'f': 'receipt_number', 'v': k::varchar, 'c': 0.85}, {'f': 'receipt_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': t, 'c': 0.85}, {'f': 'payment_method', 'v': 'VISA', 'c': 0.80}]) from o where m = 3)
+with o as (select o_orderkey as k, o_orderkey % 13 as m, o_custkey as c, strftime(o_orderdate, '%Y-%m-%d') as d, cast(cast(o_totalprice as decimal(18,2)) as varchar) as t from orders),
+f as (select k, 'application_form' as doc_type, unnest([{'f': 'applicant_name', 'v': 'Ann Lee', 'c': 0.85}, {'f': 'application_number', 'v': 'AF-' || k, 'c': 0.90}, {'f': 'address', 'v': c || ' High Street', 'c': 0.80}]) as x from o where m = 0
+  union all select k, 'bank_statement', unnest([{'f': 'account_holder', 'v': 'C ' || c, 'c': 0.85}, {'f': 'account_number', 'v': k::varchar, 'c': 0.90}, {'f': 'transaction_date', 'v': d, 'c': 0.80}, {'f': 'balance_amount', 'v': t, 'c': 0.85}]) from o where m = 1
+  union all select k, 'certificate', unnest([{'f': 'certificate_type', 'v': 'Certificate of Merit', 'c': 0.80}, {'f': 'person_name', 'v': 'Jo Novak', 'c': 0.85}, {'f': 'institution_name', 'v': 'North College', 'c': 0.80}, {'f': 'certificate_id', 'v': 'C/' || k, 'c': 0.85}, {'f': 'issue_date', 'v': d, 'c': 0.80}]) from o where m = 2
+  union all select k, 'contract', unnest([{'f': 'parties', 'v': 'A' || c || ' and B', 'c': 0.80}, {'f': 'effective_date', 'v': d, 'c': 0.85}, {'f': 'expiry_date', 'v': '2030-01-01', 'c': 0.85}, {'f': 'contract_value', 'v': '$' || t, 'c': 0.80}]) from o where m = 3
+  union all select k, 'delivery_challan', unnest([{'f': 'challan_number', 'v': 'DC-' || k, 'c': 0.90}, {'f': 'challan_date', 'v': d, 'c': 0.85}, {'f': 'supplier_name', 'v': 'S' || c, 'c': 0.80}, {'f': 'customer_name', 'v': 'R' || k, 'c': 0.80}]) from o where m = 4
+  union all select k, 'expense_report', unnest([{'f': 'employee_name', 'v': 'Kim Marsh', 'c': 0.85}, {'f': 'expense_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': t, 'c': 0.85}]) from o where m = 5
+  union all select k, 'id_document', unnest([{'f': 'id_number', 'v': 'I' || k, 'c': 0.90}, {'f': 'person_name', 'v': 'Lou Weber', 'c': 0.80}, {'f': 'date_of_birth', 'v': d, 'c': 0.85}, {'f': 'address', 'v': 'Flat ' || c, 'c': 0.80}]) from o where m = 6
+  union all select k, 'insurance', unnest([{'f': 'policy_number', 'v': 'P/' || k, 'c': 0.90}, {'f': 'policy_holder', 'v': 'Max Rossi', 'c': 0.85}, {'f': 'start_date', 'v': d, 'c': 0.80}, {'f': 'expiry_date', 'v': '2030-01-01', 'c': 0.80}, {'f': 'premium_amount', 'v': t, 'c': 0.85}]) from o where m = 7
+  union all select k, 'invoice', unnest([{'f': 'vendor_name', 'v': 'Acme ' || c, 'c': 0.80}, {'f': 'invoice_number', 'v': 'N-' || k, 'c': 0.85}, {'f': 'invoice_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': t, 'c': 0.85}, {'f': 'tax_amount', 'v': '7.50', 'c': 0.75}]) from o where m = 8
+  union all select k, 'medical_report', unnest([{'f': 'patient_name', 'v': 'Eva Keller', 'c': 0.85}, {'f': 'report_date', 'v': d, 'c': 0.85}, {'f': 'test_name', 'v': 'T' || c, 'c': 0.80}, {'f': 'test_result', 'v': t || ' mg', 'c': 0.80}, {'f': 'reference_range', 'v': '1 - 5', 'c': 0.75}, {'f': 'doctor_name', 'v': 'Dr. Ida Dubois', 'c': 0.80}]) from o where m = 9
+  union all select k, 'purchase_order', unnest([{'f': 'po_number', 'v': 'PO-' || k, 'c': 0.90}, {'f': 'buyer_name', 'v': 'Cust ' || c, 'c': 0.85}, {'f': 'order_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': '$' || t, 'c': 0.85}]) from o where m = 10
+  union all select k, 'receipt', unnest([{'f': 'store_name', 'v': 'Corner Shop', 'c': 0.80}, {'f': 'receipt_number', 'v': k::varchar, 'c': 0.85}, {'f': 'receipt_date', 'v': d, 'c': 0.85}, {'f': 'total_amount', 'v': t, 'c': 0.85}, {'f': 'payment_method', 'v': 'VISA', 'c': 0.80}]) from o where m = 11
+  union all select k, 'resume', unnest([{'f': 'email', 'v': 'mail' || c || '@x.org', 'c': 0.95}, {'f': 'phone', 'v': '+1 (555) 123-4567', 'c': 0.90}, {'f': 'education', 'v': 'Bachelor of Arts, ' || c, 'c': 0.80}, {'f': 'experience', 'v': k || ' years of experience in law', 'c': 0.80}]) from o where m = 12)
 select k as doc_id, doc_type, x.f as field, x.v as value, x.c::double as confidence from f""",
 }
 

@@ -21,6 +21,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: Words by whose hash a quote is looked up.
+LEAD = 5
+
+
 @query
 def invoice_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: text -> candidates -> best -> normalised -> validated -> routed."""
@@ -184,7 +188,10 @@ def score_v2(spark, sf_dir):
 
 @query
 def classify_documents(spark, sf_dir):
-    return classify.classify(table(spark, sf_dir, "documents")).groupBy("doc_type", "doc_confidence").agg(F.count("*").alias("n"))
+    """Rendered documents of all 13 types and the documents of the corpus, by the type that they have and the one found."""
+    known = rendered_types(spark, sf_dir).select(F.col("doc_type").alias("known_type"), "text")
+    prose = table(spark, sf_dir, "documents").select(F.lit("none").alias("known_type"), "text")
+    return classify.classify(known.union(prose)).groupBy("known_type", "doc_type").agg(F.count("*").alias("n"))
 
 
 @query
@@ -211,19 +218,21 @@ def truncate_head_tail(spark, sf_dir):
 
 @query
 def ground_passages(spark, sf_dir):
-    """Benchmark passages in documents: a document's blocks are its paragraphs, the quote a benchmark item's first line."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.grounding_form(F.get(F.split("text", "\n"), 0)).alias("quote")).where("length(quote) >= 20")
+    """Lines of benchmark items in documents, as whole words: a document's blocks are its paragraphs, a quote any line.
+
+    A block is looked up by the different hashes of one to five neighbouring words that it has, against the hash of a
+    quote's first five words (of all words of a shorter one); where one hits, the quote itself is looked for.
+    """
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    quotes = lines.select("item_id", F.col("line_no").cast("long").alias("line_no"), T.grounding_form(F.col("line")).alias("quote")).where("quote <> ''")
+    quotes = quotes.withColumn("n", F.least(F.size(F.split("quote", " ")), F.lit(LEAD))).withColumn("lead", F.xxhash64(F.array_join(F.slice(F.split("quote", " "), 1, F.col("n")), " ")))
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block")).select("doc_id", "pos", T.grounding_form(F.col("block")).alias("block"))
-    # equi-join on the first five words, then the exact test
-    lead = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 5), " ")
-    starts = _leads(d)
-    hits = starts.join(b.withColumn("lead", lead(F.col("quote"))), "lead").where(F.col("block").contains(F.col("quote")))
-    return hits.groupBy("doc_id", "item_id").agg(F.min("pos").cast("long").alias("block_no"))
-
-
-def _leads(blocks: DataFrame) -> DataFrame:
-    words = blocks.select("doc_id", "pos", "block", F.split("block", " ").alias("w"))
-    return words.select("doc_id", "pos", "block", "w", F.posexplode_outer("w").alias("i", "x")).where(F.col("i") + 5 <= F.size("w")).select("doc_id", "pos", "block", F.array_join(F.slice("w", F.col("i") + 1, 5), " ").alias("lead")).distinct()
+    d = d.withColumn("w", F.split("block", " "))
+    at = [f"transform(sequence(1, greatest(size(w) - {n - 1}, 0), 1), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))" for n in range(1, LEAD + 1)]
+    leads = F.expr(f"if(block = '', cast(array() as array<bigint>), array_distinct(flatten(array({', '.join(f'if(size(w) >= {n}, {x}, cast(array() as array<bigint>))' for n, x in enumerate(at, 1))}))))")
+    starts = d.select("doc_id", "pos", "block", F.explode(leads).alias("lead"))
+    hits = starts.join(quotes, "lead").where(F.concat(F.lit(" "), F.col("block"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("quote"), F.lit(" "))))
+    return hits.groupBy("doc_id", "item_id", "line_no").agg(F.min("pos").cast("long").alias("block_no"))
 
 
 @query
@@ -379,21 +388,37 @@ def file_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", structure.safe_name(name).alias("name"))
 
 
+def rendered_types(spark, sf_dir):
+    """(doc_id, doc_type, text): a document of each of the 13 types in turn, rendered from an order's values."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    day, total = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    forms = {
+        "application_form": ("Application Form\nApplicant Name: Ann Lee\nApplication No. AF-", k, "\nAddress: ", c, " High Street\nSignature of Applicant\nDeclaration"),
+        "bank_statement": ("Bank Statement\nAccount Holder: C ", c, "\nAccount No: ", k, "\n1999-01-01 then ", day, "\nOpening Balance: 1.00\nClosing Balance: ", total),
+        "certificate": ("Certificate of Merit\nThis is to certify that the work is done\nAwarded to: Jo Novak\nNorth College\nCertificate ID: C/", k, "\n", day),
+        "contract": ("Agreement\nBetween: A", c, " and B\nWhereas the parties hereby agree\nEffective Date: ", day, "\nTermination Date: 2030-01-01\nContract Value: $", total, "\nGoverning law"),
+        "delivery_challan": ("Delivery Challan\nChallan No: DC-", k, "\nDate ", day, "\nConsignor: S", c, "\nConsignee: R", k, "\nVehicle No: X 1\nTransporter: T"),
+        "expense_report": ("Expense Report\nEmployee Name: Kim Marsh\nBusiness purpose travel, mileage, per diem\n", day, "\nTotal Claim: ", total),
+        "id_document": ("Republic of X\nIdentity Card\nID No: I", k, "\nName: Lou Weber\nDate of Birth: ", day, "\nAddress: Flat ", c),
+        "insurance": ("Insurance Policy\nPolicy No: P/", k, "\nPolicy Holder: Max Rossi\nSum insured\nFrom ", day, " to 2030-01-01\nPremium Amount: ", total),
+        "invoice": ("Acme ", c, "\nTax Invoice\nInvoice No: N-", k, "\nBill to: X\n", day, "\nGrand Total: ", total, "\nVAT: 7.50"),
+        "medical_report": ("Medical Report\nPatient Name: Eva Keller\n", day, "\nTest Name: T", c, "\nResult: ", total, " mg\nReference Range: 1 - 5\nDr. Ida Dubois"),
+        "purchase_order": ("Purchase Order\nPO Number: PO-", k, "\nBuyer: Cust ", c, "\nOn ", day, "\nGrand Total: $", total),
+        "receipt": ("Corner Shop\nReceipt # ", k, "\n", day, "\nCashier 4\nTotal paid: ", total, "\nVISA"),
+        "resume": ("Curriculum Vitae\nmail", c, "@x.org, +1 (555) 123-4567\nWork Experience\n", k, " years of experience in law\nEducation\nBachelor of Arts, ", c, "\nSkills"),
+    }
+    names = list(forms)
+    kind = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % len(names) + 1).cast("int"))
+    text = F.lit(None).cast("string")
+    for n, parts in forms.items():
+        text = F.when(F.col("doc_type") == n, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(text)
+    return table(spark, sf_dir, "orders").withColumn("doc_type", kind).select(F.col("o_orderkey").alias("doc_id"), "doc_type", text.alias("text"))
+
+
 @query
 def multi_type_extract(spark, sf_dir):
-    """Rendered documents of four types; the values are those of their rows."""
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    day, total = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("purchase_order", "insurance", "bank_statement", "receipt")]), (k % 4 + 1).cast("int"))
-    texts = F.create_map(
-        F.lit("purchase_order"), F.concat(F.lit("PO Number: PO-"), k, F.lit("\nBuyer: Cust "), F.col("o_custkey"), F.lit("\nOn "), day, F.lit("\nGrand Total: $"), total),
-        F.lit("insurance"), F.concat(F.lit("Policy No: P/"), k, F.lit("\nFrom "), day, F.lit(" to 2030-01-01\nPremium Amount: "), total),
-        F.lit("bank_statement"), F.concat(F.lit("Account Holder: C "), F.col("o_custkey"), F.lit("\nAccount No: "), k, F.lit("\n1999-01-01 then "), day, F.lit("\nClosing Balance: "), total),
-        F.lit("receipt"), F.concat(F.lit("Corner Shop\nReceipt # "), k, F.lit("\n"), day, F.lit("\nTotal paid: "), total, F.lit("\nVISA")),
-    )
-    docs = o.select(k.alias("doc_id"), kind.alias("doc_type"), F.element_at(texts, kind).alias("text"))
-    return typed_fields.typed_fields(docs).where("value is not null")
+    """Rendered documents of all 13 types; the values are those of their rows."""
+    return typed_fields.typed_fields(rendered_types(spark, sf_dir)).where("value is not null")
 
 
 @query

@@ -228,8 +228,10 @@ def ground_passages(spark, sf_dir):
     quotes = quotes.withColumn("n", F.least(F.size(F.split("quote", " ")), F.lit(LEAD))).withColumn("lead", F.xxhash64(F.array_join(F.slice(F.split("quote", " "), 1, F.col("n")), " ")))
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block")).select("doc_id", "pos", T.grounding_form(F.col("block")).alias("block"))
     d = d.withColumn("w", F.split("block", " "))
-    at = [f"transform(sequence(1, greatest(size(w) - {n - 1}, 0), 1), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))" for n in range(1, LEAD + 1)]
-    leads = F.expr(f"if(block = '', cast(array() as array<bigint>), array_distinct(flatten(array({', '.join(f'if(size(w) >= {n}, {x}, cast(array() as array<bigint>))' for n, x in enumerate(at, 1))}))))")
+    none = "cast(array() as array<bigint>)"
+    sizes = [r.n for r in quotes.select("n").distinct().collect()]  # LEAD numbers at most
+    at = [f"if(size(w) >= {n}, transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64(array_join(slice(w, i, {n}), ' '))), {none})" for n in sizes] or [none]
+    leads = F.expr(f"if(block = '', {none}, array_distinct(flatten(array({', '.join(at)}))))")
     starts = d.select("doc_id", "pos", "block", F.explode(leads).alias("lead"))
     hits = starts.join(quotes, "lead").where(F.concat(F.lit(" "), F.col("block"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("quote"), F.lit(" "))))
     return hits.groupBy("doc_id", "item_id", "line_no").agg(F.min("pos").cast("long").alias("block_no"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quillstream.plans.oracles import ORACLES
+from quillstream.plans import document_oracles, document_queries, oracles
 from quillstream.plans.queries import QUERIES
 
+ORACLES = oracles.ORACLES | document_oracles.ORACLES
 FLAGSHIP = "invoice_round_trip"
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "document_queries"]

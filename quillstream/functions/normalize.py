@@ -16,6 +16,9 @@ MONTHS = {
 #: Words read as true and as false.
 TRUE, FALSE = ("true", "yes", "1", "y", "t", "verified", "passed"), ("false", "no", "0", "n", "f", "failed")
 
+#: Parts of field names that hold dates, and amounts.
+DATES, AMOUNTS = "date|dob|birth|joining|validity", "amount|total|price|fee|salary|balance|cost|percentage|marks"
+
 
 def _month(name: Column) -> Column:
     pairs = [F.lit(x) for number, names in MONTHS.items() for word in dict.fromkeys(names.split()) for x in (word, number)]
@@ -126,3 +129,14 @@ def field(value: Column, data_type: Column) -> Column:
     valid = F.when(kind == "email", out.contains("@") & out.contains(".")).when(kind == "phone", F.length(F.regexp_replace(out, "[^0-9]", "")) >= 7).otherwise(out.isNotNull())
     error = F.when(~valid, F.concat(F.lit("Value '"), value, F.lit("' is not a valid "), kind))
     return F.struct(F.when(~missing, out).alias("value"), (missing | valid).alias("valid"), F.when(~missing, error).alias("error"))
+
+
+def by_name(name: Column, value: Column) -> Column:
+    """struct(value, valid) of a field's text by what its name says: a date, an amount, or trimmed text; a date or an amount that
+    can't be read stays as it is and isn't valid. Null is valid."""
+    text = F.trim(value)
+    low = F.lower(name)
+    kind = F.when(low.rlike(DATES), "date").when(low.rlike(AMOUNTS), "amount")
+    got = F.when(kind == "date", date_day_first(text).cast("string")).when(kind == "amount", amount(text).cast("string")).otherwise(text)
+    blank = F.coalesce(text, F.lit("")) == ""
+    return F.struct(F.coalesce(got, text).alias("value"), (blank | got.isNotNull()).alias("valid"))

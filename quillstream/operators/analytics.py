@@ -84,3 +84,15 @@ def first_filled(*columns: str) -> Column:
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row of each key; a maximum of structs, which combines before the shuffle."""
     return rows.groupBy(key).agg(F.max(F.struct(*order, *[F.col(c) for c in rows.columns if c != key])).alias("_last")).select(key, *[f"_last.{c}" for c in rows.columns if c != key])
+
+
+#: Letters and digits from which on a page, and a document, has text.
+PAGE_TEXT, DOCUMENT_TEXT = 10, 20
+
+
+def text_metrics(pages: DataFrame) -> DataFrame:
+    """doc_id, n_chars, n_words, n_alnum, pages_with_text, n_pages, likely_scanned from ``pages`` (doc_id, text)."""
+    text = F.coalesce("text", F.lit(""))
+    each = pages.select("doc_id", F.length(text).alias("c"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("w"), F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")).alias("a"))
+    out = each.groupBy("doc_id").agg(F.sum("c").alias("n_chars"), F.sum("w").alias("n_words"), F.sum("a").alias("n_alnum"), F.count_if(F.col("a") >= PAGE_TEXT).alias("pages_with_text"), F.count("*").alias("n_pages"))
+    return out.withColumn("likely_scanned", (F.col("n_alnum") < DOCUMENT_TEXT) | (F.col("pages_with_text") == 0))

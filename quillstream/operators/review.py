@@ -38,3 +38,19 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def delete_with_children(parent: DataFrame, child: DataFrame, gone: DataFrame, key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
     """parent and child without the keys in ``gone``."""
     return parent.join(gone.select(key), key, "left_anti"), child.join(gone.select(F.col(key).alias(child_key)), child_key, "left_anti")
+
+
+def verified(runs: DataFrame, approved: DataFrame) -> DataFrame:
+    """``runs`` (document_id, run_id, created_at, status) in which the latest run of each document in ``approved`` is VERIFIED."""
+    last = runs.join(approved, "document_id", "left_semi").groupBy("document_id").agg(F.max(F.struct("created_at", "run_id")).alias("_last")).select("document_id", F.col("_last.run_id").alias("_run"))
+    out = runs.join(last, "document_id", "left")
+    return out.withColumn("status", F.when(F.col("run_id") == F.col("_run"), "VERIFIED").otherwise(F.col("status"))).drop("_run")
+
+
+def reprocessed(docs: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (document_id, status) with those in ``again`` in PROCESSING, and a queued run for each of these: document_id,
+    status, stage, reprocessed_from (the status that the document had)."""
+    chosen = again.select("document_id").distinct()
+    runs = docs.join(chosen, "document_id", "left_semi").select("document_id", F.lit("QUEUED").alias("status"), F.lit("UPLOADED").alias("stage"), F.col("status").alias("reprocessed_from"))
+    out = docs.join(chosen.withColumn("_again", F.lit(True)), "document_id", "left")
+    return out.withColumn("status", F.when(F.col("_again"), "PROCESSING").otherwise(F.col("status"))).drop("_again"), runs

@@ -87,7 +87,7 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 #: Letters and digits from which on a page, and a document, has text.
-PAGE_TEXT, DOCUMENT_TEXT = 10, 20
+PAGE_TEXT, DOCUMENT_TEXT = 10, 25
 
 
 def text_metrics(pages: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ select o_orderkey as document_id, case when o_orderkey % 5 = 0 then 'PROCESSING'
   case when o_orderkey % 5 = 0 then case when o_orderkey % 2 = 0 then 'VERIFIED' else 'FAILED' end end as reprocessed_from from orders""",
     "text_metrics": r"""
 with p as (select doc_id, unnest(string_split(text, chr(10))) as t from documents), a as (select doc_id, t, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) as a from p)
-select doc_id, sum(length(t))::bigint as n_chars, sum(len(regexp_extract_all(t, '[^\s]+')))::bigint as n_words, sum(a)::bigint as n_alnum, count(*) filter (a >= 10) as pages_with_text, count(*) as n_pages, (sum(a) < 20 or count(*) filter (a >= 10) = 0) as likely_scanned from a group by 1""",
+select doc_id, sum(length(t))::bigint as n_chars, sum(len(regexp_extract_all(t, '[^\s]+')))::bigint as n_words, sum(a)::bigint as n_alnum, count(*) filter (a >= 10) as pages_with_text, count(*) as n_pages, (sum(a) < 25 or count(*) filter (a >= 10) = 0) as likely_scanned from a group by 1""",
     "normalize_by_name": """
 select o_orderkey as doc_id, 'Birth_Day' as field, strftime(o_orderdate, '%Y-%m-%d') as value, true as valid from orders union all select o_orderkey, 'salary', cast(cast(o_totalprice as decimal(18,2)) as varchar), true from orders
 union all select o_orderkey, 'fee', 'free', false from orders union all select o_orderkey, 'name', 'Jo', true from orders""",

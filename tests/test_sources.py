@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quillstream.sources.files import documents, read_delimited, read_files, write_csv
+from quillstream.sources.files import blocks, delimited_rows, documents, read_delimited, read_files, write_csv
 from quillstream.streaming.intake import intake, tumbling
 
 
@@ -41,3 +41,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, tumbling(events).collect()))
     assert tumbling(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_encodings_and_delimiters(spark, tmp_path):
+    (tmp_path / "mark.csv").write_bytes("\ufeffa;b\n é ;\"x;\ny\"\n;\n1;2;3\nNaN;z\n1;2\n".encode())
+    (tmp_path / "west.csv").write_bytes("a\tb\tb\n“é”\t5 €\t\n".encode("cp1252"))
+    (tmp_path / "latin.txt").write_bytes(b"a,b\n\xe9,\x81\n")
+    (tmp_path / "one.csv").write_text("a\n1\n")
+    got = {(r.path.split("/")[-1], r.row_idx): (r.headers, r.cells) for r in delimited_rows(read_files(spark, str(tmp_path))).collect()}
+    assert got == {
+        ("mark.csv", 1): (["a", "b"], ["é", "x;\ny"]), ("mark.csv", 3): (["a", "b"], [None, "z"]), ("mark.csv", 4): (["a", "b"], ["1", "2"]), ("west.csv", 1): (["a", "b", "b_2"], ["“é”", "5 €", None]),
+        ("latin.txt", 1): (["a", "b"], ["é", "\x81"]), ("one.csv", 1): (["a"], ["1"]),
+    }
+    with zipfile.ZipFile(tmp_path / "bad.docx", "w") as z:
+        z.writestr("x", "y")
+    out = {r.path.split("/")[-1]: (r.type, r.text, r.error_message) for r in blocks(read_files(spark, str(tmp_path))).collect()}
+    assert out["west.csv"] == ("table_row", "a: “é”, b: 5 €", None) and out["bad.docx"][2].startswith("KeyError") and len(out) == 5

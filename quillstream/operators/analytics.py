@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("UPLOADED", "PROCESSING", "VERIFIED", "NEEDS_REVIEW", "FAILED")
@@ -96,3 +96,40 @@ def text_metrics(pages: DataFrame) -> DataFrame:
     each = pages.select("doc_id", F.length(text).alias("c"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("w"), F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")).alias("a"))
     out = each.groupBy("doc_id").agg(F.sum("c").alias("n_chars"), F.sum("w").alias("n_words"), F.sum("a").alias("n_alnum"), F.count_if(F.col("a") >= PAGE_TEXT).alias("pages_with_text"), F.count("*").alias("n_pages"))
     return out.withColumn("likely_scanned", (F.col("n_alnum") < DOCUMENT_TEXT) | (F.col("pages_with_text") == 0))
+
+
+def mean_confidence(docs: DataFrame) -> DataFrame:
+    """One row: mean confidence, three places; 0 without any."""
+    return docs.agg(F.coalesce(F.round(F.avg("confidence"), 3), F.lit(0)).cast("double").alias("mean_confidence"))
+
+
+def sections(fields: DataFrame) -> DataFrame:
+    """doc_id, section, place, n: a document's sections in the order in which its fields (doc_id, pos, section) first name them;
+    of two at one place the first by name."""
+    got = fields.groupBy("doc_id", F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.lit("General")).alias("section")).agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    return got.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "section"))).drop("first")
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """doc_id, passed, failed of rules' ``outcomes`` (doc_id, status)."""
+    return outcomes.groupBy("doc_id").agg(F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed"))
+
+
+def primary_source(fields: DataFrame) -> DataFrame:
+    """doc_id, source: the commonest source of a document's fields, the first by name of equally common ones."""
+    counted = fields.groupBy("doc_id", "source").agg(F.count("*").alias("n"))
+    return counted.groupBy("doc_id").agg(F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("source"))
+
+
+def box_union(boxes: DataFrame, *keys: str) -> DataFrame:
+    """keys, x0, y0, x1, y1: the smallest box around the boxes (keys, x0, y0, x1, y1) of each key."""
+    return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def evidence(fields: DataFrame) -> DataFrame:
+    """document_id, run_id, field, evidence: those of each document's latest run that have evidence.
+
+    ``fields``: document_id, run_id, created_at, field, evidence.
+    """
+    last = fields.groupBy("document_id").agg(F.max(F.struct("created_at", "run_id")).alias("_last")).select("document_id", F.col("_last.run_id").alias("run_id"))
+    return fields.where("evidence is not null").join(last, ["document_id", "run_id"]).select("document_id", "run_id", "field", "evidence")

@@ -87,4 +87,14 @@ union all select o_orderkey, 'fee', 'free', false from orders union all select o
     "typed_values": """
 select o_orderkey as doc_id, 'Bool' as kind, case when o_orderkey % 2 = 0 then 'true' end as value, o_orderkey % 2 = 0 as valid from orders union all select o_orderkey, 'id', 'A' || o_orderkey, true from orders
 union all select o_orderkey, 'date', strftime(o_orderdate, '%Y-%m-%d'), true from orders where day(o_orderdate) > 12 union all select o_orderkey, 'email', 'nobody', false from orders union all select o_orderkey, 'money', null, true from orders""",
+    "mean_confidence": "select round(avg(cast((o_orderkey % 101) / 100.0 as decimal(6,2))), 3)::double as mean_confidence from orders where o_orderkey % 11 <> 0",
+    "list_of_type": "select o_orderkey as document_id, o_orderpriority as file_type from orders where o_orderpriority = '1-URGENT' and o_orderkey % 13 <> 0 order by o_orderdate desc, o_orderkey desc limit 25",
+    "field_sections": f"""
+with s as (select k, case q % 3 when 0 then 'Totals' when 1 then 'General' else 'Lines' end as section, min(n) as f, count(*) as c from {_L} group by all)
+select k as doc_id, section, c as n, row_number() over (partition by k order by f, section)::integer as place from s""",
+    "rule_outcome_counts": f"select k as doc_id, count(*) filter (q % 3 = 2) as passed, count(*) filter (q % 3 = 0) as failed from {_L} group by k",
+    "primary_sources": f"select k as doc_id, 'source ' || m as source from (select k, q % 3 as m, count(*) as c from {_L} group by all) qualify row_number() over (partition by k order by c desc, m) = 1",
+    "evidence_boxes": f"select k as doc_id, min(q) as x0, min(n) as y0, max(q + h) as x1, max(n + 2) as y1 from {_L} group by k",
+    "evidence_of_latest_run": """
+select user_id as document_id, day(ts)::integer as run_id, event_id as field, event_type as evidence from events e where event_id % 3 <> 0 and day(ts) = (select max(day(ts)) from events x where x.user_id = e.user_id)""",
 }

@@ -8,7 +8,7 @@ from quillstream.functions import normalize as N
 from quillstream.operators import analytics, answers, reconcile, review
 from quillstream.operators import document_review as D
 from quillstream.plans.queries import query
-from quillstream.plans.tables import table
+from quillstream.plans.tables import dashboard_documents, table
 
 
 def _orders(spark, sf_dir):
@@ -235,3 +235,42 @@ def typed_values(spark, sf_dir):
     fields = _rows(o, "doc_id", row("Bool", F.when(F.col("k") % 2 == 0, "Yes").otherwise("maybe")), row("id", F.concat(F.lit("#A"), F.col("k").cast("string"), F.lit("."))), row("date", F.date_format("o_orderdate", "MM/dd/yyyy")), row("email", F.lit("nobody")), row("money", F.lit(" ")))
     got = N.field(F.col("value"), F.col("kind"))
     return fields.where("kind <> 'date' or day(to_date(value, 'MM/dd/yyyy')) > 12").select("doc_id", "kind", got["value"].alias("value"), got["valid"].alias("valid"))
+
+
+@query
+def mean_confidence(spark, sf_dir):
+    return analytics.mean_confidence(dashboard_documents(spark, sf_dir))
+
+
+@query
+def list_of_type(spark, sf_dir):
+    return analytics.list_page(dashboard_documents(spark, sf_dir), page=1, size=25, kind=" 1-urgent").select("document_id", "file_type")
+
+
+@query
+def field_sections(spark, sf_dir):
+    l = _lines(spark, sf_dir)  # noqa: E741
+    return analytics.sections(l.select("doc_id", "pos", F.when(F.col("q") % 3 == 0, "Totals").when(F.col("q") % 3 == 1, " ").otherwise("Lines").alias("section")))
+
+
+@query
+def rule_outcome_counts(spark, sf_dir):
+    l = _lines(spark, sf_dir)  # noqa: E741
+    return analytics.outcome_counts(l.select("doc_id", F.when(F.col("q") % 3 == 0, "fail").when(F.col("q") % 3 == 1, "skipped").otherwise("pass").alias("status")))
+
+
+@query
+def primary_sources(spark, sf_dir):
+    return analytics.primary_source(_lines(spark, sf_dir).select("doc_id", F.concat(F.lit("source "), F.col("q") % 3).alias("source")))
+
+
+@query
+def evidence_boxes(spark, sf_dir):
+    l = _lines(spark, sf_dir)  # noqa: E741
+    return analytics.box_union(l.select("doc_id", F.col("q").alias("x0"), F.col("pos").alias("y0"), (F.col("q") + F.col("h")).alias("x1"), (F.col("pos") + 2).alias("y1")), "doc_id")
+
+
+@query
+def evidence_of_latest_run(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("user_id is not null")
+    return analytics.evidence(events.select(F.col("user_id").alias("document_id"), F.dayofmonth("ts").alias("run_id"), F.dayofmonth("ts").alias("created_at"), F.col("event_id").alias("field"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("evidence")))

@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.decontamination import contaminated
+from quillstream.llm.dual_tree import clustered
 from quillstream.llm.html_text import extract
 from quillstream.llm.near_duplicates import near_duplicates
 from quillstream.llm.pii import personal_data
+from quillstream.llm.prefix_trie import forked, numbered_turns, prefix_trie
 from quillstream.llm.quality_rules import quality_rules
 from quillstream.llm.secrets import secret_spans
 from quillstream.llm.sentencepiece_codec import tokens
 from quillstream.llm.sharding import sharded
+from quillstream.llm.simhash import simhash_duplicates
 from quillstream.llm.suffix_dedup import remove_repeats
 from quillstream.llm.warc_zip import archived
 
@@ -66,6 +69,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(forked(numbered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }

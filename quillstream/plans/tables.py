@@ -49,3 +49,31 @@ def rendered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(word(1, 0, F.lit("Invoice"), 96.0), word(1, 1, F.lit("Number:"), 92.0), word(1, 2, F.when(k % 3 == 0, "~").otherwise(""), 4.0), word(1, 3, F.concat(F.lit("N-"), k.cast("string")), 88.0), word(2, 4, F.date_format("o_orderdate", "yyyy-MM-dd"), 80.0))
     rows = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.explode(words).alias("w")).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("block"), "w.*")
     return rows.withColumn("pos", F.col("word_no"))
+
+
+def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a scanned page of each order, in reading order: a tax number, "Invoice No:" with its number to the right, below
+    or too far off, and a total far to the right. Boxes are off by some pixels; only every 13th page has line numbers."""
+    k = F.col("o_orderkey")
+    n = lambda c: c.cast("double") if hasattr(c, "cast") else F.lit(float(c))
+    tax_number = F.lit("27ABCDE1234F1Z5")
+
+    def word(line, text, conf, x, y, width):
+        text = text if hasattr(text, "cast") else F.lit(text)
+        return F.struct(F.lit(line).alias("line"), text.alias("text"), n(conf).alias("conf"), n(x).alias("x0"), n(y).alias("y0"), (n(x) + width).alias("x1"), (n(y) + 12).alias("y1"))
+
+    at_right, under, aside = k % 4 == 0, k % 4 == 1, k % 4 == 2
+    x = F.when(at_right, 210 + k % 5 * 60).when(under, 50 + k % 6 * 30).when(aside, 130 + k % 3 * 90).otherwise(210)
+    y = F.when(at_right, 101).when(under, 112 + k % 5 * 40).when(aside, 130).otherwise(99)
+    total = F.when(k % 11 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("o_totalprice").cast("decimal(18,2)"))
+    words = F.array(
+        word(1, "Acme", 97, 50, 30, 50), word(1, "Works", 95, 105, 31 + k % 3, 55),
+        word(2, "GSTIN:", 90, 50, 60, 60), word(2, tax_number, 88, 120, 61, 140),
+        word(3, "Invoice No:", 96, 50, 100, 80), word(3, F.when(k % 7 == 0, "2024-01-05").otherwise("~"), 20, 135, 100, 60),
+        word(3, F.when(k % 4 == 3, tax_number).otherwise(F.concat(F.lit("INV-"), k)), 60 + k % 40, x, y, 90),
+        word(4, "Grand Total", 93, 50, 300, 90), word(4, "Tax", 80, 200, 300, 30), word(4, F.concat(F.lit("₹"), western(total)), 70 + k % 30, 400 + k % 3 * 100, 302, 120),
+        word(4, "05/06/2024", 75, 760, 299, 90),
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(words).alias("pos", "w"))
+    numbered = F.col("doc_id") % 13 == 0
+    return rows.select("doc_id", F.lit(1).alias("page"), "pos", "w.text", "w.conf", "w.x0", "w.y0", "w.x1", "w.y1", F.when(numbered, 1).alias("block"), F.when(numbered, F.col("w.line")).alias("line"))

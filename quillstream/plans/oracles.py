@@ -43,7 +43,7 @@ with c as (select user_id, event_type, day(ts) <= 15 as f, count(*) as n from ev
 select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, a.n as value_a, b.n as value_b,
   case when a.n is null then 'added' when b.n is null then 'removed' when a.n = b.n then 'same' else 'changed' end as change from a full join b on a.user_id = b.user_id and a.event_type = b.event_type""",
     "canonical_alias": "select case lower(event_type) when 'click' then 'interaction' when 'view' then 'impression' when 'purchase' then 'conversion' else event_type end as canonical_key, count(*) as n from events group by 1",
-    "seed_missing": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "seed_missing": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and isodow(o_orderdate) = 5)",
     "normalize_date_round_trip": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders",
     "normalize_amount_round_trip": "select o_orderkey, (cast(o_totalprice as decimal(18,2)) * case when o_orderkey % 5 in (2, 4) then -1 else 1 end)::double as amount from orders",
     "normalize_money_percent": "select l_orderkey, l_linenumber, (cast(l_extendedprice as decimal(18,2)) * case when l_linenumber % 2 = 0 and l_extendedprice < 999.995 then 100 else 1 end)::double as price, (case when cast(l_discount as decimal(4,2)) > 0 then 100 else 1 end * cast(l_discount as decimal(4,2)))::double as discount from lineitem",

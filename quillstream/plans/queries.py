@@ -126,8 +126,9 @@ def canonical_alias(spark, sf_dir):
 
 @query
 def seed_missing(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order from Friday's orders, as rows to insert."""
+    there = table(spark, sf_dir, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.weekday("o_orderdate") == 4)).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(there, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query

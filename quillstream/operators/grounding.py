@@ -6,61 +6,122 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import grounding_form
+from quillstream.functions.windows import windows_of_sizes
+from quillstream.sources.shared import sized, written
 
 ACCEPT, GROUNDED = 0.65, 0.70
+#: Characters that are counted one by one for the bound of a likeness; the others count together.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Words by whose hash a quote is looked up.
+LEAD = 5
 
 
 def exact_score(quote: Column, value: Column, block: Column) -> Column:
     """1.0, 0.98, 0.95 or 0.92 by the way in which the block holds the quote or the value; null if it doesn't."""
     some = lambda x, n: F.length(x) >= n
-    return (
-        F.when((some(quote, 1) & block.contains(quote)) | (some(block, 15) & quote.contains(block)), 1.0)
-        .when(some(quote, 20) & block.contains(F.left(quote, F.lit(35))), 0.98)
-        .when(some(value, 2) & some(block, 1) & (block.contains(value) | value.contains(block)), 0.95)
-        .when(some(value, 25) & block.contains(F.left(value, F.lit(35))), 0.92)
-    )
+    begins = lambda x: F.trim(F.left(x, F.lit(35)))
+    return F.when(some(block, 1), (
+        F.when(some(quote, 1) & (block.contains(quote) | (some(block, 15) & quote.contains(block))), 1.0)
+        .when(some(quote, 20) & block.contains(begins(quote)), 0.98)
+        .when(some(value, 2) & (block.contains(value) | (some(block, 15) & value.contains(block))), 0.95)
+        .when(some(value, 25) & block.contains(begins(value)), 0.92)
+    ))
+
+
+def _form(text: Column) -> Column:
+    return grounding_form(F.translate(text, "*�−", "  -"))
+
+
+def _counts(text: Column) -> Column:
+    """How often each of COUNTED is in the text, and how many other characters."""
+    each = F.transform(F.array(*[F.lit(c) for c in COUNTED]), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    return F.concat(each, F.array(F.length(text) - F.aggregate(each, F.lit(0), lambda a, n: a + n)))
+
+
+def candidate_pairs(values: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of a value without an exact hit and a block of its document, with ``overlap`` and ``bound``.
+
+    ``values``: doc_id, field, page, _t; ``blocks``: doc_id, _page, pos, _b and more. ``overlap``: the share of the target's
+    words of three letters and more that the block holds. ``bound``: no ratio of common runs can exceed it, as the runs share
+    no more of any character than both texts have. Only where the bound reaches ACCEPT, and what the best overlap of the
+    value gives already, can the ratio decide; only those pairs have ``likely``.
+    """
+    words = F.filter(F.regexp_extract_all("_t", F.lit("([a-zA-Z0-9]+)"), 1), lambda w: F.length(w) >= 3)
+    v = values.withColumn("_words", words).withColumn("_vc", _counts(F.col("_t")))
+    b = blocks.where("_b <> ''").withColumn("_bc", _counts(F.col("_b")))
+    pairs = v.join(b, "doc_id")
+    held = F.size(F.filter("_words", lambda w: F.col("_b").contains(w)))
+    overlap = F.when(F.size("_words") > 0, held / F.size("_words")).otherwise(0.0)
+    common = F.aggregate(F.zip_with("_vc", "_bc", lambda x, y: F.least(x, y)), F.lit(0), lambda a, n: a + n)
+    pairs = pairs.withColumn("overlap", overlap).withColumn("bound", 2 * common / (F.length("_t") + F.length("_b")))
+    best = F.max("overlap").over(Window.partitionBy("doc_id", "field"))
+    return pairs.withColumn("likely", (F.length("_t") <= 3 * F.length("_b")) & (F.col("bound") >= F.greatest(F.lit(ACCEPT), best))).drop("_words", "_vc", "_bc")
 
 
 def ground(values: DataFrame, blocks: DataFrame, fuzzy: bool = True) -> DataFrame:
     """values (doc_id, field, value, quote, page) with block_id, match_score, grounded, bbox.
 
     ``blocks``: doc_id, block_id, page, pos, text, x0, y0, x1, y1. Blocks of the hinted page come first, then by position;
-    the first block with an exact hit wins. Values without one are compared with all blocks of their document by words
-    and by the ratio of common runs; the best from 0.65 on counts, and 0.70 grounds it.
+    the first block with an exact hit wins. Values without one are compared with the blocks of their document by words, and
+    by the ratio of common runs where its bound allows that to decide; the first best from 0.65 on counts, and 0.70 grounds it.
     """
-    v = values.withColumn("_q", F.coalesce(grounding_form(F.col("quote")), F.lit(""))).withColumn("_v", F.coalesce(grounding_form(F.col("value")), F.lit("")))
-    b = blocks.select("doc_id", F.col("page").alias("_page"), "pos", "block_id", grounding_form(F.col("text")).alias("_b"), "x0", "y0", "x1", "y1")
-    pairs = v.join(b, "doc_id").withColumn("_s", exact_score(F.col("_q"), F.col("_v"), F.col("_b")))
-    place = F.struct(F.coalesce((F.col("_page") != F.col("page")).cast("int"), F.lit(1)).alias("far"), "pos")
-    hit = F.struct(place.alias("place"), "block_id", F.col("_s").alias("score"), "x0", "y0", "x1", "y1")
+    v = values.withColumn("_q", F.coalesce(_form(F.col("quote")), F.lit(""))).withColumn("_v", F.coalesce(_form(F.col("value")), F.lit("")))
+    b = blocks.select("doc_id", F.col("page").alias("_page"), "pos", "block_id", _form(F.col("text")).alias("_b"), "x0", "y0", "x1", "y1")
+    place = F.struct((F.col("_page") != F.coalesce(F.col("page"), F.lit(1))).alias("far"), "_page", "pos")
     flat = ["doc_id", "field", *[F.col(f"h.{c}") for c in ("block_id", "score", "x0", "y0", "x1", "y1")]]
-    first = pairs.where("_s is not null").groupBy("doc_id", "field").agg(F.min(hit).alias("h")).select(*flat)
+    hit = lambda score: F.struct(place.alias("place"), "block_id", score.alias("score"), "x0", "y0", "x1", "y1")
+    pairs = v.join(b, "doc_id").withColumn("_s", exact_score(F.col("_q"), F.col("_v"), F.col("_b"))).where("_s is not null")
+    first = pairs.groupBy("doc_id", "field").agg(F.min(hit(F.col("_s"))).alias("h")).select(*flat)
     if fuzzy:
-        rest = pairs.join(first, ["doc_id", "field"], "left_anti").withColumn("_t", F.when(F.col("_q") != "", F.col("_q")).otherwise(F.col("_v")))
-        rest = rest.withColumn("score", F.greatest(_overlap(), _ratio()("_t", "_b"))).where(F.col("score") >= ACCEPT)
-        best = F.struct("score", (-F.col("pos")).alias("order"), "block_id", "x0", "y0", "x1", "y1")
-        first = first.unionByName(rest.groupBy("doc_id", "field").agg(F.max(best).alias("h")).select(*flat))
+        target = F.when(F.col("_q") != "", F.col("_q")).otherwise(F.col("_v"))
+        missed = v.join(first.select("doc_id", "field"), ["doc_id", "field"], "left_anti").withColumn("_t", target).where("_t <> ''")
+        near = candidate_pairs(missed.select("doc_id", "field", "page", "_t"), b).where((F.col("overlap") >= ACCEPT) | F.col("likely"))
+        # a pair that isn't likely passes no text to Python
+        asked = [F.when(F.col("likely"), F.col(c)).otherwise("") for c in ("_t", "_b")]
+        score = F.greatest(F.col("overlap"), _ratio()(*asked))
+        rest = near.withColumn("_s", score).where(F.col("_s") >= ACCEPT)
+        best = F.min(F.struct((-F.col("_s")).alias("less"), hit(F.col("_s")).alias("h")))
+        first = first.unionByName(rest.groupBy("doc_id", "field").agg(best.alias("m")).select("doc_id", "field", F.col("m.h").alias("h")).select(*flat))
     out = values.join(first, ["doc_id", "field"], "left")
-    score = F.coalesce(F.col("score"), F.lit(0.0))
+    score = F.round(F.coalesce(F.col("score"), F.lit(0.0)), 2)
+    sure = F.coalesce(F.col("score") >= GROUNDED, F.lit(False))
     box = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")])
-    return out.select(*values.columns, "block_id", score.alias("match_score"), (score >= GROUNDED).alias("grounded"), F.when(score >= GROUNDED, box).otherwise(F.array(*[F.lit(0.0)] * 4)).alias("bbox"))
-
-
-def _overlap() -> Column:
-    """Share of the target's words of three letters and more that the block holds."""
-    words = F.filter(F.split("_t", " "), lambda w: F.length(w) >= 3)
-    held = F.filter(words, lambda w: F.col("_b").contains(w))
-    return F.when(F.size(words) > 0, F.size(held) / F.size(words)).otherwise(0.0)
+    return out.select(*values.columns, "block_id", score.alias("match_score"), sure.alias("grounded"), F.when(sure, box).otherwise(F.array(*[F.lit(0.0)] * 4)).alias("bbox"))
 
 
 def _ratio():
     @F.pandas_udf("double")
     def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for target, block in parts:
-            yield pd.Series([difflib.SequenceMatcher(None, t, b).ratio() if len(t) <= 3 * len(b) else 0.0 for t, b in zip(target, block, strict=True)], dtype="float64")
+            yield pd.Series([difflib.SequenceMatcher(None, t, b).ratio() if t else 0.0 for t, b in zip(target, block, strict=True)], dtype="float64")
 
     return ratio
+
+
+def passages(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, block_no and the columns of ``quotes`` (quote and more): blocks of ``docs`` (doc_id, text) that hold a quote as whole
+    words; a document's blocks are its lines.
+
+    A quote is looked up by the hash of its first LEAD words (of all words of a shorter one). Each block gives the hashes of its windows
+    of one to LEAD words, without its text; what meets a quote's hash is written as the blocks' places, and only those blocks are read
+    again and searched for the quote itself.
+    """
+    quotes = quotes.where("quote <> ''").withColumn("_w", F.split("quote", " ")).withColumn("_n", F.least(F.size("_w"), F.lit(LEAD)))
+    quotes = windows_of_sizes(quotes, "_w", list(range(1, LEAD + 1)), "_h")
+    quotes = quotes.withColumn("_lead", F.get(F.element_at(F.array(*[f"_h{n}" for n in range(1, LEAD + 1)]), F.col("_n")), 0)).drop("_w", *[f"_h{n}" for n in range(1, LEAD + 1)])
+    quotes = written(quotes, "quotes")
+    blocks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "_block")).select("doc_id", "block_no", grounding_form(F.col("_block")).alias("_block")).where("_block <> ''")
+    sizes = [r._n for r in quotes.select("_n").distinct().collect()]  # LEAD numbers at most
+    keyed = blocks.withColumn("_w", F.split("_block", " "))
+    keyed = windows_of_sizes(keyed, "_w", sizes, "_h")
+    keys = F.array_distinct(F.flatten(F.array(*[f"_h{n}" for n in sizes]))) if sizes else F.array().cast("array<bigint>")
+    leads = sized(written(quotes.select("_lead").distinct(), "leads"))
+    places = keyed.select("doc_id", "block_no", F.explode(keys).alias("_lead")).join(leads, "_lead").withColumnsRenamed({"doc_id": "_doc", "block_no": "_no"})
+    places = written(places, "places")
+    found = blocks.join(sized(places), (F.col("doc_id") == F.col("_doc")) & (F.col("block_no") == F.col("_no"))).drop("_doc", "_no").join(sized(quotes), "_lead")
+    whole = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return found.where(whole("_block").contains(whole("quote"))).drop("_block", "_lead", "_n")

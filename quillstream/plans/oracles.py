@@ -125,6 +125,12 @@ with o as (select o_orderkey as k, 'INV-2024-' || lpad(o_orderkey::varchar, 8, '
 select k as doc_id, 'invoice_number' as field, 'b' || (1 + v) as block_id, 0.95::double as match_score, true as grounded from o
 union all select k, 'customer', 'b' || (4 + v + d), 0.95::double, true from o"""
 
+ORACLES["ground_likeness"] = """
+with o as (select o_orderkey as k, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d, length('invoice number: inv-2024-' || lpad(o_orderkey::varchar, 8, '0')) as n from orders)
+select k as doc_id, 'misread' as field, 'b' || (1 + v) as block_id, round((n - 1.0) / n, 2)::double as match_score, true as grounded from o
+union all select k, 'turned', 'b' || (6 + v + d), 1.0::double, true from o
+union all select k, 'absent', null, 0.0::double, false from o"""
+
 ORACLES |= {
     "cleaned_text": r"""
 with r as (select doc_id, ' ' || chr(13) || chr(10) || replace(text, '.', chr(13)) || '  ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || ' end ' || ' ' as t from documents),

@@ -21,10 +21,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-#: Words by whose hash a quote is looked up.
-LEAD = 5
-
-
 @query
 def invoice_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: text -> candidates -> best -> normalised -> validated -> routed."""
@@ -219,36 +215,38 @@ def truncate_head_tail(spark, sf_dir):
 
 @query
 def ground_passages(spark, sf_dir):
-    """Lines of benchmark items in documents, as whole words: a document's blocks are its paragraphs, a quote any line.
-
-    A block is looked up by the different hashes of one to five neighbouring words that it has, against the hash of a
-    quote's first five words (of all words of a shorter one); where one hits, the quote itself is looked for.
-    """
+    """Lines of benchmark items in documents, as whole words: a document's blocks are its paragraphs, a quote any line."""
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    quotes = lines.select("item_id", F.col("line_no").cast("long").alias("line_no"), T.grounding_form(F.col("line")).alias("quote")).where("quote <> ''")
-    quotes = quotes.withColumn("n", F.least(F.size(F.split("quote", " ")), F.lit(LEAD))).withColumn("lead", F.xxhash64(F.array_join(F.slice(F.split("quote", " "), 1, F.col("n")), " ")))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block")).select("doc_id", "pos", T.grounding_form(F.col("block")).alias("block"))
-    d = d.withColumn("w", F.split("block", " "))
-    none = "cast(array() as array<bigint>)"
-    sizes = [r.n for r in quotes.select("n").distinct().collect()]  # LEAD numbers at most
-    at = [f"if(size(w) >= {n}, transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64(array_join(slice(w, i, {n}), ' '))), {none})" for n in sizes] or [none]
-    leads = F.expr(f"if(block = '', {none}, array_distinct(flatten(array({', '.join(at)}))))")
-    starts = d.select("doc_id", "pos", "block", F.explode(leads).alias("lead"))
-    hits = starts.join(quotes, "lead").where(F.concat(F.lit(" "), F.col("block"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("quote"), F.lit(" "))))
-    return hits.groupBy("doc_id", "item_id", "line_no").agg(F.min("pos").cast("long").alias("block_no"))
+    quotes = lines.select("item_id", F.col("line_no").cast("long").alias("line_no"), T.grounding_form(F.col("line")).alias("quote"))
+    return grounding.passages(quotes, table(spark, sf_dir, "documents")).groupBy("doc_id", "item_id", "line_no").agg(F.min("block_no").cast("long").alias("block_no"))
 
 
 @query
 def ground_values(spark, sf_dir):
-    """Each order's rendered lines as blocks; its number and total as values; misses are found by likeness."""
-    docs = rendered_invoices(spark, sf_dir)
-    lines = T.prepared_lines(docs)
-    zero = [F.lit(x).alias(n) for n, x in (("x0", 50.0), ("x1", 550.0))]
-    blocks = lines.select("doc_id", F.col("line_no").alias("pos"), F.concat(F.lit("b"), F.col("line_no")).alias("block_id"), F.lit(1).alias("page"), F.col("line").alias("text"), *zero, (F.col("line_no") * 20.0).alias("y0"), (F.col("line_no") * 20.0 + 20).alias("y1"))
-    orders = table(spark, sf_dir, "orders")
+    """Each order's rendered lines as blocks; its number and customer as values, found as they are."""
     k = F.col("o_orderkey")
-    values = orders.select(k.alias("doc_id"), F.explode(F.array(F.struct(F.lit("invoice_number").alias("field"), F.concat(F.lit("INV-2024-"), F.lpad(k.cast("string"), 8, "0")).alias("value")), F.struct(F.lit("customer").alias("field"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("value")))).alias("x")).select("doc_id", "x.*", F.lit("").alias("quote"), F.lit(1).alias("page"))
-    return grounding.ground(values, blocks, fuzzy=False).select("doc_id", "field", "block_id", "match_score", "grounded")
+    values = [("invoice_number", F.concat(F.lit("INV-2024-"), F.lpad(k.cast("string"), 8, "0")), F.lit("")), ("customer", F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.lit(""))]
+    return grounding.ground(_values(spark, sf_dir, values), _blocks(spark, sf_dir), fuzzy=False).select("doc_id", "field", "block_id", "match_score", "grounded")
+
+
+@query
+def ground_likeness(spark, sf_dir):
+    """Values that no block holds as they are: a misread line, words in another order, and one that isn't there."""
+    k = F.col("o_orderkey")
+    total = F.when(k % 7 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("o_totalprice").cast("decimal(18,2)"))
+    values = [("misread", F.lit("x"), F.concat(F.lit("lnvoice number: INV-2024-"), F.lpad(k.cast("string"), 8, "0"))), ("turned", F.lit(""), F.concat(F.lit("$ "), western(total), F.lit(" Total, Grand"))), ("absent", F.lit("zebra quartz"), F.lit(""))]
+    return grounding.ground(_values(spark, sf_dir, values), _blocks(spark, sf_dir)).select("doc_id", "field", "block_id", "match_score", "grounded")
+
+
+def _blocks(spark, sf_dir):
+    lines = T.prepared_lines(rendered_invoices(spark, sf_dir))
+    zero = [F.lit(x).alias(n) for n, x in (("x0", 50.0), ("x1", 550.0))]
+    return lines.select("doc_id", F.col("line_no").alias("pos"), F.concat(F.lit("b"), F.col("line_no")).alias("block_id"), F.lit(1).alias("page"), F.col("line").alias("text"), *zero, (F.col("line_no") * 20.0).alias("y0"), (F.col("line_no") * 20.0 + 20).alias("y1"))
+
+
+def _values(spark, sf_dir, values):
+    each = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), q.alias("quote")) for n, v, q in values])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.*", F.lit(1).alias("page"))
 
 
 @query

@@ -44,7 +44,7 @@ def header_vendors(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = lines.select(key, F.explode(each).alias("l")).select(key, "l.*")
     value = F.trim(F.regexp_replace("raw", r"(?U)^[^\w]+|[^\w.,()&-]+$", ""))
     rows = rows.withColumn("value", value).withColumn("company", F.col("value").rlike(_any(ENDINGS)))
-    labelled = F.col("raw").rlike(r"(?i)^\s*(" + KEYWORDS["vendor_name"].replace(" ", r"\s*") + r")\s*[:\-]")
+    labelled = F.col("raw").rlike(r"(?i)^\s*(" + "|".join(KEYWORDS["vendor_name"]).replace(" ", r"\s*") + r")\s*[:\-]")
     number = F.col("value").rlike(r"(?i)\b(invoice|inv|bill|ref(erence)?)\s*(number|no|num|id|ref|#)\b")
     never = F.col("value").rlike(_any(NEVER)) | F.col("value").rlike(r"(?i)^\s*(" + "|".join(WHOLE) + r")\s*$")
     fits = ~F.col("raw").rlike("[.!?]$") & ~labelled & F.length("value").between(3, 100) & ~never & ~F.col("value").rlike(f"(?i){_DATE}") & ~number & (F.size(F.split("value", r"\s+")) <= WORDS)

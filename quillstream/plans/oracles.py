@@ -14,7 +14,7 @@ _FORM = f"trim(translate({_SPACES}, '“”‘’–—', '\"\"''''--'))"
 ORACLES: dict[str, str] = {
     "invoice_round_trip": """
 with o as (select o_orderkey as k, o_orderdate as d, case when o_orderkey % 7 = 0 then 0 else cast(o_totalprice as decimal(18,2)) end as t from orders)
-select k as doc_id, case when k % 10 <> 0 then 'Acme Works ' || k || ' Ltd' end as vendor_name, 'INV-2024-' || lpad(k::varchar, 8, '0') as invoice_number,
+select k as doc_id, case when k % 10 <> 0 then 'Acme Works ' || k || ' Ltd' end as vendor_name, 'INV-24-' || lpad(k::varchar, 8, '0') as invoice_number,
   strftime(d, '%Y-%m-%d') as invoice_date, t::double as total_amount,
   concat_ws('; ', case when k % 10 = 0 then 'Vendor Name is required' end, case when t <= 0 then 'Total Amount must be greater than 0' end) as errors,
   case when k % 10 = 0 or t <= 0 then 'NEEDS_REVIEW' else 'VERIFIED' end as status from o""",
@@ -121,12 +121,12 @@ ORACLES["classify_documents"] = f"""
 select ({_TYPES})[o_orderkey % 13 + 1] as known_type, ({_TYPES})[o_orderkey % 13 + 1] as doc_type, count(*) as n from orders group by all
 union all select 'none', 'invoice', count(*) from documents"""
 ORACLES["ground_values"] = """
-with o as (select o_orderkey as k, 'INV-2024-' || lpad(o_orderkey::varchar, 8, '0') as number, 'Customer ' || o_custkey as customer, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d from orders)
+with o as (select o_orderkey as k, 'INV-24-' || lpad(o_orderkey::varchar, 8, '0') as number, 'Customer ' || o_custkey as customer, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d from orders)
 select k as doc_id, 'invoice_number' as field, 'b' || (1 + v) as block_id, 0.95::double as match_score, true as grounded from o
 union all select k, 'customer', 'b' || (4 + v + d), 0.95::double, true from o"""
 
 ORACLES["ground_likeness"] = """
-with o as (select o_orderkey as k, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d, length('invoice number: inv-2024-' || lpad(o_orderkey::varchar, 8, '0')) as n from orders)
+with o as (select o_orderkey as k, case when o_orderkey % 10 = 0 then 0 else 1 end as v, case when o_orderkey % 3 = 0 then 1 else 0 end as d, length('invoice number: inv-24-' || lpad(o_orderkey::varchar, 8, '0')) as n from orders)
 select k as doc_id, 'misread' as field, 'b' || (1 + v) as block_id, round((n - 1.0) / n, 2)::double as match_score, true as grounded from o
 union all select k, 'turned', 'b' || (6 + v + d), 1.0::double, true from o
 union all select k, 'absent', null, 0.0::double, false from o"""

@@ -11,6 +11,7 @@ from quillstream.functions import normalize as N
 from quillstream.functions import text as T
 from quillstream.operators import analytics, classify, extract, grounding, insights, layout, reconcile, review, schemas, structure, typed_fields, validate
 from quillstream.plans.tables import dashboard_documents, rendered_invoices, rendered_words, table, western
+from quillstream.sources.shared import spread
 from quillstream.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,10 +28,12 @@ def invoice_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = reconcile.best_candidates(extract.candidates(rendered_invoices(spark, sf_dir)))
     wide = best.groupBy("doc_id").pivot("field", list(extract.KEYWORDS)).agg(F.first("value").alias("value"), F.first("confidence").alias("confidence"))
     v = lambda f: F.col(f"{f}_value")
-    day, total = N.date_day_first(v("invoice_date")), N.amount(v("total_amount"))
-    errors = validate.invoice_errors(v("vendor_name"), v("invoice_number"), day.cast("string"), total.cast("string"))
-    status, reasons = validate.route(errors, {f: F.col(f"{f}_confidence") for f in extract.KEYWORDS})
-    return wide.select("doc_id", v("vendor_name").alias("vendor_name"), v("invoice_number").alias("invoice_number"), day.cast("string").alias("invoice_date"), total.cast("double").alias("total_amount"), F.array_join(errors, "; ").alias("errors"), status.alias("status"))
+    # read once, as what follows looks at both several times
+    wide = wide.withColumns({"day": N.date_day_first(v("invoice_date")), "total": N.amount(v("total_amount"))})
+    errors = validate.invoice_errors(v("vendor_name"), v("invoice_number"), F.col("day").cast("string"), F.col("total").cast("string"))
+    wide = wide.withColumn("errors", errors)
+    status, reasons = validate.route(F.col("errors"), {f: F.col(f"{f}_confidence") for f in extract.KEYWORDS})
+    return wide.select("doc_id", v("vendor_name").alias("vendor_name"), v("invoice_number").alias("invoice_number"), F.col("day").cast("string").alias("invoice_date"), F.col("total").cast("double").alias("total_amount"), F.array_join("errors", "; ").alias("errors"), status.alias("status"))
 
 
 @query
@@ -79,7 +82,7 @@ def display_coalesce(spark, sf_dir):
 @query
 def field_detection_rates(spark, sf_dir):
     found = extract.detected(F.col("text"))
-    wide = table(spark, sf_dir, "documents").select(*[F.get(c, 0).alias(k) for k, c in found.items()])
+    wide = spread(table(spark, sf_dir, "documents")).select(*[F.get(c, 0).alias(k) for k, c in found.items()])
     return analytics.detection_rates(wide, list(found))
 
 
@@ -131,7 +134,7 @@ def seed_missing(spark, sf_dir):
 def normalize_date_round_trip(spark, sf_dir):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
     text = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "d MMMM yyyy")).when(k == 3, F.date_format(d, "MMM d, yyyy")).when(k == 4, F.concat(F.lit("Invoice Date: "), F.date_format(d, "d-MMM-yyyy"))).otherwise(F.date_format(d, "d.M.yyyy HH:mm"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.date_day_first(text).cast("string").alias("day"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", N.date_day_first(text).cast("string").alias("day"))
 
 
 @query
@@ -187,7 +190,7 @@ def score_v2(spark, sf_dir):
 def classify_documents(spark, sf_dir):
     """Rendered documents of all 13 types and the documents of the corpus, by the type that they have and the one found."""
     known = rendered_types(spark, sf_dir).select(F.col("doc_type").alias("known_type"), "text")
-    prose = table(spark, sf_dir, "documents").select(F.lit("none").alias("known_type"), "text")
+    prose = spread(table(spark, sf_dir, "documents")).select(F.lit("none").alias("known_type"), "text")
     return classify.classify(known.union(prose)).groupBy("known_type", "doc_type").agg(F.count("*").alias("n"))
 
 
@@ -218,14 +221,14 @@ def ground_passages(spark, sf_dir):
     """Lines of benchmark items in documents, as whole words: a document's blocks are its paragraphs, a quote any line."""
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     quotes = lines.select("item_id", F.col("line_no").cast("long").alias("line_no"), T.grounding_form(F.col("line")).alias("quote"))
-    return grounding.passages(quotes, table(spark, sf_dir, "documents")).groupBy("doc_id", "item_id", "line_no").agg(F.min("block_no").cast("long").alias("block_no"))
+    return grounding.passages(quotes, spread(table(spark, sf_dir, "documents"))).groupBy("doc_id", "item_id", "line_no").agg(F.min("block_no").cast("long").alias("block_no"))
 
 
 @query
 def ground_values(spark, sf_dir):
     """Each order's rendered lines as blocks; its number and customer as values, found as they are."""
     k = F.col("o_orderkey")
-    values = [("invoice_number", F.concat(F.lit("INV-2024-"), F.lpad(k.cast("string"), 8, "0")), F.lit("")), ("customer", F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.lit(""))]
+    values = [("invoice_number", F.concat(F.lit("INV-24-"), F.lpad(k.cast("string"), 8, "0")), F.lit("")), ("customer", F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.lit(""))]
     return grounding.ground(_values(spark, sf_dir, values), _blocks(spark, sf_dir), fuzzy=False).select("doc_id", "field", "block_id", "match_score", "grounded")
 
 
@@ -234,7 +237,7 @@ def ground_likeness(spark, sf_dir):
     """Values that no block holds as they are: a misread line, words in another order, and one that isn't there."""
     k = F.col("o_orderkey")
     total = F.when(k % 7 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("o_totalprice").cast("decimal(18,2)"))
-    values = [("misread", F.lit("x"), F.concat(F.lit("lnvoice number: INV-2024-"), F.lpad(k.cast("string"), 8, "0"))), ("turned", F.lit(""), F.concat(F.lit("$ "), western(total), F.lit(" Total, Grand"))), ("absent", F.lit("zebra quartz"), F.lit(""))]
+    values = [("misread", F.lit("x"), F.concat(F.lit("lnvoice number: INV-24-"), F.lpad(k.cast("string"), 8, "0"))), ("turned", F.lit(""), F.concat(F.lit("$ "), western(total), F.lit(" Total, Grand"))), ("absent", F.lit("zebra quartz"), F.lit(""))]
     return grounding.ground(_values(spark, sf_dir, values), _blocks(spark, sf_dir)).select("doc_id", "field", "block_id", "match_score", "grounded")
 
 
@@ -413,7 +416,7 @@ def rendered_types(spark, sf_dir):
     text = F.lit(None).cast("string")
     for n, parts in forms.items():
         text = F.when(F.col("doc_type") == n, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(text)
-    return table(spark, sf_dir, "orders").withColumn("doc_type", kind).select(F.col("o_orderkey").alias("doc_id"), "doc_type", text.alias("text"))
+    return spread(table(spark, sf_dir, "orders")).withColumn("doc_type", kind).select(F.col("o_orderkey").alias("doc_id"), "doc_type", text.alias("text"))
 
 
 @query

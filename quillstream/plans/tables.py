@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.sources.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,14 +33,14 @@ def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
     lines = F.array_compact(F.array(
         F.lit("TAX INVOICE"), F.when(k % 10 != 0, vendor), F.lit(""),
-        F.concat(F.lit("Invoice  Number: INV-2024-"), F.lpad(k.cast("string"), 8, "0")),
+        F.concat(F.lit("Invoice  Number: INV-24-"), F.lpad(k.cast("string"), 8, "0")),
         F.concat(F.lit("Due Date: "), F.date_format(F.date_add("o_orderdate", 30), "dd/MM/yyyy")),
         F.when(k % 3 == 0, F.lit("Invoice Date:")), F.when(k % 3 == 0, day).otherwise(F.concat(F.lit("Invoice Date: "), day)),
         F.concat(F.lit("Bill To: Customer "), F.col("o_custkey").cast("string")),
         F.concat(F.lit("Subtotal: $"), western(total - 1)),
         F.concat(F.lit("Grand Total: $"), western(total)),
     ))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
 
 
 def rendered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,6 @@ def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         word(4, "Grand Total", 93, 50, 300, 90), word(4, "Tax", 80, 200, 300, 30), word(4, F.concat(F.lit("₹"), western(total)), 70 + k % 30, 400 + k % 3 * 100, 302, 120),
         word(4, "05/06/2024", 75, 760, 299, 90),
     )
-    rows = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(words).alias("pos", "w"))
+    rows = spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.posexplode(words).alias("pos", "w"))
     numbered = F.col("doc_id") % 13 == 0
     return rows.select("doc_id", F.lit(1).alias("page"), "pos", "w.text", "w.conf", "w.x0", "w.y0", "w.x1", "w.y1", F.when(numbered, 1).alias("block"), F.when(numbered, F.col("w.line")).alias("line"))

@@ -37,3 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def sized(rows: DataFrame) -> DataFrame:
     """A written table, marked for a broadcast up to BROADCAST_ROWS rows and for a merge join beyond."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out evenly where it has fewer partitions than the cluster has cores.
+
+    For steps that cost much for each byte read, over tables of one or a few small files; a large table has partitions
+    enough and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

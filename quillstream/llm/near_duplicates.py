@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import bytehash
 from quillstream.llm.bytehash import U64
-from quillstream.llm.components import connected_components
+from quillstream.llm.components import connected_components, with_links
 from quillstream.llm.staging import drop, map_arrow, row_ids, sized, stage
 from quillstream.llm.texts import pieces
 
@@ -318,14 +318,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     links = _confirmed(close, sets)
     drop(full, pairs, close)
     labels = _components(links)
-    links = links.union(_pivot_links(members.select("band", "doc_id"), labels, classes, sets))
-    drop(labels)
-    labels = _components(links)
+    old, labels = labels, with_links(labels, _pivot_links(members.select("band", "doc_id"), labels, classes, sets))
+    drop(old)
     more = _open_links(members.select("band", "doc_id"), labels, classes, sets)
     drop(members, classes, sets)
     if more is not None and not more.isEmpty():
-        drop(labels)
-        labels = _components(links.union(more))
+        old, labels = labels, with_links(labels, more)
+        drop(old)
     by_class = groups.join(labels, F.col("class_id") == F.col("v"), "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     by_class = stage(by_class, "class-components")
     drop(groups, labels)

@@ -91,6 +91,7 @@ def delimiter(text: Column) -> Column:
 
 
 def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(MOST)  # no cell is longer than the largest file
     for frame in frames:
         for path, text, mark in zip(frame["path"], frame["text"], frame["delimiter"], strict=True):
             found, width = [], 0
@@ -123,10 +124,13 @@ def blocks(files: DataFrame) -> DataFrame:
     """path, reading_order, type, text, error_message of the ``files`` (path, content) that have a reader, by their suffix.
 
     csv, tsv and txt: a block per row, "header: value, ..."; xlsx: a block per row of each sheet; docx: paragraphs and
-    tables. Other files give no rows. Of a sheet the first ROWS rows are read.
+    tables. Other files give no rows. Of a sheet the first ROWS rows are read. A file that is too large, or that its reader
+    can't read, gives one row with a message.
     """
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kept = files.select("path", "content", suffix.alias("suffix"))
+    kept = files.select("path", "content", suffix.alias("suffix")).where("suffix in ('csv', 'tsv', 'txt', 'xlsx', 'docx')")
+    large = kept.where(F.octet_length("content") > MOST).select("path", F.lit(None).cast("int").alias("reading_order"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("File is too large").alias("error_message"))
+    kept = kept.where(F.octet_length("content") <= MOST)
     pairs = F.filter(F.arrays_zip("headers", "cells"), lambda p: p["cells"].isNotNull())
     flat = delimited_rows(kept.where("suffix in ('csv', 'tsv', 'txt')"), ROWS)
     flat = flat.select("path", "row_idx", F.array_join(F.transform(pairs, lambda p: F.concat(p["headers"], F.lit(": "), p["cells"])), ", ").alias("text"))
@@ -135,4 +139,4 @@ def blocks(files: DataFrame) -> DataFrame:
     sheets = sheets.select("path", "row_idx", F.when(F.col("sheet").isNotNull(), F.concat("sheet", F.lit(": "), F.array_join("c.value", " | "))).alias("text"), "error_message")
     row = F.lit("table_row").alias("type")
     words = office.document_blocks(kept.where("suffix = 'docx'")).select("path", "reading_order", "type", "text", "error_message")
-    return words.unionByName(flat.select("path", F.col("row_idx").alias("reading_order"), row, "text", F.lit(None).cast("string").alias("error_message"))).unionByName(sheets.select("path", F.col("row_idx").alias("reading_order"), row, "text", "error_message"))
+    return large.unionByName(words).unionByName(flat.select("path", F.col("row_idx").alias("reading_order"), row, "text", F.lit(None).cast("string").alias("error_message"))).unionByName(sheets.select("path", F.col("row_idx").alias("reading_order"), row, "text", "error_message"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: What a file may raise whose package, XML, references or compressed parts are broken.
+BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, LookupError, TypeError, ValueError, AttributeError, EOFError, NotImplementedError, RuntimeError, zlib.error)
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -69,7 +72,7 @@ def _each(files: DataFrame, read, columns: list[str], schema: str) -> DataFrame:
             for path, raw in zip(frame["path"], frame["content"], strict=True):
                 try:
                     rows = [(path, *r, None) for r in read(bytes(raw))]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as x:  # one broken file doesn't stop the others
+                except BROKEN as x:  # one broken file doesn't stop the others
                     rows = [(path, *[None] * len(columns), f"{type(x).__name__}: {x}"[:200])]
                 yield pd.DataFrame(rows, columns=["path", *columns, "error_message"])
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.windows import window_counts, window_hashes
+from quillstream.functions.windows import window_counts, window_hashes
 
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "meters", "metres", "dollars", "euros", "cents", "percent", "degrees", "km/h", "mph")

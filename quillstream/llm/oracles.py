@@ -18,25 +18,28 @@ counts as (
          len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines,
          (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
   from w left join covered c using (doc_id)),
+good as (select * from counts where n_words >= 50 and 100 * n_repeat_words <= 50 * n_words),
 ratios as (
-  select lang, source, 'symbols' as ratio, 25 as least, 1000 * n_symbols // n_words as v from counts where n_words > 0
-  union all select lang, source, 'dup_lines', 125, 1000 * n_dup_lines // n_lines from counts where n_words > 0
-  union all select lang, source, 'repeats', 100, 1000 * n_repeat_words // n_words from counts where n_words > 0
-  union all select lang, source, 'word_length', 300, 1000 * word_chars // n_words from counts where n_words > 0),
+  select lang, source, 'symbols' as ratio, 1000 * n_symbols // n_words as v from good
+  union all select lang, source, 'dup_lines', 1000 * n_dup_lines // n_lines from good
+  union all select lang, source, 'repeats', 1000 * n_repeat_words // n_words from good
+  union all select lang, source, 'word_length', 1000 * word_chars // n_words from good
+  union all select lang, source, 'words', n_words from good union all select lang, source, 'lines', n_lines from good),
 buckets as (
-  select lang, source, ratio, least, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as b from ratios),
+  select lang, source, ratio, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) as b from ratios),
 levels as (
-  select lang, source, ratio, least, count(*) as n, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.5) as q2, 0 as level from buckets group by all
-  union all select lang, null, ratio, least, count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.5), 1 from buckets group by lang, ratio, least
-  union all select null, null, ratio, least, count(*), quantile_disc(b, 0.25), quantile_disc(b, 0.5), 2 from buckets group by ratio, least),
-chosen as (
-  select f.lang, f.source, f.ratio,
-         case when f.n >= 200 then f.q1 when g.n >= 200 then g.q1 else e.q1 end as q1,
-         case when f.n >= 200 then f.q2 when g.n >= 200 then g.q2 else e.q2 end as q2, f.least
-  from levels f join levels g on g.level = 1 and f.ratio = g.ratio and f.lang is not distinct from g.lang
-  join levels e on e.level = 2 and e.ratio = f.ratio where f.level = 0),
+  select lang, source, ratio, count(*) as n, quantile_disc(b, 0.03125) as q0, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.5) as q2, 0 as level from buckets group by all
+  union all select lang, null, ratio, count(*), quantile_disc(b, 0.03125), quantile_disc(b, 0.25), quantile_disc(b, 0.5), 1 from buckets group by lang, ratio
+  union all select null, null, ratio, count(*), quantile_disc(b, 0.03125), quantile_disc(b, 0.25), quantile_disc(b, 0.5), 2 from buckets group by ratio),
+spreads as (
+  select r.*, greatest(2 * (r.q2 - r.q1), r.q2 // 128, case r.ratio when 'word_length' then floor(2 * (r.q2 - r.q1) * sqrt(s.q2 / greatest(s.q0, 1))) else (case r.ratio when 'repeats' then 6000 else 1000 end) // greatest(s.q0, 1) end)::bigint as spread
+  from levels r join levels s on s.level = r.level and s.lang is not distinct from r.lang and s.source is not distinct from r.source and s.ratio = case r.ratio when 'dup_lines' then 'lines' else 'words' end
+  where r.ratio not in ('words', 'lines')),
 fences as (
-  select lang, source, ratio, q2 - 4 * greatest(2 * (q2 - q1), least) as lo, q2 + 4 * greatest(2 * (q2 - q1), least) as hi from chosen),
+  select f.lang, f.source, f.ratio, c.q2 - 4 * c.spread as lo, c.q2 + 4 * c.spread as hi
+  from spreads f join spreads g on g.level = 1 and f.ratio = g.ratio and f.lang is not distinct from g.lang join spreads e on e.level = 2 and e.ratio = f.ratio
+  join spreads c on c.ratio = f.ratio and c.level = case when f.n >= 200 then 0 when g.n >= 200 then 1 else 2 end and (c.level = 2 or c.lang is not distinct from f.lang) and (c.level > 0 or c.source is not distinct from f.source)
+  where f.level = 0),
 judged as (
   select c.*, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
     (select coalesce(bool_and(case f.ratio when 'symbols' then 1000 * n_symbols // n_words when 'dup_lines' then 1000 * n_dup_lines // n_lines

@@ -1,12 +1,15 @@
 """Quality rules with adaptive limits: mergeable quantile sketches per language and source.
 
-Each document gets counts over its whole text. The ratios made of them go into log-linear histogram sketches (a bucket
-keeps the six highest bits of the value, so its relative error is at most 1/32). Sketches merge by adding counts, so one
-scan builds them per (lang, source) and the coarser ones (lang; everything) are sums of the finer ones. The limits of a
-ratio are its median plus or minus ``reach`` times its spread, and are joined back to the documents. The spread is twice
-the distance from the first quartile to the median: junk lies above, so up to half of a group may be junk without moving
-its limits. A ratio that is the same in a quarter of a group, like the share of repeats in clean prose, has no such
-distance; a least spread stands in there.
+Each document gets counts over its whole text. The ratios made of them, and the counts that they are taken of, go into
+log-linear histogram sketches (a bucket keeps the eight highest bits of the value, so its relative error is at most 1/128).
+Sketches merge by adding counts, so one scan builds them per (lang, source) and the coarser ones (lang; everything) are
+sums of the finer ones. Documents that fail the base rule take no part. The limits of a ratio are its median plus or minus
+``reach`` times its spread, and are joined back to the documents. The spread is twice the distance from the first
+quartile to the median: junk lies above, so up to half of a group may be junk without moving its limits. A ratio that is
+the same in a quarter of a group, like the share of repeats in clean prose, has no such distance; there the spread is the
+step that one more event makes in a short document of the group (one in SHORT is shorter). A mean
+scatters more in short documents, so its spread is scaled by the root of their shortness. All of it comes from the
+sketches, and differs between groups.
 
 Native: DataFrame functions only.
 """
@@ -16,19 +19,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions.windows import window_hashes
 from quillstream.llm.staging import stage
-from quillstream.llm.windows import window_hashes
 
 #: White space that parts words.
 SPACE = r"[\x20\x09-\x0D]+"
-#: ratio -> (numerator, denominator, least spread); ratios are whole thousandths.
+#: ratio -> (numerator, denominator, what one event adds to the numerator); ratios are whole thousandths. A repeated window is
+#: two windows of three words; a word's length is no event.
 RATIOS = {
-    "symbols": ("n_symbols", "n_words", 25),
-    "dup_lines": ("n_dup_lines", "n_lines", 125),
-    "repeats": ("n_repeat_words", "n_words", 100),
-    "word_length": ("word_chars", "n_words", 300),
+    "symbols": ("n_symbols", "n_words", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 6),
+    "word_length": ("word_chars", "n_words", 0),
 }
+#: Counts that ratios are taken of, with sketches of their own.
+SIZES = ("n_words", "n_lines")
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 REACH, MIN_DOCS = 4, 200
+#: One document in so many is shorter than a short one.
+SHORT = 32
 
 
 def text_counts(docs: DataFrame, *carry: Column) -> DataFrame:
@@ -65,9 +74,10 @@ def _ratio(name: str):
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): the histogram sketch of each ratio; merge by adding n."""
-    rows = counts.where("n_words > 0").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), _ratio(k).alias("v")) for k in RATIOS])).alias("_e")).select("lang", "source", "_e.*")
-    shift = F.greatest(F.length(F.bin("v")) - 6, F.lit(0)).cast("int")
+    """(lang, source, ratio, bucket, n): the histogram sketch of each ratio and size; merge by adding n."""
+    each = [F.struct(F.lit(k).alias("ratio"), _ratio(k).alias("v")) for k in RATIOS] + [F.struct(F.lit(k).alias("ratio"), F.col(k).alias("v")) for k in SIZES]
+    rows = counts.where(f"not ({BASE_FAILED})").select("lang", "source", F.explode(F.array(*each)).alias("_e")).select("lang", "source", "_e.*")
+    shift = F.greatest(F.length(F.bin("v")) - 8, F.lit(0)).cast("int")
     bucket = F.expr("shiftleft(shiftright(v, _k), _k)")
     return rows.withColumn("_k", shift).withColumn("bucket", bucket).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
 
@@ -82,13 +92,18 @@ def limits(sketch: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> D
         merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
         whole = "partition by " + ", ".join([*keys, "ratio"])
         merged = merged.selectExpr("*", f"sum(n) over ({whole}) as total", f"sum(n) over ({whole} order by bucket) as upto")
-        at = lambda part: F.min(F.when(F.expr(f"upto * 4 >= total * {part}"), F.col("bucket")))
-        quart = merged.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), at(1).alias("q1"), at(2).alias("q2"))
-        least = F.create_map(*[F.lit(x) for k, (_, _, s) in RATIOS.items() for x in (k, s)])
-        spread = F.greatest(2 * (F.col("q2") - F.col("q1")), least[F.col("ratio")])
-        wide = quart.withColumn("lo", F.col("q2") - reach * spread).withColumn("hi", F.col("q2") + reach * spread)
-        wide = wide.groupBy(*keys).agg(F.max("total").alias(f"n{level}"), F.struct(*[F.max(F.when(F.col("ratio") == k, F.col(e))).alias(f"{e}_{k}") for k in RATIOS for e in ("lo", "hi")]).alias(f"f{level}"))
-        levels.append(wide)
+        at = lambda parts: F.min(F.when(F.expr(f"upto * {parts} >= total"), F.col("bucket")))
+        quart = merged.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), at(SHORT).alias("q0"), at(4).alias("q1"), at(2).alias("q2"))
+        of = lambda name, q: F.max(F.when(F.col("ratio") == name, F.col(q)))
+        wide = quart.groupBy(*keys).agg(F.max("total").alias(f"n{level}"), *[of(k, q).alias(f"{q}_{k}") for k in (*RATIOS, *SIZES) for q in ("q0", "q1", "q2")])
+        parts = []
+        for k, (_, below, event) in RATIOS.items():
+            q1, q2, s2, short = F.col(f"q1_{k}"), F.col(f"q2_{k}"), F.col(f"q2_{below}"), F.greatest(F.col(f"q0_{below}"), F.lit(1))
+            # one event in a short document; for a mean, its scatter there; and no finer than a bucket
+            step = F.floor(F.lit(1000 * event) / short) if event else F.floor(2 * (q2 - q1) * F.sqrt(s2 / short))
+            spread = F.greatest(2 * (q2 - q1), step, F.floor(q2 / 128)).cast("long")
+            parts += [(q2 - reach * spread).alias(f"lo_{k}"), (q2 + reach * spread).alias(f"hi_{k}")]
+        levels.append(wide.select(*keys, f"n{level}", F.struct(*parts).alias(f"f{level}")))
     fine, by_lang, every = levels
     out = fine.alias("a").join(by_lang.alias("b"), F.expr("a.lang <=> b.lang"), "left").select("a.*", "n1", "f1").join(every, F.lit(True), "left")
     pick = F.when(F.col("n0") >= min_docs, F.col("f0")).when(F.col("n1") >= min_docs, F.col("f1")).otherwise(F.col("f2"))
@@ -110,7 +125,7 @@ def quality_rules(docs: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS)
 def _judged(counts: DataFrame, fences: DataFrame) -> DataFrame:
     """Adds base_failed and kept, joined by language and source."""
     fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    base = F.expr(BASE_FAILED)
     inside = F.lit(True)
     for k in RATIOS:
         inside = inside & F.coalesce(_ratio(k).between(F.col(f"lo_{k}"), F.col(f"hi_{k}")), F.lit(True))

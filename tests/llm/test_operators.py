@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import io
+import random
 import re
 import time
 import zipfile
@@ -18,7 +19,7 @@ from quillstream.llm import html_text, near_duplicates, pii, queries, secrets, s
 from quillstream.llm.components import connected_components
 from quillstream.llm.decontamination import contaminated
 from quillstream.llm.oracles import ORACLES
-from quillstream.llm.quality_rules import quality_filter, quality_rules
+from quillstream.llm.quality_rules import RATIOS, limits, quality_filter, quality_rules, sketches, text_counts
 
 DATA = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -77,6 +78,28 @@ def test_quality_of_a_source_with_much_junk(spark):
     assert all(got[i] == (i >= 130) for i in got)
 
 
+def test_quality_limits_come_from_the_sketches(spark):
+    """Sources of longer and shorter texts get other limits; a rare ratio is no reason for a limit of 0; 30 % junk moves none."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join(rnd.choice(["ab", "abcd", "abcdef", "abcdefgh"]) + str(rnd.randint(0, 999)) for _ in range(n))
+    rows = [(i, text(rnd.randint(60, 90)), "en", "short") for i in range(250)] + [(1000 + i, text(rnd.randint(400, 600)), "en", "long") for i in range(250)]
+    junk = {i for i in range(0, 250, 3)}
+    rows = [(i, t.replace(" ", " ## ") if i in junk else t + " # &" if i % 50 == 1 else t, lang, s) for i, t, lang, s in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules(df).collect()}
+    assert {i for i, kept in got.items() if not kept} == junk
+    by = {r.source: r for r in limits(sketches(text_counts(df))).collect()}
+    assert all(by["short"][c] != by["long"][c] for c in ("hi_symbols", "hi_repeats", "lo_word_length", "hi_word_length"))
+    clean = {r.source: r for r in limits(sketches(text_counts(df.where(~F.col("doc_id").isin(*junk))))).collect()}
+    assert abs(clean["short"].hi_symbols - by["short"].hi_symbols) <= 0.1 * by["short"].hi_symbols
+
+
+def test_quality_limits_of_the_given_table_differ(spark):
+    found = limits(sketches(text_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))), min_docs=20)
+    counts = found.agg(*[F.count_distinct(f"hi_{k}").alias(k) for k in RATIOS]).first()
+    assert all(counts[k] > 1 for k in RATIOS)
+
+
 def brute_near(rows, size=4):
     sets = {}
     for i, t in rows:

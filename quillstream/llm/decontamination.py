@@ -5,14 +5,20 @@ A text becomes template words: lower case without punctuation, where numbers, un
 are joined by hash with the windows of the benchmark items. The matched windows of a document and an item that lie on
 one alignment must fill the slots consistently: a name of the item always stands for the same name of the document.
 Numbers and units are slots by their place, as equal ones ("3 apples and 3 pears") needn't stay equal. So a question with
-other numbers or names is still found, and a chance match of loose placeholders is not: windows of fewer than three plain words are loose, and match only where their placeholders' values are equal too. Items
-of fewer than five template words are one window of their whole length.
+other numbers or names is still found, and a chance match of loose placeholders is not: windows of fewer than three plain
+words are loose, and match only where their placeholders' values are equal too. Where five words are loose, wider windows
+take their place, whatever the values: from a plain word to the second one after it, and from a plain word to the end of the
+placeholders that follow it, if they are four at least ("compute 12 + 30 * 7 - 4"). Such dense windows count only together
+with others of the same alignment, so that an item can't be put together from pieces. Items of fewer than five template
+words are one window of their whole length, with equal values.
 
 Native: DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +61,28 @@ def _window_keys(df: DataFrame, words: str, size: int, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(f"transform({both}, (e, i) -> if(e.n < {LEAST_WORDS}, {loose}, e.t))")).drop("_t", "_n")
 
 
+def _dense_windows(df: DataFrame, words: str, out: str, runs: list[int] | None = None) -> DataFrame:
+    """Adds ``out``: (pos, len, h) of the windows that take the place of loose ones; most texts have none.
+
+    A window of placeholders behind a plain word ends with them; with ``runs`` it has each of these lengths that they reach, as a
+    text may go on with another number.
+    """
+    k = words + "_k"
+    plain = f"if(size(filter({k}, x -> ascii(x) < 4)) < 3, cast(array() as array<int>), filter(transform({k}, (x, i) -> if(ascii(x) > 3, i, -1)), i -> i >= 0))"
+    df = df.withColumn("_p", F.expr(plain))
+    df = df.withColumn("_p", F.expr(f"transform(_p, (p, j) -> struct(p as pos, coalesce(get(_p, j + 2), -1) - p + 1 as three, coalesce(get(_p, j + 1), size({k})) - p as run))"))
+    spans = f"transform(filter(_p, p -> p.three > {WINDOW}), p -> struct(p.pos as pos, p.three as len))"
+    if runs is None:
+        spans = f"concat({spans}, transform(filter(_p, p -> p.run >= {WINDOW}), p -> struct(p.pos as pos, p.run as len)))"
+    elif runs:
+        spans = f"concat({spans}, flatten(transform(filter(_p, p -> p.run >= {WINDOW}), p -> transform(filter(array({', '.join(map(str, runs))}), n -> n <= p.run), n -> struct(p.pos as pos, n as len)))))"
+    return df.withColumn(out, F.expr(f"transform({spans}, w -> struct(w.pos as pos, w.len as len, xxhash64('dense', slice({k}, w.pos + 1, w.len)) as h))")).drop("_p")
+
+
+#: Words of an item that the windows ``at`` (ipos, wlen, dense) cover.
+_COVER = "size(array_distinct(flatten(transform({at}, x -> sequence(x.ipos, x.ipos + x.wlen - 1)))))"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEAST_COVER) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
@@ -65,33 +93,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     """
     words = template_words(benchmark.select("item_id", "text"), "text", "_iw").withColumn("item_words", F.size("_iw"))
     short = sorted(r.item_words for r in words.where(f"item_words between 1 and {WINDOW - 1}").select("item_words").distinct().collect())
-    items = None
+    each = []
     for size in (WINDOW, *short):
         part = _window_keys(words.where(f"item_words {'>=' if size == WINDOW else '='} {size}"), "_iw", size, "_h")
-        part = part.select("item_id", "item_words", "_iw", F.posexplode("_h").alias("ipos", "_ih"))
-        part = part.select("item_id", "item_words", "ipos", "_ih", F.expr(f"slice(_iw, ipos + 1, {WINDOW})").alias("_is"))
-        items = part if items is None else items.union(part)
+        each.append(part.select("item_id", "item_words", "_iw", F.posexplode("_h").alias("ipos", "_ih"), F.lit(size).alias("wlen"), F.lit(False).alias("dense")))
+    dense = _dense_windows(words.where(f"item_words >= {WINDOW}"), "_iw", "_w").select("item_id", "item_words", "_iw", F.explode("_w").alias("w"))
+    each.append(dense.select("item_id", "item_words", "_iw", F.col("w.pos").alias("ipos"), F.col("w.h").alias("_ih"), F.col("w.len").alias("wlen"), F.lit(True).alias("dense")))
+    items = functools.reduce(DataFrame.unionByName, each).select("item_id", "item_words", "ipos", "_ih", "wlen", "dense", F.expr("slice(_iw, ipos + 1, wlen)").alias("_is"))
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     found = _window_keys(template_words(docs.select("doc_id", "text", F.xxhash64("text").alias("_row")), "text", "_dw"), "_dw", WINDOW, "_h")
-    if short:
-        for size in short:
-            found = _window_keys(found, "_dw", size, f"_h{size}of")
-        at = [f"transform({h}, (h, i) -> struct(i as dpos, h as _dh))" for h in ("_h", *(f"_h{size}of" for size in short))]
-        found = found.select("doc_id", "_row", "_dw", F.expr(f"inline_outer(concat({', '.join(at)}))")).where("_dh is not null")
-    else:
-        found = found.select("doc_id", "_row", "_dw", F.posexplode_outer("_h").alias("dpos", "_dh")).where("_dh is not null")
+    runs = sorted(r.wlen for r in items.where("dense and size(filter(slice(_is, 2, wlen), t -> ascii(t) > 3)) = 0").select("wlen").distinct().collect())  # no more than an item has words
+    found = _dense_windows(found, "_dw", "_dense", runs)
+    for size in short:
+        found = _window_keys(found, "_dw", size, f"_h{size}of")
+    at = [f"transform({h}, (h, i) -> struct(i as dpos, h as _dh, {size} as dlen))" for h, size in (("_h", WINDOW), *((f"_h{n}of", n) for n in short))]
+    at.append("transform(_dense, w -> struct(w.pos as dpos, w.h as _dh, w.len as dlen))")
+    found = found.select("doc_id", "_row", "_dw", F.expr(f"inline_outer(concat({', '.join(at)}))")).where("_dh is not null")
     if not small:
-        found = found.select("doc_id", "_row", F.expr(f"slice(_dw, dpos + 1, {WINDOW})").alias("_ds"), "dpos", "_dh")
+        found = found.select("doc_id", "_row", F.expr("slice(_dw, dpos + 1, dlen)").alias("_ds"), "dpos", "_dh")
     else:
         items = F.broadcast(items)
-    slots = f"slice(_dw, dpos + 1, {WINDOW})" if small else "_ds"
+    slots = "slice(_dw, dpos + 1, dlen)" if small else "_ds"
     # a loose window's values are equal already, and take no part in the slots' consistency
-    pairs = f"filter(zip_with(_is, slice({slots}, 1, size(_is)), (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS}) as pairs"
-    hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "_row", "item_id", "item_words", "ipos", "dpos - ipos as diagonal", pairs)
-    aligned = hits.groupBy("doc_id", "_row", "item_id", "item_words", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    pairs = f"filter(zip_with(_is, {slots}, (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and (dense or size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS})) as pairs"
+    hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "_row", "item_id", "item_words", "struct(ipos, wlen, dense) as w", "dpos - ipos as diagonal", pairs)
+    aligned = hits.groupBy("doc_id", "_row", "item_id", "item_words", "diagonal").agg(F.collect_set("w").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     steady = aligned.where("size(array_distinct(transform(filter(pairs, p -> ascii(p.i) = 2), p -> p.i))) = size(filter(pairs, p -> ascii(p.i) = 2))")
-    whole = steady.groupBy("doc_id", "_row", "item_id", "item_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    covered = F.expr(f"aggregate(transform(at, (v, k) -> least({WINDOW}, item_words, coalesce(get(at, k + 1) - v, {WINDOW}))), 0L, (a, x) -> a + x)")
+    steady = steady.withColumn("near", F.expr(_COVER.format(at="at")))
+    whole = steady.groupBy("doc_id", "_row", "item_id", "item_words").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max("near").alias("near"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    covered = F.greatest("near", F.expr(_COVER.format(at="filter(at, x -> not x.dense)"))).cast("long")
     out = whole.select("doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), covered.alias("words_covered"), F.col("item_words").cast("long").alias("item_words"), F.expr("cast(size(filter(pairs, p -> p.i <> p.d)) as bigint)").alias("n_changed_slots"))
     out = out.where(F.col("words_covered") >= least_cover * F.col("item_words"))
     best = out.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("words_covered", "n_windows", (-F.col("n_changed_slots")).alias("same"))).alias("_b"))

@@ -20,13 +20,14 @@ from quillstream.llm.sharding import sharded
 from quillstream.llm.simhash import simhash_duplicates
 from quillstream.llm.suffix_dedup import remove_repeats
 from quillstream.llm.warc_zip import archived
+from quillstream.sources.shared import spread
 
 #: The tokenizer file of op2 and of the pipeline's last stage.
 TOKENIZER = os.environ.get("QUILLSTREAM_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -598,5 +598,28 @@ def test_decontamination_of_loose_and_short_items(spark):
     docs = {i: "Before it. " + t + " After it." for i, t in items.items()} | {101: "Compute 13 + 30 * 7 - 4", 102: "Solve 3x + 5 = 21", 103: "中文句子没有空格吗", 104: "Capital in Peru?", 105: "Solve 9", 106: "1 2 3 4 5 6 7 8 9", 107: "", 108: None}
     frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
-    assert sorted(got) == [(i, i) for i in (1, 2, 3, 4, 5, 6, 9)]
-    assert all(r.words_covered == r.item_words and r.n_changed_slots == 0 for r in got.values()) and got[4, 4].item_words == 3
+    assert sorted(got) == [(i, i) for i in (1, 2, 3, 4, 5, 6, 9)] + [(101, 1)]
+    assert all(r.words_covered == r.item_words and r.n_changed_slots == (d == 101) for (d, _), r in got.items()) and got[4, 4].item_words == 3
+
+
+def test_decontamination_finds_dense_items_with_other_numbers(spark):
+    """Items made mostly of numbers and names, re-numbered: found whole; their pieces in another order, and texts that only share
+    their numbers, aren't."""
+    items = {1: "Compute 12 + 30 * 7 - 4", 2: "Solve 12 + 7 x 3 - 4 = 9 and then 15 + 6 x 2 for Maria and Paul now", 3: "Take 3 4 5 6 7 from 9 8 7 6 5 and add 1 2 3 4", 4: "Order Anna, Ben, Carl, Dora and Emil by 12 13 14 15 points"}
+    change = lambda t: re.sub(r"\d+", lambda m: str(int(m[0]) * 7 + 1), t)
+    docs = {i: "It says so. " + change(t) + " That is all." for i, t in items.items()}
+    docs |= {11: "compute it with 1 2 3 4 of them", 12: "and add 5 6 7 8 or from 1 1 1 1 1 or take 2 2 2 2 2 here", 13: "1 2 3 4 5 6 7 8 9", 15: change(items[2]).replace("Maria", "Olga").replace("Paul", "Nina")}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (15, 2)}
+
+
+def test_decontamination_recall_of_renumbered_benchmark(spark):
+    """Every item of the given table with other numbers in a text of its own: nearly all are found, in their own text only."""
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text")
+    change = lambda t: re.sub(r"\d+", lambda m: str(int(m[0]) * 3 + 2), t)
+    rows = [(r.item_id, "Once there was this. " + change(r.text) + " So it goes.") for r in bench.collect() if r.text]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert len({d for d, i in got if d == i}) >= 0.9 * len(rows)
+    same = {i: re.sub(r"\d+", "#", t) for i, t in rows}
+    assert not {(d, i) for d, i in got if d != i and same[d] != same[i]}

@@ -39,7 +39,7 @@ fences as (
   select f.lang, f.source, f.ratio, c.q2 - 4 * c.spread as lo, c.q2 + 4 * c.spread as hi
   from spreads f join spreads g on g.level = 1 and f.ratio = g.ratio and f.lang is not distinct from g.lang join spreads e on e.level = 2 and e.ratio = f.ratio
   join spreads c on c.ratio = f.ratio and c.level = case when f.n >= 200 then 0 when g.n >= 200 then 1 else 2 end and (c.level = 2 or c.lang is not distinct from f.lang) and (c.level > 0 or c.source is not distinct from f.source)
-  where f.level = 0),
+  where f.level = 0 and e.n >= 200),
 judged as (
   select c.*, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
     (select coalesce(bool_and(case f.ratio when 'symbols' then 1000 * n_symbols // n_words when 'dup_lines' then 1000 * n_dup_lines // n_lines

@@ -85,7 +85,8 @@ def sketches(counts: DataFrame) -> DataFrame:
 def limits(sketch: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per (lang, source) with lo_<ratio> and hi_<ratio>.
 
-    A group of fewer than ``min_docs`` documents takes the limits of its language, and if that is small too, of all.
+    A group of fewer than ``min_docs`` documents takes the limits of its language, and if that is small too, of all. Where all
+    are fewer, nothing can be told of them: limits are null, and only the base rule holds.
     """
     levels = []
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
@@ -106,7 +107,7 @@ def limits(sketch: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> D
         levels.append(wide.select(*keys, f"n{level}", F.struct(*parts).alias(f"f{level}")))
     fine, by_lang, every = levels
     out = fine.alias("a").join(by_lang.alias("b"), F.expr("a.lang <=> b.lang"), "left").select("a.*", "n1", "f1").join(every, F.lit(True), "left")
-    pick = F.when(F.col("n0") >= min_docs, F.col("f0")).when(F.col("n1") >= min_docs, F.col("f1")).otherwise(F.col("f2"))
+    pick = F.when(F.col("n0") >= min_docs, F.col("f0")).when(F.col("n1") >= min_docs, F.col("f1")).when(F.col("n2") >= min_docs, F.col("f2"))
     return out.select("lang", "source", pick.alias("_f")).select("lang", "source", "_f.*")
 
 

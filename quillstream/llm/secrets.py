@@ -25,7 +25,7 @@ BASE = {
 }
 MORE = {
     "vendor": (re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{30,})"), 0, 20),
-    "jwt": (re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 28),
+    "jwt": (re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), 0, 28),  # its second and third part, see _tokens
     "pem": (re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----"), 0, 60),
     "login": (re.compile(r"://[A-Za-z0-9._-]+:([A-Za-z0-9._~!$*+=-]+)@"), 1, 6),
 }
@@ -39,10 +39,40 @@ SALT = 32
 SPANS = "array<struct<k: int, s: int, e: int, value: string>>"
 
 
+_NO_PART = re.compile(r"[^A-Za-z0-9_-]")
+_FIRST = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8}")
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of web tokens, ``eyJ….eyJ….…`` with eight characters or more in each part, leftmost first.
+
+    Parts hold no dots, so the last two are looked for, and then the first part's leftmost start in the run of characters
+    before them. Each character is looked at a few times at most, whatever the text.
+    """
+    second, done = MORE["jwt"][0], 0
+    m = second.search(text)
+    before = 0  # no run of characters goes on before here
+    while m:
+        dot = m.start()
+        for stop in _NO_PART.finditer(text, max(before, done), dot):
+            before = stop.end()
+        at = max(before, done)
+        first = _FIRST.search(text, at, dot)
+        # a run that begins where the last token ended goes on, and has no start there
+        if first:
+            yield first.start(), m.end()
+            done = m.end()
+        before = max(before, dot + 1)
+        m = second.search(text, max(dot + 1, done))
+
+
 def find(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, SHA-256 of the value) of the spans of a text."""
     out = []
-    for k, (pattern, group, least) in enumerate((BASE | MORE).values()):
+    for k, (kind, (pattern, group, least)) in enumerate((BASE | MORE).items()):
+        if kind == "jwt":
+            out += [(k, a, b, hashlib.sha256(text[a:b].encode("utf-8", "replace")).hexdigest()) for a, b in _tokens(text) if b - a >= least]
+            continue
         out += [(k, m.start(), m.end(), hashlib.sha256(m[group].encode("utf-8", "replace")).hexdigest()) for m in pattern.finditer(text) if len(m[group]) >= least]
     return out
 

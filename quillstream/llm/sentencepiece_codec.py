@@ -30,6 +30,8 @@ WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONG = 48
 #: Words kept by a worker, and characters of text worked on at once.
 KEPT, CHUNK = 800_000, 1 << 22
+#: Characters of a long word whose pieces are looked up at once.
+STRETCH = 1 << 16
 NEVER = np.iinfo(np.int64).max
 
 
@@ -175,7 +177,7 @@ def viterbi(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _back(last: np.ndarray, start: np.ndarray, out: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
     """Follow the back-pointers of all rows together."""
-    rows, n = len(last), len(v.pieces)
+    rows = len(last)
     at, k = np.full(rows, last.shape[1] - 1), 0
     while (live := np.flatnonzero(at > 0)).size:
         out[live, k] = last[live, at[live]]
@@ -183,18 +185,112 @@ def _back(last: np.ndarray, start: np.ndarray, out: np.ndarray, v: Vocabulary) -
         k += 1
     result = []
     for r, m in zip(out, (out >= 0).sum(1), strict=True):
-        ids = r[:m][::-1]
-        if (ids >= n).any():
-            ids = np.array([y for x in ids.tolist() for y in ([x] if x < n else v.bytes_[list(chr(x - n).encode("utf-8", "replace"))].tolist())], np.int64)
-        result.append(ids.astype(np.int32))
+        result.append(_with_bytes(r[:m][::-1], v).astype(np.int32))
     return result
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """ids of each word; equal-length words advance together."""
+def _with_bytes(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Characters outside the vocabulary as the ids of their bytes."""
+    n = len(v.pieces)
+    if (ids >= n).any():
+        return np.array([y for x in ids.tolist() for y in ([x] if x < n else v.bytes_[list(chr(x - n).encode("utf-8", "replace"))].tolist())], np.int64)
+    return ids
+
+
+def _spans(v: Vocabulary, pre: np.ndarray, first: int, past: int) -> tuple[list[int], list[int], list[int]]:
+    """Pieces that end at a place from ``first`` to before ``past`` of one word with the prefix hashes ``pre``: how many end at each
+    place, and their starts and ids, the longest first. One probe of the keys for each length of a piece."""
+    inverse = powers(len(pre))[1]
+    ends, starts, ids = [], [], []
+    for d in range(min(v.longest, past - 1), 0, -1):
+        j = np.arange(max(first, d), past)
+        h = (pre[j] - pre[j - d]) * inverse[j - d]
+        at = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
+        hit = (v.keys[at] == h) & (v.lengths[v.ids[at]] == d)
+        ends.append(j[hit])
+        starts.append(j[hit] - d)
+        ids.append(v.ids[at[hit]])
+    e = np.concatenate(ends)
+    order = np.argsort(e, kind="stable")
+    return np.bincount(e - first, minlength=past - first).tolist(), np.concatenate(starts)[order].tolist(), np.concatenate(ids)[order].tolist()
+
+
+class _Scalar:
+    """The tests of ``viterbi`` for one pair of pieces at a time."""
+
+    def __init__(self, v: Vocabulary):
+        self.n = len(v.pieces)
+        if v.bpe:
+            self.time = dict(zip(v.pairs.tolist(), v.rank[v.merged].tolist(), strict=True))
+            self.rank, self.left, self.right = v.rank.tolist(), v.left.tolist(), v.right.tolist()
+            self.known: dict[int, bool] = {}
+
+    def compatible(self, a: int, b: int) -> bool:
+        """As ``_compatible``; pairs are kept, as a long word has few different ones."""
+        n = self.n
+        if a >= n or b >= n:
+            return True
+        key = a * n + b
+        good = self.known.get(key)
+        if good is None:
+            good, ends_a, ends_b = True, NEVER, NEVER
+            while a >= 0 and b >= 0:
+                time = self.time.get(a * n + b, NEVER)
+                if time < ends_a and time <= ends_b and time < NEVER:
+                    good = False
+                    break
+                if self.rank[b] >= self.rank[a]:
+                    ends_b, b = self.rank[b], self.left[b]
+                else:
+                    ends_a, a = self.rank[a], self.right[a]
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            self.known[key] = good
+        return good
+
+
+def long_word(v: Vocabulary, codes: np.ndarray, scalar: _Scalar) -> np.ndarray:
+    """ids of one long word: the pieces of each stretch of it are looked up at once, and one walk over its characters follows."""
+    length, n = len(codes), len(v.pieces)
+    pre = _hash(codes[None])[0]
+    last, start = [-1] * (length + 1), [0] * (length + 1)
+    total = [0.0] + [-np.inf] * length
+    scores, floor = v.scores.tolist(), float(v.scores[v.normal].min() - 10)
+    for first in range(1, length + 1, STRETCH):
+        past = min(first + STRETCH, length + 1)
+        counts, starts, ids = _spans(v, pre, first, past)
+        own, k = codes[first - 1 : past - 1].tolist(), 0
+        for j, count in zip(range(first, past), counts, strict=True):
+            found = list(zip(starts[k : k + count], ids[k : k + count], strict=True))
+            k += count
+            if not found or found[-1][0] != j - 1:
+                found.append((j - 1, n + own[j - first]))  # a character outside the vocabulary
+            if v.bpe:
+                for i, piece in found:
+                    if not i or scalar.compatible(last[i], piece):
+                        last[j], start[j] = piece, i
+                        break
+            else:
+                for i, piece in found:
+                    value = total[i] + (scores[piece] if piece < n else floor)
+                    if value > total[j]:
+                        total[j], last[j], start[j] = value, piece, i
+    out, j = [], length
+    while j > 0:
+        out.append(last[j])
+        j = start[j]
+    ids_ = np.array(out[::-1], np.int64)
+    return _with_bytes(ids_, v).astype(np.int32)
+
+
+def encode_words(v: Vocabulary, words: list[str], scalar: _Scalar | None = None) -> list[np.ndarray]:
+    """ids of each word; equal-length words advance together, words over LONG one at a time."""
     out: list = [None] * len(words)
-    lengths = np.array([len(w) for w in words])
-    for length in np.unique(lengths):
+    lengths = np.array([len(w) for w in words], np.int64)
+    for k in np.flatnonzero(lengths > LONG):
+        scalar = scalar or _Scalar(v)
+        out[k] = long_word(v, np.frombuffer(words[k].encode("utf-32-le", "surrogatepass"), np.uint32), scalar)
+    for length in np.unique(lengths[lengths <= LONG]):
         group = np.flatnonzero(lengths == length)
         for part in np.array_split(group, max(1, len(group) * int(length) // 200_000)):
             codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
@@ -208,7 +304,7 @@ class Codec:
     """Encodes and decodes texts; keeps the ids of words that it has seen, up to KEPT of them."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.kept = v, {}
+        self.v, self.kept, self.scalar = v, {}, _Scalar(v)
         byte = {int(i): bytes([b]) for b, i in enumerate(v.bytes_) if i != v.unk}
         self.text = [byte.get(i, b"" if not v.normal[i] else p.replace(SPACE, " ").encode()) for i, p in enumerate(v.pieces)]
 
@@ -218,7 +314,7 @@ class Codec:
         if len(self.kept) + len(new) > KEPT:
             self.kept = {}
             new = list({w for ws in split for w in ws})
-        for w, ids in zip(new, encode_words(self.v, new), strict=True):
+        for w, ids in zip(new, encode_words(self.v, new, self.scalar), strict=True):
             self.kept[w] = ids.tobytes()
         kept = self.kept
         return [np.frombuffer(b"".join([kept[w] for w in ws]), np.int32) for ws in split]

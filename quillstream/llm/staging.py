@@ -82,32 +82,33 @@ def row_ids(docs: DataFrame) -> tuple[DataFrame, str, DataFrame | None]:
     """``docs`` with a column that tells its rows apart, that column's name, and the rows whose value isn't their doc_id.
 
     The value is the doc_id where one row has it. Rows with a null doc_id, and all but one of those that repeat one, get
-    values greater than all ids, without gaps, so that they fit whatever room the ids leave. The third result has (row,
-    doc_id) of these rows and is None where there are none. Such rows are written, so that their values hold.
+    values greater than all ids, without gaps, so that they fit whatever room the ids leave; where there is no room above
+    the greatest id, smaller than all. The third result has (row, doc_id) of these rows and is None where there are none.
+    Such rows are written, so that their values hold. Columns of any name come through.
     """
-    row = free_name(docs.columns, "_row")
+    row, n, again_, first_, part, before = (free_name(docs.columns, c) for c in ("_row", "_n", "_again", "_first", "_p", "_before"))
     plain = docs.withColumn(row, F.col("doc_id").cast("long"))
-    known = docs.agg(F.max("doc_id").cast("long").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    known = docs.agg(F.max("doc_id").cast("long").alias("top"), F.min("doc_id").cast("long").alias("bottom"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(again_)), "repeated-ids")
     repeats = not again.isEmpty()
     if not known.nulls and not repeats:
         drop(again)
         return plain, row, None
-    top = 0 if known.top is None else known.top
     odd = docs.where("doc_id is null")
     if repeats:
-        odd = odd.unionByName(docs.join(again, F.col("doc_id") == F.col("_again"), "left_semi"))
-        plain = plain.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    n = free_name(docs.columns, "_n")
+        odd = odd.unionByName(docs.join(again, F.col("doc_id") == F.col(again_), "left_semi"))
+        plain = plain.join(again, F.col("doc_id") == F.col(again_), "left_anti")
     odd = stage(odd.withColumn(n, F.monotonically_increasing_id()), "odd-rows")
     # the number's high bits are the partition's, the low 33 the row's in it
-    parts = odd.groupBy(F.shiftright(n, 33).alias("_p")).agg(F.count("*").alias("_size"))
-    parts = stage(parts.selectExpr("_p", "sum(_size) over (order by _p) - _size as _before"), "odd-parts")
-    first = stage(odd.where("doc_id is not null").groupBy("doc_id").agg(F.min(n).alias("_first")).select("_first"), "first-rows")
-    fresh = F.lit(top) + 1 + F.col("_before") + F.col(n).bitwiseAND((1 << 33) - 1)
-    odd = odd.join(F.broadcast(parts), F.shiftright(n, 33) == F.col("_p")).join(first, F.col(n) == F.col("_first"), "left")
-    odd = odd.withColumn(row, F.when(F.col("_first").isNull(), fresh).otherwise(F.col("doc_id").cast("long")))
-    names = stage(odd.where("_first is null").select(F.col(row).alias("row"), "doc_id"), "odd-names")
+    parts = odd.groupBy(F.shiftright(n, 33).alias(part)).agg(F.count("*").alias("_size"))
+    parts = stage(parts.selectExpr(f"`{part}`", f"sum(_size) over (order by `{part}`) - _size as `{before}`"), "odd-parts")
+    first = stage(odd.where("doc_id is not null").groupBy("doc_id").agg(F.min(n).alias(first_)).select(first_), "first-rows")
+    place = F.col(before) + F.col(n).bitwiseAND((1 << 33) - 1)
+    top, bottom = (0, 0) if known.top is None else (known.top, known.bottom)
+    fresh = F.lit(top) + 1 + place if top + odd.count() < 2**63 else F.lit(bottom) - 1 - place
+    odd = odd.join(F.broadcast(parts), F.shiftright(n, 33) == F.col(part)).join(first, F.col(n) == F.col(first_), "left")
+    odd = odd.withColumn(row, F.when(F.col(first_).isNull(), fresh).otherwise(F.col("doc_id").cast("long")))
+    names = stage(odd.where(F.col(first_).isNull()).select(F.col(row).alias("row"), "doc_id"), "odd-names")
     return plain.where("doc_id is not null").unionByName(odd.select(*docs.columns, row)), row, names
 
 

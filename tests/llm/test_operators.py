@@ -623,3 +623,40 @@ def test_decontamination_recall_of_renumbered_benchmark(spark):
     assert len({d for d, i in got if d == i}) >= 0.9 * len(rows)
     same = {i: re.sub(r"\d+", "#", t) for i, t in rows}
     assert not {(d, i) for d, i in got if d != i and same[d] != same[i]}
+
+
+def test_hostile_texts_take_seconds(spark):
+    """A megabyte of each pattern's worst case, and of text without blanks."""
+    worst = ["-eyJ" * 250_000, "eyJaaaaaaaa." * 90_000, ".eyJaaaaaaaa" * 90_000, "token " * 170_000, "token" + " " * 10**6, "-----BEGIN PRIVATE KEY-----" * 40_000, "://a" * 250_000, "://a:" + "b" * 10**6, "sk-" * 330_000, "xoxb-" * 200_000, "AKIA" * 250_000]
+    began = time.time()
+    for t in worst:
+        secrets.find(t)
+    assert time.time() - began < 15
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load(queries.TOKENIZER, True))
+    began = time.time()
+    with np.errstate(over="ignore"):
+        for t in ("中文句子没有空格" * 41_000, "x" * 10**6):
+            ids = codec.encode([t])[0]
+            assert codec.decode(ids.tolist()) == t
+    assert time.time() - began < 60
+
+
+def test_web_tokens_are_those_of_the_plain_pattern():
+    plain = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rnd, some = random.Random(1), 0
+    for _ in range(20_000):
+        t = "".join(rnd.choice(["eyJ", "eyJ", "a", "-", ".", ".eyJ", "b" * 8, "c" * 9, " ", "_", "eyJdddddddd"]) for _ in range(rnd.randint(1, 16)))
+        want = [(m.start(), m.end()) for m in plain.finditer(t)]
+        some += bool(want)
+        assert list(secrets._tokens(t)) == want
+    assert some > 100
+
+
+def test_long_words_are_those_of_the_library():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
+    codec, rnd = sentencepiece_codec.Codec(sentencepiece_codec.load(queries.TOKENIZER, True)), random.Random(2)
+    with np.errstate(over="ignore"):
+        for t in ("abcabcthequickbrown" * 200, "中文句子没有空格" * 300, "".join(rnd.choice("aeioutnrshé中") for _ in range(5000)), "x" * 3000, "http://" + "a/b?c=d&" * 500):
+            assert codec.encode([t])[0].tolist() == sp.encode(t)

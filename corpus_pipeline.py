@@ -21,7 +21,7 @@ from quillstream.llm.quality_rules import quality_filter
 from quillstream.llm.queries import TOKENIZER
 from quillstream.llm.secrets import redact_live
 from quillstream.llm.sentencepiece_codec import tokens
-from quillstream.llm.staging import drop, row_ids, sized, stage
+from quillstream.llm.staging import drop, free_name, row_ids, sized, stage
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -31,18 +31,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
+def _without(named: DataFrame, row: str, found: DataFrame, name: str) -> DataFrame:
+    """``named`` without the rows whose ``row`` is a doc_id of ``found``."""
+    gone = free_name(named.columns, "_gone")
+    ids = stage(found.select(F.col("doc_id").alias(gone)).distinct(), name)
+    return named.join(sized(ids), F.col(row) == F.col(gone), "left_anti")
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, row, _ = row_ids(docs)
     found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), SHINGLE)
-    copies = stage(found.where("not kept").select(F.col("doc_id").alias("_copy")), "copies")
-    return named.join(sized(copies), F.col(row) == F.col("_copy"), "left_anti").select(*docs.columns)
+    return _without(named, row, found.where("not kept"), "copies").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, row, _ = row_ids(docs)
     found = contaminated(named.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = stage(found.select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
-    return named.join(sized(found), F.col(row) == F.col("_found"), "left_anti").select(*docs.columns)
+    return _without(named, row, found, "contaminated").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

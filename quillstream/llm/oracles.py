@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillstream.llm import tree_oracles
+
 _OP1 = r"""
 with w as (
   select doc_id, lang, source, coalesce(text, '') as t,
@@ -145,4 +147,4 @@ select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesc
   coalesce(live, 0) as n_live, coalesce(example, 0) as n_example from d left join g on g.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_minhash_near_dedup": _OP3, "op4_warc": _OP4, "op6_secret_scans": _OP6, "op10_benchmark_decontamination": _OP10}
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_minhash_near_dedup": _OP3, "op4_warc": _OP4, "op6_secret_scans": _OP6, "op10_benchmark_decontamination": _OP10} | tree_oracles.ORACLES

@@ -10,7 +10,9 @@ and the like) aren't candidates.
 
 The paths that reach the threshold select the content. The deepest container below the body that holds most of their text
 is the article (the whole of it where it is marked): what else stands in it (short headings, table cells, captions) belongs to it too, unless it is named
-otherwise or made of links.
+otherwise or, outside a marked article, made of links. In a marked article a word that its own parts may carry ("related-work")
+names nothing: such a part is left to its ratios. Repeated children that each have an author, a date and a text are reader
+comments, whatever they are called.
 
 Reading takes linear time: a tag is found by ``find``, no pattern runs over more than a tag, and broken markup (missing end
 tags, stray ones, open quotes) is repaired the way browsers do for blocks.
@@ -39,6 +41,16 @@ APART = frozenset("nav footer aside form button select textarea dialog menu inpu
 #: Words in class, id or role that name such parts; the last ones may name an article's own head.
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|promoted|sponsor(?:ed)?|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend(?:ed|ations)?|sidebar|side|aside|widget|nav|navbar|navigation|menu|breadcrumbs?|pager|pagination|footer|copyright|comments?|discussion|replies|respond|disqus|login|search|tags|toolbar|skip|hidden|complementary|contentinfo)(?=$|[\s_-])", re.I)
 NAMED_HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
+#: Words that a part of the article itself may carry ("related-work"); inside a marked article they only leave a part to its ratios.
+NAMED_PART = re.compile(r"(?:^|[\s_-])(?:banner|notice|overlay|share|sharing|social|related|recommend(?:ed|ations)?|sidebar|side|aside|widget|discussion|search|tags|toolbar|complementary)(?=$|[\s_-])", re.I)
+#: Dates and times as reader comments carry them, beside their author.
+_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+DATED = re.compile(rf"\b\d{{1,2}}:\d\d\b|\b\d{{4}}-\d\d-\d\d\b|\b\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}\b|\b(?:\d+|an?) (?:minute|hour|day|week|month|year)s? ago\b|\b\d{{1,2}}\.? (?:{_MONTHS})[a-z]*\b|\b(?:{_MONTHS})[a-z]* \d{{1,2}}\b", re.I)
+AUTHOR = re.compile(r"[^\W\d_]{2,}")
+#: Elements that a reader's comment stands in, blocks that one has at most, levels above a block that are looked at, characters
+#: of a line with author or date at most, and comments that make a thread.
+COMMENT, COMMENT_BLOCKS, LEVELS, BYLINE, THREAD = frozenset("div li section article dd blockquote".split()), 12, 8, 60, 2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARK = re.compile(r"[.,;:!?。、，！？]")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 STOP = re.compile("[>\"']")
@@ -63,6 +75,7 @@ class Element(NamedTuple):
     apart: bool
     named: bool
     inside: bool
+    part: bool  # in a marked article, under a word that its own parts may carry
 
 
 class Block(NamedTuple):
@@ -75,11 +88,11 @@ class Page:
     """Elements (parents first), tag paths as a tree of (parent path, tag), and text blocks of a page."""
 
     def __init__(self, page: str, hints: bool = True):
-        self.elements = [Element("", -1, 0, False, False, False, False)]
+        self.elements = [Element("", -1, 0, False, False, False, False, False)]
         self.paths, self.depth = [-1], [0]
         self.blocks: list[Block] = []
         self._known: dict[tuple[int, str], int] = {}
-        self._hints = hints
+        self.hints = hints
         self._read(page)
 
     def _read(self, page: str) -> None:
@@ -201,17 +214,46 @@ class Page:
             self.depth.append(self.depth[up.path] + 1)
         own = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         hidden = up.hidden or tag in HIDDEN or "hidden" in own or own.get("aria-hidden", "").lower() == "true"
-        apart = named = inside = False
-        if self._hints:
+        apart = named = inside = part = False
+        if self.hints:
             main = tag in ("article", "main")
             said = [v for a in ("class", "id", "role") if (v := own.get(a))]
             apart = up.apart or tag in APART or (tag == "header" and not up.inside)
-            names = any(NAMED.search(v) or not up.inside and NAMED_HEAD.search(v) for v in said)
-            named = not main and (up.named or names and tag not in ("html", "body"))
+            names = [w[0].strip(" _-").lower() for v in said for w in NAMED.finditer(v)]
+            head = not up.inside and any(NAMED_HEAD.search(v) for v in said)
+            own_part = up.inside and bool(names) and all(NAMED_PART.search(w) for w in names)
+            part = up.part or own_part
+            named = not main and (up.named or (bool(names) and not own_part or head) and tag not in ("html", "body"))
             inside = up.inside or main and not apart
-        self.elements.append(Element(tag, parent, path, hidden, apart, named, inside))
+        self.elements.append(Element(tag, parent, path, hidden, apart, named, inside, part))
         return len(self.elements) - 1
 
+    def threads(self) -> set[int]:
+        """Elements that hold THREAD comments or more: like children that each have an author and a date in short lines, and text."""
+        size = np.zeros(len(self.elements), np.int64)
+        for b in self.blocks:
+            size[b.element] += 1
+        for i in range(len(self.elements) - 1, 0, -1):
+            size[self.elements[i].parent] += size[i]
+        seen: dict[int, list[Block]] = {}
+        for b in self.blocks:
+            i = b.element
+            for _ in range(LEVELS):
+                if not i or size[i] > COMMENT_BLOCKS:
+                    break
+                if self.elements[i].tag in COMMENT and size[i] > 1:
+                    seen.setdefault(i, []).append(b)
+                i = self.elements[i].parent
+        like: dict[tuple[int, str], list[int]] = {}
+        for i, own in seen.items():
+            short = [b.text for b in own if len(b.text) <= BYLINE and not b.text.endswith((".", "!", "?"))]
+            dated = [t for t in short if DATED.search(t)]
+            named = any(AUTHOR.search(DATED.sub("", t)) for t in short)
+            headed = any(self.elements[b.element].tag in HEADINGS for b in own)
+            if dated and named and not headed and len(own) > len(dated) and len(own) == size[i]:
+                like.setdefault((self.elements[i].parent, self.elements[i].tag), []).append(i)
+        return {parent for (parent, _), items in like.items() if len(items) >= THREAD and 2 * size[items].sum() > size[parent]}
+
     def likeness(self, a: int, b: int) -> float:
         """1 less the steps between two paths of the tree as a part of both depths."""
         steps, both = 0, self.depth[a] + self.depth[b]
@@ -249,6 +291,11 @@ def path_scores(page: Page, own: list[Block]) -> dict[tuple[int, bool, bool], fl
 def content(page: Page) -> tuple[list[Block], list[bool]]:
     """The candidate blocks, and which of them the article has."""
     own = [b for b in page.blocks if not page.elements[b.element].apart]
+    if page.hints and (threads := page.threads()):
+        inside = np.zeros(len(page.elements), bool)
+        for i, e in enumerate(page.elements):
+            inside[i] = i in threads or i > 0 and inside[e.parent]
+        own = [b for b in own if not inside[b.element]] or own
     if not own:
         return [], []
     scores = path_scores(page, own)
@@ -269,7 +316,9 @@ def content(page: Page) -> tuple[list[Block], list[bool]]:
     within = np.zeros(len(page.elements), bool)
     for i, e in enumerate(page.elements):
         within[i] = i == root or i > 0 and within[e.parent]
-    also = [bool(within[b.element]) and 2 * b.linked <= len(b.text) and page.elements[b.element].named <= page.elements[root].named for b in own]
+    # links among the text of a marked article are its own, elsewhere they lead away
+    marked = page.elements[root].inside
+    also = [bool(within[b.element]) and (marked or 2 * b.linked <= len(b.text)) and page.elements[b.element].named <= page.elements[root].named and not page.elements[b.element].part for b in own]
     return own, [s or a for s, a in zip(selected, also, strict=True)]
 
 

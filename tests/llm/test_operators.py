@@ -660,3 +660,23 @@ def test_long_words_are_those_of_the_library():
     with np.errstate(over="ignore"):
         for t in ("abcabcthequickbrown" * 200, "中文句子没有空格" * 300, "".join(rnd.choice("aeioutnrshé中") for _ in range(5000)), "x" * 3000, "http://" + "a/b?c=d&" * 500):
             assert codec.encode([t])[0].tolist() == sp.encode(t)
+
+
+def test_html_keeps_parts_of_the_article_and_drops_threads():
+    para = ["The first part, written at length, says what was found; it goes on for a while, and then it stops.", "The second, which is no shorter, adds what was left out, and weighs both, one against the other."]
+    body = "".join(f"<p>{p}</p>" for p in para)
+    comment = lambda who, when, what: f'<div class="c-item"><p>{who}</p><p>{when}</p><p>{what}</p></div>'
+    thread = '<div class="c-thread">' + comment("Anna Berg", "2 May 2024", "I liked it, but the end, to me, was rather weak, and far too long for what it says.") + comment("ben", "3 hours ago", "So did I, and more than once, though I can't say why it was so.") + comment("Cy", "2024-05-03 10:20", "No.") + "</div>"
+    refs = "".join(f'<li><a href="/r{i}">Writer {i}, a book on things, part {i}</a></li>' for i in range(4))
+    want = " ".join(["Head", *para])
+    assert html_text.main_text(f'<body><nav><a href="/">x</a></nav><article><h1>Head</h1><p>{para[0]}</p><div class="related-work"><p>{para[1]}</p></div></article></body>') == want
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{body}<ul>{refs}</ul></article></body>") == want + " " + " ".join(f"Writer {i}, a book on things, part {i}" for i in range(4))
+    for page in (f"<body><article><h1>Head</h1>{body}</article>{thread}</body>", f"<body><article><h1>Head</h1>{body}{thread}</article></body>", f'<body><div class="post"><h1>Head</h1>{body}</div>{thread}</body>'):
+        assert html_text.main_text(page) == want
+    # entries with headings, rows of a table and short boxes aren't threads
+    log = "".join(f"<div><h3>Version {i}</h3><p>2024-01-0{i}</p><p>It was changed in part, and in part it wasn't.</p></div>" for i in range(1, 4))
+    assert "Version 2" in html_text.main_text(f"<body><article><h1>Head</h1>{body}{log}</article></body>")
+    table = "".join(f"<tr><td>Anna {i}</td><td>2024-01-0{i}</td><td>a value, and more</td></tr>" for i in range(1, 4))
+    assert "Anna 2" in html_text.main_text(f"<body><article><h1>Head</h1>{body}<table>{table}</table></article></body>")
+    box = '<div class="related"><p>More</p></div><div class="newsletter"><p>Sign up, it is free.</p></div>'
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{body}{box}</article></body>") == want

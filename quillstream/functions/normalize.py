@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 #: Month names that dates may be written with.
 MONTHS = {
-    1: "jan january janvier januar enero gennaio janeiro", 2: "feb february fevrier février februar febrero febbraio fevereiro",
-    3: "mar march mars marz märz marzo março", 4: "apr april avril abril aprile", 5: "may mai mayo maggio maio",
-    6: "jun june juin juni junio giugno junho", 7: "jul july juillet juli julio luglio julho", 8: "aug august aout août agosto",
-    9: "sep sept september septembre septiembre settembre setembro", 10: "oct october octobre oktober octubre ottobre outubro",
-    11: "nov november novembre noviembre novembro", 12: "dec december decembre décembre dezember diciembre dicembre dezembro",
-}
+    1: ("jan", "january", "janvier", "januar", "enero", "gennaio", "janeiro"),
+    2: ("feb", "february", "fevrier", "février", "februar", "febrero", "febbraio", "fevereiro"),
+    3: ("mar", "march", "mars", "marz", "märz", "marzo", "março"),
+    4: ("apr", "april", "avril", "abril", "aprile"),
+    5: ("may", "mai", "mayo", "maggio", "maio"),
+    6: ("jun", "june", "juin", "juni", "junio", "giugno", "junho"),
+    7: ("jul", "july", "juillet", "juli", "julio", "luglio", "julho"),
+    8: ("aug", "august", "aout", "août", "agosto"),
+    9: ("sep", "sept", "september", "septembre", "septiembre", "settembre", "setembro"),
+    10: ("oct", "october", "octobre", "oktober", "octubre", "ottobre", "outubro"),
+    11: ("nov", "november", "novembre", "noviembre", "novembro"),
+    12: ("dec", "december", "decembre", "décembre", "dezember", "diciembre", "dicembre", "dezembro"),
+}
 #: Words read as true and as false.
 TRUE, FALSE = ("true", "yes", "1", "y", "t", "verified", "passed"), ("false", "no", "0", "n", "f", "failed")
 
 #: Parts of field names that hold dates, and amounts.
-DATES, AMOUNTS = "date|dob|birth|joining|validity", "amount|total|price|fee|salary|balance|cost|percentage|marks"
+DATES = ("date", "dob", "birth", "joining", "validity")
+AMOUNTS = ("amount", "total", "price", "fee", "salary", "balance", "cost", "percentage", "marks")
 
 
 def _month(name: Column) -> Column:
-    pairs = [F.lit(x) for number, names in MONTHS.items() for word in dict.fromkeys(names.split()) for x in (word, number)]
+    pairs = [F.lit(x) for number, names in MONTHS.items() for word in dict.fromkeys(names) for x in (word, number)]
     seen, flat = set(), []
     for word, number in zip(pairs[::2], pairs[1::2], strict=True):
         if str(word) not in seen:
@@ -136,7 +144,7 @@ def by_name(name: Column, value: Column) -> Column:
     can't be read stays as it is and isn't valid. Null is valid."""
     text = F.trim(value)
     low = F.lower(name)
-    kind = F.when(low.rlike(DATES), "date").when(low.rlike(AMOUNTS), "amount")
+    kind = F.when(low.rlike("|".join(DATES)), "date").when(low.rlike("|".join(AMOUNTS)), "amount")
     got = F.when(kind == "date", date_day_first(text).cast("string")).when(kind == "amount", amount(text).cast("string")).otherwise(text)
     blank = F.coalesce(text, F.lit("")) == ""
     return F.struct(F.coalesce(got, text).alias("value"), (blank | got.isNotNull()).alias("valid"))

@@ -12,14 +12,14 @@ NO_VALUE = ("null", "none", "n/a", "not found", "undefined", "")
 NOT_THERE = ("null", "none", "not found", "n/a", "not detected", "")
 #: Document types, the field that may be missing, and the fields that stand in for it, the first first.
 STAND_INS = (
-    ("receipt store_receipt retail_receipt restaurant", "store_name", "vendor_name"),
-    ("receipt store_receipt retail_receipt restaurant", "receipt_number", "invoice_number"),
-    ("receipt store_receipt retail_receipt restaurant", "receipt_date", "invoice_date"),
-    ("resume cv", "candidate_name", "name person_name applicant_name full_name"),
-    ("bank_statement", "account_holder", "name customer_name holder_name"),
+    (("receipt", "store_receipt", "retail_receipt", "restaurant"), "store_name", ("vendor_name",)),
+    (("receipt", "store_receipt", "retail_receipt", "restaurant"), "receipt_number", ("invoice_number",)),
+    (("receipt", "store_receipt", "retail_receipt", "restaurant"), "receipt_date", ("invoice_date",)),
+    (("resume", "cv"), "candidate_name", ("name", "person_name", "applicant_name", "full_name")),
+    (("bank_statement",), "account_holder", ("name", "customer_name", "holder_name")),
 )
 #: Parts of field names that hold amounts.
-AMOUNTS = "amount|total|balance|debit|credit|price|fee"
+AMOUNTS = ("amount", "total", "balance", "debit", "credit", "price", "fee")
 #: Characters of a quote that is made from a value.
 QUOTE = 60
 
@@ -59,7 +59,7 @@ def answer_values(answers: DataFrame, expected: list[str], key: str = "doc_id",
 
 def stand_ins(model: DataFrame, types: DataFrame) -> DataFrame:
     """``model`` (doc_id, field, value, confidence) with the fields that its document's type calls by another name."""
-    rows = [(kind, field, other, rank) for kinds, field, others in STAND_INS for kind in kinds.split() for rank, other in enumerate(others.split())]
+    rows = [(kind, field, other, rank) for kinds, field, others in STAND_INS for kind in kinds for rank, other in enumerate(others)]
     known = model.sparkSession.createDataFrame(rows, "doc_type string, _to string, field string, _rank int")
     typed = model.join(types.select("doc_id", F.lower("doc_type").alias("doc_type")), "doc_id").join(F.broadcast(known), ["doc_type", "field"])
     first = typed.groupBy("doc_id", "_to").agg(F.min_by(F.struct("value", "confidence"), "_rank").alias("x")).select("doc_id", F.col("_to").alias("field"), "x.value", "x.confidence")
@@ -81,7 +81,7 @@ def merged(rules: DataFrame, model: DataFrame, types: DataFrame) -> DataFrame:
     confidence = F.when(same, F.least(d(0.99), F.greatest(mc, rc) + d(0.05))).when(m.isNotNull(), F.when(mc > 0, mc).otherwise(d(0.90))).when(r.isNotNull(), rc).otherwise(d(0))
     source = F.when(same, "rule+ai").when(m.isNotNull(), "ai").when(r.isNotNull(), "rule").otherwise("none")
     name = F.lower("field")
-    plain = F.when(name.contains("date"), N.date_day_first(value).cast("string")).when(name.rlike(AMOUNTS), N.amount(value).cast("string"))
+    plain = F.when(name.contains("date"), N.date_day_first(value).cast("string")).when(name.rlike("|".join(AMOUNTS)), N.amount(value).cast("string"))
     return both.select("doc_id", "field", value.alias("value"), F.coalesce(plain, value).alias("normalized_value"), F.round(confidence, 2).cast("double").alias("confidence"), source.alias("source"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.operators.validate import THRESHOLD, invoice_errors
@@ -127,10 +127,9 @@ def occurrence_boost(candidates: DataFrame, fold: bool) -> DataFrame:
     """``candidates`` (doc_id, field, value, confidence) with 0.05 more, 1 at most, for values that a document's field has twice or
     more; ``fold`` tells whether case counts as equal."""
     same = F.lower("value") if fold else F.col("value")
-    seen = candidates.groupBy("doc_id", "field", same.alias("_v")).agg(F.count("*").alias("_n"))
-    both = candidates.withColumn("_v", same).join(seen, ["doc_id", "field", "_v"])
+    both = candidates.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "field", same)))
     more = F.least(F.lit(1).cast("decimal(6,4)"), F.col("confidence").cast("decimal(6,4)") + F.lit(0.05).cast("decimal(6,4)"))
-    return both.withColumn("confidence", F.when(F.col("_n") > 1, more.cast("double")).otherwise(F.col("confidence").cast("double"))).drop("_v", "_n")
+    return both.withColumn("confidence", F.when(F.col("_n") > 1, more.cast("double")).otherwise(F.col("confidence").cast("double"))).drop("_n")
 
 
 def proximity(lines: Column, chars: Column, between: Column) -> Column:

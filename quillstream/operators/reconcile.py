@@ -9,16 +9,16 @@ from quillstream.functions.text import comparison
 
 #: Evidence that speaks against a field's value, and evidence that saves it.
 AGAINST = {
-    "total_amount": "subtotal|sub-total|tax|cgst|sgst|discount|unit price|qty",
-    "invoice_date": "due date|delivery date|shipping date|order date|po date|expiry",
-    "vendor_name": "bill to|buyer|customer|ship to|consignee|client",
-    "invoice_number": "gstin|pan|phone|bank|account|ifsc|pin code",
+    "total_amount": ("subtotal", "sub-total", "tax", "cgst", "sgst", "discount", "unit price", "qty"),
+    "invoice_date": ("due date", "delivery date", "shipping date", "order date", "po date", "expiry"),
+    "vendor_name": ("bill to", "buyer", "customer", "ship to", "consignee", "client"),
+    "invoice_number": ("gstin", "pan", "phone", "bank", "account", "ifsc", "pin code"),
 }
 SAVED = {
-    "total_amount": "grand total|net payable|total amount|total due",
-    "invoice_date": "invoice date|bill date|date of issue|dated",
-    "vendor_name": "vendor|seller|supplier|from",
-    "invoice_number": "inv|bill",
+    "total_amount": ("grand total", "net payable", "total amount", "total due"),
+    "invoice_date": ("invoice date", "bill date", "date of issue", "dated"),
+    "vendor_name": ("vendor", "seller", "supplier", "from"),
+    "invoice_number": ("inv", "bill"),
 }
 
 
@@ -26,7 +26,7 @@ def disqualified(field: Column, evidence: Column) -> Column:
     text = F.lower(F.coalesce(evidence, F.lit("")))
     out = F.lit(False)
     for name, words in AGAINST.items():
-        out = F.when(field == name, text.rlike(words) & ~text.rlike(SAVED[name])).otherwise(out)
+        out = F.when(field == name, text.rlike("|".join(words)) & ~text.rlike("|".join(SAVED[name]))).otherwise(out)
     return out
 
 

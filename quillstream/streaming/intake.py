@@ -10,7 +10,8 @@ from quillstream.sources.files import documents, read_files
 
 
 def intake(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Take in the files that lie below ``path`` and haven't been taken in; a file that comes again is one document."""
+    """Take in the files that lie below ``path`` and haven't been taken in; a file that comes again within a day
+    of processing is one document; one that comes later is told by its hash, which ``exact_duplicates`` groups."""
     rows = documents(read_files(spark, path, stream=True)).withColumn("uploaded_at", F.current_timestamp())
     once = rows.withWatermark("uploaded_at", "1 day").dropDuplicatesWithinWatermark(["file_hash"])
     return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

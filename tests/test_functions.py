@@ -19,34 +19,34 @@ def test_dates(spark, text):
     assert one(spark, N.date_day_first, text) == datetime.date(2026, 9, 5)
 
 
-@pytest.mark.parametrize(("text", "day"), [("27 SEPTEMBRE 2018", (2018, 9, 27)), ("JEU 27 SEPTEMBRE 2018", (2018, 9, 27)), ("27 février 2018", (2018, 2, 27)), ("15 août 2018", (2018, 8, 15)), ("10 de octubre de 2023", (2023, 10, 10)), ("12 Dezember 2021", (2021, 12, 12)), ("01/02/2025", (2025, 2, 1))])
+@pytest.mark.parametrize(("text", "day"), [("4 NOVEMBRE 2019", (2019, 11, 4)), ("LUN 4 NOVEMBRE 2019", (2019, 11, 4)), ("9 février 2022", (2022, 2, 9)), ("30 août 2021", (2021, 8, 30)), ("6 de mayo de 2020", (2020, 5, 6)), ("31 Oktober 2017", (2017, 10, 31)), ("03/04/2024", (2024, 4, 3))])
 def test_dates_in_other_languages(spark, text, day):
     assert one(spark, N.date_day_first, text) == datetime.date(*day)
 
 
-@pytest.mark.parametrize("text", ["31/02/2026", "29/02/2026", "99/99/2026", "12/34/2026", "00/05/2026", "not a date", "TBD", "", None])
+@pytest.mark.parametrize("text", ["30/02/2025", "29/02/2023", "77/88/2025", "10/45/2025", "00/06/2025", "no day", "later", "", None])
 def test_bad_dates(spark, text):
     assert one(spark, N.date_day_first, text) is None
 
 
-@pytest.mark.parametrize(("text", "amount"), [("₹25,500", 25500), ("Rs. 25,500", 25500), ("INR 25,500", 25500), ("25500", 25500), ("₹ 25500/-", 25500), ("Total: ₹25,500.00", 25500), ("$1,250.00", 1250), ("€500.25", 500.25), ("-₹500.00", -500), ("₹-500.00", -500), ("-Rs. 500", -500), ("(500.00)", -500), ("(₹25,500)", -25500), ("1,25,000", 125000), ("12,50,000.75", 1250000.75), ("1,250,000.75", 1250000.75), ("25500.756", 25500.76)])
+@pytest.mark.parametrize(("text", "amount"), [("₹31,700", 31700), ("Rs. 31,700", 31700), ("INR 31,700", 31700), ("31700", 31700), ("₹ 31700/-", 31700), ("Total: ₹31,700.00", 31700), ("$4,075.00", 4075), ("€812.40", 812.40), ("-₹640.00", -640), ("₹-640.00", -640), ("-Rs. 640", -640), ("(640.00)", -640), ("(₹31,700)", -31700), ("3,17,000", 317000), ("31,70,000.25", 3170000.25), ("3,170,000.25", 3170000.25), ("31700.128", 31700.13)])
 def test_amounts(spark, text, amount):
     assert float(one(spark, N.amount, text)) == amount
 
 
-@pytest.mark.parametrize("text", ["₹abc", "12.34.56", "₹", "Rs.", "₹ 12,34,56", "-₹-500", "25,50,00,xyz", "N/A", "", None])
+@pytest.mark.parametrize("text", ["₹xy", "1.2.3", "₹", "Rs.", "₹ 31,70,00", "-₹-640", "31,70,00,abc", "n/a", "", None])
 def test_bad_amounts(spark, text):
     assert one(spark, N.amount, text) is None
 
 
 def test_typed_values(spark):
-    assert one(spark, N.money, "1.250,50 €") == 1250.5
-    assert one(spark, N.money, "₹ 1,25,000.50") == 125000.5
+    assert one(spark, N.money, "8.140,25 €") == 8140.25
+    assert one(spark, N.money, "₹ 8,14,000.75") == 814000.75
     assert one(spark, N.percent, "18%") == one(spark, N.percent, "0.18") == 18.0
-    assert one(spark, N.email, " John.Doe@Example.COM ") == "john.doe@example.com"
-    assert one(spark, N.phone, "+1 (555) 234-5678") == "+15552345678"
+    assert one(spark, N.email, " Eva.Holm@Example.ORG ") == "eva.holm@example.org"
+    assert one(spark, N.phone, "+1 (555) 871-2046") == "+15558712046"
     assert one(spark, N.boolean, "yes") is True and one(spark, N.boolean, "No") is False
-    assert one(spark, N.identifier, " #0012345. ") == "0012345"
+    assert one(spark, N.identifier, " #0070881. ") == "0070881"
 
 
 def test_text(spark):
@@ -54,21 +54,21 @@ def test_text(spark):
     assert one(spark, T.comparison, " INV 001! ") == "inv001"
 
 
-INVOICE = "ABC Technologies Pvt Ltd\n123 Innovation Way\nTAX INVOICE\nInvoice Number: INV-2026-00125\nInvoice Date: 12/08/2026\nDue Date: 26/08/2026\nBill To:\nAcme Enterprises Inc\nSubtotal: $15,499.00\nTax (18%): $2,789.82\nGrand Total: $15,499.00"
+INVOICE = "Norden Glass Works Ltd\n7 Quay Lane\nTAX INVOICE\nInvoice Number: NGW-7/2025-88\nInvoice Date: 03/11/2025\nDue Date: 17/11/2025\nBill To:\nHolm & Sons Inc\nSubtotal: $812.40\nTax (10%): $81.24\nGrand Total: $893.64"
 
 
 def test_invoice_text(spark):
     docs = spark.createDataFrame([(1, INVOICE)], "doc_id bigint, text string")
     best = {r.field: r.value for r in reconcile.best_candidates(extract.candidates(docs)).collect()}
-    assert best["vendor_name"] == "ABC Technologies Pvt Ltd"
-    assert best["invoice_number"] == "INV-2026-00125"
-    assert best["invoice_date"] == "12/08/2026"
-    assert best["total_amount"] == "$15,499.00"
+    assert best["vendor_name"] == "Norden Glass Works Ltd"
+    assert best["invoice_number"] == "NGW-7/2025-88"
+    assert best["invoice_date"] == "03/11/2025"
+    assert best["total_amount"] == "$893.64"
 
 
 def test_grounding(spark):
-    blocks = spark.createDataFrame([(1, 0, "b0", 1, "Vendor: Acme Global Solutions Ltd", 50.0, 50.0, 300.0, 70.0), (1, 1, "b1", 1, "Invoice Number: INV-987654", 50.0, 80.0, 250.0, 100.0)], "doc_id bigint, pos int, block_id string, page int, text string, x0 double, y0 double, x1 double, y1 double")
-    values = spark.createDataFrame([(1, "vendor", "Acme Global Solutions Ltd", "Acme Global Solutions", 1), (1, "number", "INV-987654", "", 1), (1, "none", "Fake Corp", "Nonexistent hallucinated supplier", 1)], "doc_id bigint, field string, value string, quote string, page int")
+    blocks = spark.createDataFrame([(1, 0, "b0", 1, "Vendor: Holm Glass Trading Ltd", 50.0, 50.0, 300.0, 70.0), (1, 1, "b1", 1, "Invoice Number: HG-40417", 50.0, 80.0, 250.0, 100.0)], "doc_id bigint, pos int, block_id string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    values = spark.createDataFrame([(1, "vendor", "Holm Glass Trading Ltd", "Holm Glass Trading", 1), (1, "number", "HG-40417", "", 1), (1, "none", "Zebra Co", "a seller nobody named", 1)], "doc_id bigint, field string, value string, quote string, page int")
     got = {r.field: (r.block_id, r.grounded, r.bbox) for r in grounding.ground(values, blocks).collect()}
     assert got["vendor"] == ("b0", True, [50.0, 50.0, 300.0, 70.0])
     assert got["number"][:2] == ("b1", True)

@@ -37,6 +37,8 @@ PACKAGE_BYTES = 32 << 20
 BLOCK_RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payloads that several pages have are broadcast up to so many; the pages of one are dealt over SALT tasks beyond.
+BROADCAST, SALT = 50_000, 32
 
 
 def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
@@ -174,9 +176,19 @@ def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> Data
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
     same = rows.where(F.col("n") >= LEAST).groupBy("digest", "n").agg(F.count("*").alias("copies"), F.max(F.struct("page_id", "url")).alias("last"))
-    same = stage(same.where("copies > 1").selectExpr("digest as _digest", "n as _n", "last.page_id as refers_to", "last.url as refers_url"), "equal-payloads")
-    rows = rows.join(same, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
-    rows = rows.selectExpr("page_id", "url", "payload", "digest", "if(page_id = refers_to, null, refers_to) as refers_to", "if(page_id = refers_to, null, refers_url) as refers_url")
+    same = stage(same.where("copies > 1").selectExpr("digest as _digest", "n as _n", "last.page_id as _to", "last.url as _to_url"), "equal-payloads")
+    if same.limit(BROADCAST + 1).count() <= BROADCAST:
+        revisits, on = F.broadcast(same), (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
+    else:
+        # what each page refers to is found without payloads, a common payload's pages dealt over SALT tasks, and then meets
+        # the payloads by page
+        names = rows.where(F.col("n") >= LEAST).select("page_id", "digest", "n", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).alias("_salt")).distinct()
+        salted = same.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        found = names.join(salted, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")) & (names["_salt"] == salted["_salt"]))
+        revisits = stage(found.select(F.col("page_id").alias("_page"), "_digest", "_n", "_to", "_to_url"), "revisits")
+        on = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
+    rows = rows.join(revisits, on, "left")
+    rows = rows.selectExpr("page_id", "url", "payload", "digest", "if(page_id = _to, null, _to) as refers_to", "if(page_id = _to, null, _to_url) as refers_url")
     folder = new_folder(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

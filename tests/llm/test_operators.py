@@ -232,10 +232,14 @@ def test_viterbi_of_a_unigram_model():
             assert abs(sum(v.scores[i] for i in ids) - best[len(word)]) < 1e-9 and "".join(v.pieces[i] for i in ids) == word
 
 
-def test_warc_packages(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_warc_packages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc_zip, "BROADCAST", broadcast)
     same, small = "<p>é" * 400, "tiny"
-    rows = [(1, "http://a/1", same), (2, "http://a/2", same), (9, "http://a/9 x", same), (3, "u", small), (4, "u", small), (5, None, None), (6, "u", ""), (7, "u", "z" * 300_000), (None, "u", "q")]
+    rows = [(1, "http://a/1", same), (2, "http://a/2", same), (9, "http://a/9 x", same), (3, "u", small), (4, "u", small), (5, None, None), (6, "u", ""), (7, "u", "z" * 300_000), (None, "u", same)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, digest string")
+    twice = warc_zip.archived(pages.union(pages.where("page_id = 1"))).collect()
+    assert len(twice) == len(rows) + 1 and all(r.refers_to == 9 for r in twice if r.page_id in (1, None))
     got = {r.page_id: r for r in warc_zip.archived(pages).collect()}
     assert len(got) == len(rows) and all(r.intact for r in got.values())
     for i, _, h in rows:

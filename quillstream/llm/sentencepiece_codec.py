@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.bytehash import U64, mix, powers
@@ -26,7 +27,7 @@ from quillstream.llm.staging import map_arrow
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Longer words are walked one at a time.
+#: Longer words are walked one at a time, unless many have one length.
 LONG = 48
 #: Words kept by a worker, and characters of text worked on at once.
 KEPT, CHUNK = 800_000, 1 << 22
@@ -284,14 +285,17 @@ def long_word(v: Vocabulary, codes: np.ndarray, scalar: _Scalar) -> np.ndarray:
 
 
 def encode_words(v: Vocabulary, words: list[str], scalar: _Scalar | None = None) -> list[np.ndarray]:
-    """ids of each word; equal-length words advance together, words over LONG one at a time."""
+    """ids of each word; equal-length words advance together, those over LONG one at a time where they are few."""
     out: list = [None] * len(words)
     lengths = np.array([len(w) for w in words], np.int64)
-    for k in np.flatnonzero(lengths > LONG):
-        scalar = scalar or _Scalar(v)
-        out[k] = long_word(v, np.frombuffer(words[k].encode("utf-32-le", "surrogatepass"), np.uint32), scalar)
-    for length in np.unique(lengths[lengths <= LONG]):
+    for length in np.unique(lengths):
         group = np.flatnonzero(lengths == length)
+        # a step of the batch is a probe for each length of a piece; a walk probes once for each, and then takes each character
+        if length > LONG and len(group) * (v.longest + length / 5) < length * v.longest:
+            scalar = scalar or _Scalar(v)
+            for k in group:
+                out[k] = long_word(v, np.frombuffer(words[k].encode("utf-32-le", "surrogatepass"), np.uint32), scalar)
+            continue
         for part in np.array_split(group, max(1, len(group) * int(length) // 200_000)):
             codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
             last, start = viterbi(v, codes)
@@ -325,15 +329,16 @@ class Codec:
         return out[1:] if out.startswith(" ") else out
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of CHUNK characters together, a longer one by itself."""
     first = size = 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > CHUNK:
+    for k, n in enumerate(sizes):
+        if k > first and size + n > CHUNK:
             yield first, k
             first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def tokens(docs: DataFrame, model: str, bpe: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -349,10 +354,12 @@ def tokens(docs: DataFrame, model: str, bpe: bool = True, keep: tuple[str, ...]
         with np.errstate(over="ignore"):
             codec = Codec(shared.value)
             for batch in batches:
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for a, b in _chunks(texts):
-                    ids = codec.encode(texts[a:b])
-                    same = [codec.decode(x.tolist()) == t for x, t in zip(ids, texts[a:b], strict=True)]
+                column = batch.column("text")
+                for a, b in _chunks(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+                    # a chunk at a time, so that a batch's texts aren't all held twice
+                    texts = [t or "" for t in column[a:b].to_pylist()]
+                    ids = codec.encode(texts)
+                    same = [codec.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
                     at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                     yield pa.record_batch([*(batch.column(c)[a:b] for c in keep), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32))), pa.array(same)], [*keep, "n_tokens", "token_ids", "round_trip"])

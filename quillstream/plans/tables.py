@@ -53,8 +53,8 @@ def rendered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pos", F.col("word_no"))
 
 
-def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a scanned page of each order, in reading order: a tax number, "Invoice No:" with its number to the right, below
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, w (words in reading order) of a scanned page of each order: a tax number, "Invoice No:" with its number to the right, below
     or too far off, and a total far to the right. Boxes are off by some pixels; only every 13th page has line numbers."""
     k = F.col("o_orderkey")
     n = lambda c: c.cast("double") if hasattr(c, "cast") else F.lit(float(c))
@@ -76,6 +76,11 @@ def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         word(4, "Grand Total", 93, 50, 300, 90), word(4, "Tax", 80, 200, 300, 30), word(4, F.concat(F.lit("₹"), western(total)), 70 + k % 30, 400 + k % 3 * 100, 302, 120),
         word(4, "05/06/2024", 75, 760, 299, 90),
     )
-    rows = spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.posexplode(words).alias("pos", "w"))
-    numbered = F.col("doc_id") % 13 == 0
-    return rows.select("doc_id", F.lit(1).alias("page"), "pos", "w.text", "w.conf", "w.x0", "w.y0", "w.x1", "w.y1", F.when(numbered, 1).alias("block"), F.when(numbered, F.col("w.line")).alias("line"))
+    numbered = k % 13 == 0
+    each = F.transform(words, lambda w, i: F.struct(i.alias("pos"), *[w[c].alias(c) for c in ("text", "conf", "x0", "y0", "x1", "y1")], F.when(numbered, 1).alias("block"), F.when(numbered, w["line"]).alias("line")))
+    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.lit(1).alias("page"), each.alias("w"))
+
+
+def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of ``scanned_pages``, one a row."""
+    return scanned_pages(spark, sf_dir).select("doc_id", "page", F.explode("w").alias("w")).select("doc_id", "page", "w.*")

@@ -42,6 +42,19 @@ def _counts(text: Column) -> Column:
     return F.concat(each, F.array(F.length(text) - F.aggregate(each, F.lit(0), lambda a, n: a + n)))
 
 
+def _overlap(words: Column, block: Column) -> Column:
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(block, w))) / F.size(words)).otherwise(0.0)
+
+
+def _target_words(target: Column) -> Column:
+    return F.filter(F.regexp_extract_all(target, F.lit("([a-zA-Z0-9]+)"), 1), lambda w: F.length(w) >= 3)
+
+
+def _bound(target: Column, counts: Column, block: Column, block_counts: Column) -> Column:
+    common = F.aggregate(F.zip_with(counts, block_counts, lambda x, y: F.least(x, y)), F.lit(0), lambda a, n: a + n)
+    return 2 * common / (F.length(target) + F.length(block))
+
+
 def candidate_pairs(values: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pairs of a value without an exact hit and a block of its document, with ``overlap`` and ``bound``.
 
@@ -50,43 +63,51 @@ def candidate_pairs(values: DataFrame, blocks: DataFrame) -> DataFrame:
     no more of any character than both texts have. Only where the bound reaches ACCEPT, and what the best overlap of the
     value gives already, can the ratio decide; only those pairs have ``likely``.
     """
-    words = F.filter(F.regexp_extract_all("_t", F.lit("([a-zA-Z0-9]+)"), 1), lambda w: F.length(w) >= 3)
-    v = values.withColumn("_words", words).withColumn("_vc", _counts(F.col("_t")))
+    v = values.withColumn("_words", _target_words(F.col("_t"))).withColumn("_vc", _counts(F.col("_t")))
     b = blocks.where("_b <> ''").withColumn("_bc", _counts(F.col("_b")))
-    pairs = v.join(b, "doc_id")
-    held = F.size(F.filter("_words", lambda w: F.col("_b").contains(w)))
-    overlap = F.when(F.size("_words") > 0, held / F.size("_words")).otherwise(0.0)
-    common = F.aggregate(F.zip_with("_vc", "_bc", lambda x, y: F.least(x, y)), F.lit(0), lambda a, n: a + n)
-    pairs = pairs.withColumn("overlap", overlap).withColumn("bound", 2 * common / (F.length("_t") + F.length("_b")))
+    pairs = v.join(b.hint("merge"), "doc_id").withColumn("overlap", _overlap(F.col("_words"), F.col("_b"))).withColumn("bound", _bound(F.col("_t"), F.col("_vc"), F.col("_b"), F.col("_bc")))
     best = F.max("overlap").over(Window.partitionBy("doc_id", "field"))
     return pairs.withColumn("likely", (F.length("_t") <= 3 * F.length("_b")) & (F.col("bound") >= F.greatest(F.lit(ACCEPT), best))).drop("_words", "_vc", "_bc")
 
 
-def ground(values: DataFrame, blocks: DataFrame, fuzzy: bool = True) -> DataFrame:
+def ground(values: DataFrame, blocks: DataFrame, fuzzy: bool = True, parts: int | None = None) -> DataFrame:
     """values (doc_id, field, value, quote, page) with block_id, match_score, grounded, bbox.
 
     ``blocks``: doc_id, block_id, page, pos, text, x0, y0, x1, y1. Blocks of the hinted page come first, then by position;
     the first block with an exact hit wins. Values without one are compared with the blocks of their document by words, and
-    by the ratio of common runs where its bound allows that to decide; the first best from 0.65 on counts, and 0.70 grounds it.
+    by the ratio of common runs where its bound (as in ``candidate_pairs``) allows that to decide; the first best from 0.65
+    on counts, and 0.70 grounds it. A document's blocks are one row, which meets its values once, in ``parts`` tasks.
     """
+    b = blocks.select("doc_id", F.struct(F.col("page").alias("_page"), "pos", "block_id", _form(F.col("text")).alias("_b"), "x0", "y0", "x1", "y1").alias("b"))
     v = values.withColumn("_q", F.coalesce(_form(F.col("quote")), F.lit(""))).withColumn("_v", F.coalesce(_form(F.col("value")), F.lit("")))
-    b = blocks.select("doc_id", F.col("page").alias("_page"), "pos", "block_id", _form(F.col("text")).alias("_b"), "x0", "y0", "x1", "y1")
-    place = F.struct((F.col("_page") != F.coalesce(F.col("page"), F.lit(1))).alias("far"), "_page", "pos")
-    flat = ["doc_id", "field", *[F.col(f"h.{c}") for c in ("block_id", "score", "x0", "y0", "x1", "y1")]]
-    hit = lambda score: F.struct(place.alias("place"), "block_id", score.alias("score"), "x0", "y0", "x1", "y1")
-    pairs = v.join(b, "doc_id").withColumn("_s", exact_score(F.col("_q"), F.col("_v"), F.col("_b"))).where("_s is not null")
-    first = pairs.groupBy("doc_id", "field").agg(F.min(hit(F.col("_s"))).alias("h")).select(*flat)
+    if parts:
+        b, v = b.repartition(parts, "doc_id"), v.repartition(parts, "doc_id")
+    docs = b.groupBy("doc_id").agg(F.collect_list("b").alias("_bs"))
+    rows = v.join(docs.hint("merge"), "doc_id", "left")
+    place = lambda b: F.struct((b["_page"] != F.coalesce(F.col("page"), F.lit(1))).alias("far"), b["_page"].alias("_page"), b["pos"].alias("pos"))
+    hit = lambda b, score: F.struct(place(b).alias("place"), b["block_id"].alias("block_id"), score.alias("score"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+    exact = F.filter(F.transform("_bs", lambda b: hit(b, exact_score(F.col("_q"), F.col("_v"), b["_b"]))), lambda h: h["score"].isNotNull())
+    rows = rows.withColumn("_h", F.array_min(exact))
+    kept = [*values.columns, "_h"]
     if fuzzy:
-        target = F.when(F.col("_q") != "", F.col("_q")).otherwise(F.col("_v"))
-        missed = v.join(first.select("doc_id", "field"), ["doc_id", "field"], "left_anti").withColumn("_t", target).where("_t <> ''")
-        near = candidate_pairs(missed.select("doc_id", "field", "page", "_t"), b).where((F.col("overlap") >= ACCEPT) | F.col("likely"))
-        # a pair that isn't likely passes no text to Python
-        asked = [F.when(F.col("likely"), F.col(c)).otherwise("") for c in ("_t", "_b")]
-        score = F.greatest(F.col("overlap"), _ratio()(*asked))
-        rest = near.withColumn("_s", score).where(F.col("_s") >= ACCEPT)
-        best = F.min(F.struct((-F.col("_s")).alias("less"), hit(F.col("_s")).alias("h")))
-        first = first.unionByName(rest.groupBy("doc_id", "field").agg(best.alias("m")).select("doc_id", "field", F.col("m.h").alias("h")).select(*flat))
-    out = values.join(first, ["doc_id", "field"], "left")
+        target = F.when(F.col("_h").isNull(), F.when(F.col("_q") != "", F.col("_q")).otherwise(F.col("_v")))
+        rows = rows.select(*kept, target.alias("_t"), F.when(F.col("_h").isNull(), F.filter("_bs", lambda b: b["_b"] != "")).alias("_bs"))
+        rows = rows.withColumn("_words", _target_words(F.col("_t")))
+        rows = rows.withColumn("_overlaps", F.transform("_bs", lambda b: _overlap(F.col("_words"), b["_b"])))
+        rows = rows.withColumn("_least", F.greatest(F.lit(ACCEPT), F.array_max("_overlaps")))
+        # lengths bound a ratio too; what passes them is bounded by its letters beside the ratio
+        by_length = lambda t, b: 2 * F.least(F.length(t), F.length(b)) / (F.length(t) + F.length(b))
+        likely = lambda t, b: (F.length(t) <= 3 * F.length(b)) & (by_length(t, b) >= F.col("_least"))
+        # a block that isn't likely passes no text to Python
+        asked = F.transform("_bs", lambda b: F.when((F.col("_t") != "") & likely(F.col("_t"), b["_b"]), b["_b"]).otherwise(""))
+        # a step of its own, as no Python function may take or stand in what looks into an array
+        passed = F.struct(F.coalesce("_t", F.lit("")).alias("t"), F.coalesce(asked, F.array().cast("array<string>")).alias("bs"), "_least")
+        rows = rows.select(*kept, "_t", "_bs", "_overlaps", F.explode(F.array(passed)).alias("_p")).withColumn("_ratios", F.explode(F.array(_ratio()("_p.t", "_p.bs", "_p._least"))))
+        scores = F.zip_with("_overlaps", "_ratios", lambda x, y: F.greatest(x, y))
+        each = F.zip_with("_bs", scores, lambda b, s: F.struct((-s).alias("less"), hit(b, s).alias("h")))
+        best = F.array_min(F.filter(each, lambda m: m["h"]["score"] >= ACCEPT))
+        rows = rows.select(*values.columns, F.coalesce("_h", F.when(F.col("_t") != "", best)["h"]).alias("_h"))
+    out = rows.select(*values.columns, "_h.block_id", "_h.score", *[f"_h.{c}" for c in ("x0", "y0", "x1", "y1")])
     score = F.round(F.coalesce(F.col("score"), F.lit(0.0)), 2)
     sure = F.coalesce(F.col("score") >= GROUNDED, F.lit(False))
     box = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")])
@@ -94,10 +115,16 @@ def ground(values: DataFrame, blocks: DataFrame, fuzzy: bool = True) -> DataFram
 
 
 def _ratio():
-    @F.pandas_udf("double")
-    def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for target, block in parts:
-            yield pd.Series([difflib.SequenceMatcher(None, t, b).ratio() if t else 0.0 for t, b in zip(target, block, strict=True)], dtype="float64")
+    def one(target: str, block: str, least: float) -> float:
+        if not target or not block:
+            return 0.0
+        common = sum(min(target.count(c), block.count(c)) for c in set(target))
+        return difflib.SequenceMatcher(None, target, block).ratio() if 2.0 * common / (len(target) + len(block)) >= least else 0.0
+
+    @F.pandas_udf("array<double>")
+    def ratio(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for target, blocks, least in parts:
+            yield pd.Series([[one(t, b, x) for b in bs] for t, bs, x in zip(target, blocks, least, strict=True)], dtype=object)
 
     return ratio
 

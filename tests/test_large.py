@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstream.operators import spatial
+from quillstream.operators import grounding, spatial
 
 WORDS = "doc_id long, page int, pos int, text string, conf double, x0 double, y0 double, x1 double, y1 double, block int, line int"
 ROWS = [(1, 1, 0, "Invoice No:", 96.0, 50.0, 100.0, 130.0, 112.0, None, None), (1, 1, 1, "~", 20.0, 135.0, 100.0, 195.0, 112.0, None, None), (1, 1, 2, "INV-7", 90.0, 210.0, 101.0, 300.0, 113.0, None, None), (1, 1, 3, "Grand Total", 93.0, 50.0, 300.0, 140.0, 312.0, None, None), (1, 1, 4, "$9.50", 80.0, 400.0, 302.0, 520.0, 314.0, None, None)]
@@ -25,3 +25,11 @@ def test_numbers_of_pages_without_join_or_shuffle(spark):
 def _stored(df):
     """The rows without the plan that made them."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def test_values_meet_their_blocks_without_broadcast(spark):
+    values = spark.createDataFrame([(1, "a", "acme works", "", 1), (1, "b", "zebra", "", 1), (2, "c", "x", "", 1)], "doc_id long, field string, value string, quote string, page int")
+    blocks = spark.createDataFrame([(1, "b0", 1, 0, "Acme Work5", 0.0, 0.0, 1.0, 1.0)], "doc_id long, block_id string, page int, pos int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = grounding.ground(values, blocks, parts=3)
+    assert "Broadcast" not in plan(got) and plan(got).count("SortMergeJoin") == 1
+    assert {(r.field, r.block_id, r.match_score) for r in got.collect()} == {("a", "b0", 0.9), ("b", None, 0.0), ("c", None, 0.0)}

@@ -26,7 +26,8 @@ class Rule(NamedTuple):
 RULES = (
     Rule("invoice_number", "GSTIN", 0.80, r"\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", r"\b(gstin|gst\s*no|gst\s*#)\b", "inv|bill"),
     Rule("invoice_number", "PAN", 0.80, r"^[A-Z]{5}\d{4}[A-Z]\b", r"\bpan\s*(no|#|number)?\b", "inv|bill", strip=r"[\s-]"),
-    Rule("invoice_number", "phone number", 0.80, r"(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|\b[6-9]\d{9}\b"),
+    # digits behind letters of the same token are a code's
+    Rule("invoice_number", "phone number", 0.80, r"(?<![A-Za-z][A-Za-z0-9/_-]{0,40})(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|\b[6-9]\d{9}\b"),
     Rule("invoice_number", "mobile number", 0.80, r"^[6-9]\d{9}$", strip=r"\D"),
     Rule("invoice_number", "called number", 0.80, r"^\d{10,}$", r"\b(phone|tel|mobile|mob|contact|fax|call)\b", both=True, strip=r"\D"),
     Rule("invoice_number", "bank account", 0.75, r"^\d{11,18}$", r"\b(a/c|account|bank|ifsc|iban|swift|branch)\b", both=True, strip=r"\D"),

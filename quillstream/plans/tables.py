@@ -25,15 +25,16 @@ def western(amount):
     return F.format_number(amount.cast("decimal(18,2)"), 2)
 
 
-def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: each order as an invoice. Every tenth has no vendor line, every seventh a total of 0."""
+def rendered_invoices(spark: SparkSession, sf_dir: str, series: str = "INV-24-") -> DataFrame:
+    """doc_id, text: each order as an invoice. Every tenth has no vendor line, every seventh a total of 0;
+    ``series`` begins its number."""
     k = F.col("o_orderkey")
     vendor = F.concat(F.lit("Vendor: Acme Works "), k.cast("string"), F.lit(" Ltd"))
     total = F.when(k % 7 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("o_totalprice").cast("decimal(18,2)"))
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
     lines = F.array_compact(F.array(
         F.lit("TAX INVOICE"), F.when(k % 10 != 0, vendor), F.lit(""),
-        F.concat(F.lit("Invoice  Number: INV-24-"), F.lpad(k.cast("string"), 8, "0")),
+        F.concat(F.lit(f"Invoice  Number: {series}"), F.lpad(k.cast("string"), 8, "0")),
         F.concat(F.lit("Due Date: "), F.date_format(F.date_add("o_orderdate", 30), "dd/MM/yyyy")),
         F.when(k % 3 == 0, F.lit("Invoice Date:")), F.when(k % 3 == 0, day).otherwise(F.concat(F.lit("Invoice Date: "), day)),
         F.concat(F.lit("Bill To: Customer "), F.col("o_custkey").cast("string")),

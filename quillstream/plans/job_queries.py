@@ -14,7 +14,7 @@ from quillstream.operators import run_fields, schemas, structure
 from quillstream.plans.queries import query
 from quillstream.plans.tables import table
 from quillstream.sources import files, office
-from quillstream.sources.shared import new_folder
+from quillstream.sources.shared import new_folder, tasks
 from quillstream.streaming import runs
 from quillstream.streaming.sinks import KeyedTable, replace_partitions
 
@@ -214,6 +214,8 @@ def listed_runs(spark, sf_dir):
     """Runs of documents of one status, newest first by document; ALL is every status."""
     chosen = table(spark, sf_dir, "orders").where(F.lit("ALL").isin("ALL", "") | (F.col("o_orderstatus") == "ALL")).select(F.col("o_orderkey").alias("document_id"))
     run = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("run_id"), F.col("l_shipdate").alias("created_at"))
+    parts = tasks(table(spark, sf_dir, "lineitem"), 500_000)
+    run, chosen = run.repartition(parts, "document_id"), chosen.repartition(parts, "document_id")
     return run_fields.ranked(run.join(chosen, "document_id", "left_semi"), ["document_id"], "created_at", "run_id").select("document_id", "run_id", "rank")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstream.operators import exclusions, grounding, spatial
+from quillstream.operators import exclusions, grounding, insights, spatial
+from quillstream.sources.shared import tasks
 
 WORDS = "doc_id long, page int, pos int, text string, conf double, x0 double, y0 double, x1 double, y1 double, block int, line int"
 ROWS = [(1, 1, 0, "Invoice No:", 96.0, 50.0, 100.0, 130.0, 112.0, None, None), (1, 1, 1, "~", 20.0, 135.0, 100.0, 195.0, 112.0, None, None), (1, 1, 2, "INV-7", 90.0, 210.0, 101.0, 300.0, 113.0, None, None), (1, 1, 3, "Grand Total", 93.0, 50.0, 300.0, 140.0, 312.0, None, None), (1, 1, 4, "$9.50", 80.0, 400.0, 302.0, 520.0, 314.0, None, None)]
@@ -39,3 +40,10 @@ def test_a_number_with_its_year_is_no_phone_number(spark):
     rows = spark.createDataFrame([("INV-2024-00000001",), ("555-123-4567",), ("15551234567",)], "v string")
     told = [r.n for r in rows.select(F.size(exclusions.reasons("invoice_number", F.col("v"), F.lit("Invoice Number"), F.lit(True))).alias("n")).collect()]
     assert told == [0, 1, 1]
+
+
+def test_partitions_grow_with_the_rows(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks(spark.range(10), 5) == least
+    assert tasks(spark.range(5 * least + 1), 5) == least + 1
+    assert "REPARTITION_BY_NUM" in plan(insights.profile(spark.range(10)))

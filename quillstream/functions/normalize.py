@@ -46,8 +46,8 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 
 def _groups(text: Column, pattern: str, order: tuple[int, ...]) -> list[Column]:
-    got = [F.regexp_extract(text, pattern, i) for i in order]
-    return [F.when(g != "", g) for g in got]
+    """Groups of a match; empty text without one, which is no number and no month."""
+    return [F.regexp_extract(text, pattern, i) for i in order]
 
 
 def _int(x: Column) -> Column:
@@ -58,11 +58,16 @@ def date_day_first(value: Column) -> Column:
     """Date of a document value as text: ISO, day month-name year, month-name day year, or day/month/year. A label before
     a colon, a weekday and a time are passed over."""
     text = F.trim(F.regexp_replace(F.regexp_replace(value, r"^[A-Za-z ]{2,30}:\s*", ""), r"[ T]\d{1,2}:\d{2}(:\d{2})?\s*$", ""))
+    return F.get(F.transform(F.array(text), _day_first), 0)  # the text is made once
+
+
+def _day_first(text: Column) -> Column:
     iso = _groups(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", (1, 2, 3))
     worded = _groups(text, r"^(?:\p{L}+[ ,]+)?(\d{1,2})(?:st|nd|rd|th|er)?[-/. ]+(?:de )?(\p{L}+)\.?(?: de)?[-/., ]+(\d{2,4})$", (1, 2, 3))
     led = _groups(text, r"^(\p{L}+)\.?[-/ ]+(\d{1,2})(?:st|nd|rd|th)?[-/, ]+(\d{2,4})$", (1, 2, 3))
     number = _groups(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})$", (1, 2, 3))
-    return F.coalesce(_date(*map(_int, iso)), _date(_int(worded[2]), _month(worded[1]), _int(worded[0])), _date(_int(led[2]), _month(led[0]), _int(led[1])), _date(*map(_int, reversed(number))))
+    # digits alone are tried before words, which no such text has
+    return F.coalesce(_date(*map(_int, iso)), _date(*map(_int, reversed(number))), _date(_int(worded[2]), _month(worded[1]), _int(worded[0])), _date(_int(led[2]), _month(led[0]), _int(led[1])))
 
 
 def date_guessed(value: Column) -> Column:

@@ -38,6 +38,14 @@ def best_candidates(candidates: DataFrame, least: float = 0.35) -> DataFrame:
     return rows.groupBy("doc_id", "field").agg(F.max(rank).alias("b")).select("doc_id", "field", *[F.col(f"b._{c}").alias(c) for c in rest])
 
 
+def best_of(found: Column, fields: list[str], least: float = 0.35) -> dict[str, Column]:
+    """As ``best_candidates``, of a document's candidates in one array: the best struct of each field, null without any."""
+    rest = ("value", "confidence", "strategy", "evidence", "line_no", "reason")
+    rank = lambda c: F.struct(c["confidence"].alias("rank"), (-F.coalesce(c["line_no"], F.lit(-1))).alias("line_rank"), *[c[x].alias(x) for x in rest])
+    of = lambda f: F.filter(found, lambda c: (c["field"] == f) & (c["confidence"] >= least))
+    return {f: F.array_max(F.transform(of(f), rank)) for f in fields}
+
+
 def rule_and_model(rules: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, field, value, confidence, source from the best rule candidate and the model's, each (doc_id, field,
     value, confidence, evidence).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstream.operators import exclusions, grounding, insights, spatial
+from quillstream.operators import exclusions, extract, grounding, insights, reconcile, spatial
 from quillstream.sources.shared import tasks
 
 WORDS = "doc_id long, page int, pos int, text string, conf double, x0 double, y0 double, x1 double, y1 double, block int, line int"
@@ -47,3 +47,13 @@ def test_partitions_grow_with_the_rows(spark):
     assert tasks(spark.range(10), 5) == least
     assert tasks(spark.range(5 * least + 1), 5) == least + 1
     assert "REPARTITION_BY_NUM" in plan(insights.profile(spark.range(10)))
+
+
+def test_a_document_keeps_its_candidates(spark):
+    docs = spark.createDataFrame([(1, "Acme Works Ltd\nInvoice No: A-17\nInvoice Date:\n01/02/2024\nSubtotal: $4.00\nTax total: $1.00\nGrand Total: $5.00"), (2, None), (3, "Vendor: X\nVendor: Y")], "doc_id long, text string")
+    fields = list(extract.KEYWORDS)
+    kept = extract.found(docs).select("doc_id", *[c.alias(f) for f, c in reconcile.best_of(F.col("found"), fields).items()])
+    assert "Exchange" not in plan(kept)
+    got = {(r.doc_id, f, r[f].value, r[f].confidence, r[f].line_no) for r in kept.collect() for f in fields if r[f]}
+    assert got == {(r.doc_id, r.field, r.value, r.confidence, r.line_no) for r in reconcile.best_candidates(extract.candidates(docs)).collect()}
+    assert {(d, f, v) for d, f, v, *_ in got} == {(1, "vendor_name", "Acme Works Ltd"), (1, "invoice_number", "A-17"), (1, "invoice_date", "01/02/2024"), (1, "total_amount", "$5.00"), (3, "vendor_name", "X")}

@@ -39,10 +39,15 @@ def _month(name: Column) -> Column:
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A date, or null for days that no calendar has; two-digit years are of this century."""
-    y = F.expr("1") * year
-    y = F.when(y < 100, y + 2000).otherwise(y)
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), month.cast("int"), day.cast("int")), "yyyy-MM-dd")
+    """A date, or null for days that no calendar has; two-digit years are of this century. Parts that can't be a date's aren't
+    parsed, as each text that fails costs an exception."""
+
+    def of(p: Column) -> Column:
+        y = F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"])
+        fits = p["y"].isNotNull() & p["m"].between(1, 12) & p["d"].between(1, 31)
+        return F.when(fits, F.try_to_date(F.format_string("%04d-%02d-%02d", y, p["m"], p["d"]), "yyyy-MM-dd"))
+
+    return F.get(F.transform(F.array(F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))), of), 0)
 
 
 def _groups(text: Column, pattern: str, order: tuple[int, ...]) -> list[Column]:

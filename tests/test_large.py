@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstream.functions import normalize as N
 from quillstream.operators import answers, exclusions, extract, grounding, insights, reconcile, spatial
 from quillstream.sources.shared import tasks
 
@@ -65,3 +66,19 @@ def test_open_fields_of_a_document_in_one_shuffle(spark):
     got = answers.open_fields(found, rows)
     assert "Join" not in plan(got) and plan(got).count("Exchange") == 1
     assert sorted((r.doc_id, r.key, r.label) for r in got.collect()) == [(1, "ship_via", "Ship Via"), (2, "k", "K")]
+
+
+def test_values_of_a_document_merge_in_one_shuffle(spark):
+    kind = "doc_id long, field string, value string, confidence double"
+    rules = spark.createDataFrame([(1, "store_name", "s1", 0.75), (2, "due_date", "03/04/2024", 0.5), (3, "candidate_name", None, 0.6)], kind)
+    model = spark.createDataFrame([(1, "vendor_name", "S1", 0.8), (3, "full_name", "Q", 0.5), (3, "person_name", "P", 0.0), (4, "name", "N", None)], kind)
+    types = spark.createDataFrame([(1, "Receipt"), (2, "Receipt"), (3, "cv")], "doc_id long, doc_type string")
+    got = answers.merged(rules, model, types)
+    assert "Join" not in plan(got) and plan(got).count("Exchange") == 1
+    want = {(1, "store_name", "S1", 0.85, "rule+ai"), (1, "vendor_name", "S1", 0.8, "ai"), (2, "due_date", "2024-04-03", 0.5, "rule"), (3, "candidate_name", "P", 0.9, "ai"), (3, "full_name", "Q", 0.5, "ai"), (3, "person_name", "P", 0.9, "ai"), (4, "name", "N", 0.9, "ai")}
+    assert {(r.doc_id, r.field, r.normalized_value, r.confidence, r.source) for r in got.collect()} == want
+
+
+def test_parts_of_no_date_give_null(spark):
+    rows = spark.createDataFrame([("31/02/2024",), ("2024-13-01",), ("1 May 24",), ("May 1, 2024",), ("05/06/2024",), ("",), (None,)], "v string")
+    assert [str(r.d) for r in rows.select(N.date_day_first(F.col("v")).alias("d")).collect()] == ["None", "None", "2024-05-01", "2024-05-01", "2024-06-05", "None", "None"]

@@ -112,6 +112,10 @@ def typed_fields(docs: DataFrame, doc_type: str = "doc_type", text: str = "text"
     rows = rows.join(F.broadcast(_rules(docs.sparkSession)), F.col("doc_type") == F.col("kind"))
     on_line = F.expr("get(filter(_pairs, p -> p.rest <> '' and array_contains(labels, p.label)), 0).rest")
     source = F.when(F.col("how") == "label", on_line).when(F.col("how") == "line", F.get("_lines", F.lit(0))).otherwise(F.col("_text"))
-    found = F.when(F.col("how") == "line", source).otherwise(F.expr("try_element_at(regexp_extract_all(_from, pattern, 0), nth)"))
-    rows = rows.withColumn("_from", source).withColumn("value", F.nullif(F.trim(found), F.lit("")))
+    # each pattern stands in the plan, where it is compiled once; one that is read from a row is compiled for each row
+    found = F.when(F.col("how") == "line", source)
+    for pattern in dict.fromkeys([*KINDS.values(), *(p for *_, p in FORMED)]):
+        found = found.when(F.col("pattern") == pattern, F.try_element_at(F.regexp_extract_all(F.col("_from"), F.lit(pattern), 0), F.col("nth")))
+    # out of an array of one, so that a filter on the value doesn't make it a second time
+    rows = rows.withColumn("_from", source).withColumn("_found", F.trim(found)).withColumn("value", F.explode(F.array(F.nullif("_found", F.lit("")))))
     return rows.select("doc_id", "doc_type", "field", "value", F.when(F.col("value").isNotNull(), F.col("sure")).otherwise(0.0).alias("confidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstream.functions import normalize as N
-from quillstream.operators import answers, exclusions, extract, grounding, insights, reconcile, spatial
+from quillstream.operators import answers, exclusions, extract, grounding, insights, reconcile, spatial, typed_fields
 from quillstream.sources.shared import tasks
 
 WORDS = "doc_id long, page int, pos int, text string, conf double, x0 double, y0 double, x1 double, y1 double, block int, line int"
@@ -82,3 +82,10 @@ def test_values_of_a_document_merge_in_one_shuffle(spark):
 def test_parts_of_no_date_give_null(spark):
     rows = spark.createDataFrame([("31/02/2024",), ("2024-13-01",), ("1 May 24",), ("May 1, 2024",), ("05/06/2024",), ("",), (None,)], "v string")
     assert [str(r.d) for r in rows.select(N.date_day_first(F.col("v")).alias("d")).collect()] == ["None", "None", "2024-05-01", "2024-05-01", "2024-06-05", "None", "None"]
+
+
+def test_typed_values_are_made_once(spark):
+    docs = _stored(spark.createDataFrame([(1, "receipt", "Shop\nReceipt # 5\n1999-01-02\nTotal paid: 7.50")], "doc_id long, doc_type string, text string"))
+    got = typed_fields.typed_fields(docs).where("value is not null")
+    assert not [x for x in plan(got).split("\n") if "Filter" in x and "regexp_extract_all" in x]
+    assert {(r.field, r.value) for r in got.collect()} == {("store_name", "Shop"), ("receipt_number", "5"), ("receipt_date", "1999-01-02"), ("total_amount", "7.50")}

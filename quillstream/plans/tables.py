@@ -41,7 +41,7 @@ def rendered_invoices(spark: SparkSession, sf_dir: str, series: str = "INV-24-")
         F.concat(F.lit("Subtotal: $"), western(total - 1)),
         F.concat(F.lit("Grand Total: $"), western(total)),
     ))
-    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
 
 
 def rendered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     numbered = k % 13 == 0
     each = F.transform(words, lambda w, i: F.struct(i.alias("pos"), *[w[c].alias(c) for c in ("text", "conf", "x0", "y0", "x1", "y1")], F.when(numbered, 1).alias("block"), F.when(numbered, w["line"]).alias("line")))
-    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.lit(1).alias("page"), each.alias("w"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("doc_id"), F.lit(1).alias("page"), each.alias("w"))
 
 
 def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:

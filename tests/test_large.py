@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import normalize as N
 from quillstream.operators import answers, exclusions, extract, grounding, insights, reconcile, spatial, typed_fields
-from quillstream.sources.shared import tasks
+from quillstream.plans import page_queries
+from quillstream.sources.shared import spread, tasks
 
 WORDS = "doc_id long, page int, pos int, text string, conf double, x0 double, y0 double, x1 double, y1 double, block int, line int"
 ROWS = [(1, 1, 0, "Invoice No:", 96.0, 50.0, 100.0, 130.0, 112.0, None, None), (1, 1, 1, "~", 20.0, 135.0, 100.0, 195.0, 112.0, None, None), (1, 1, 2, "INV-7", 90.0, 210.0, 101.0, 300.0, 113.0, None, None), (1, 1, 3, "Grand Total", 93.0, 50.0, 300.0, 140.0, 312.0, None, None), (1, 1, 4, "$9.50", 80.0, 400.0, 302.0, 520.0, 314.0, None, None)]
@@ -102,3 +103,15 @@ def test_totals_and_geometry_of_pages_without_shuffle(spark):
     got = spatial.total_candidates(page)
     assert "Exchange" not in plan(got) and "Join" not in plan(got)
     assert [r.value for r in got.collect()] == ["9.50"]
+
+
+def test_rows_are_dealt_out_without_a_sort(spark, tmp_path):
+    keys = [*range(1000), None]
+    spark.createDataFrame([(k, float(k or 0), f"s{k}") for k in keys], "o_orderkey long, o_totalprice double, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = page_queries.page_geometry(spark, str(tmp_path))
+    assert not [x for x in ("RoundRobin", "Sort", "Aggregate", "Join") if x in plan(got)] and got.count() == len(keys)
+    dealt = spread(spark.read.parquet(f"{tmp_path}/orders.parquet"), "o_orderkey")
+    cores = spark.sparkContext.defaultParallelism
+    assert "RoundRobin" not in plan(dealt) and dealt.rdd.getNumPartitions() == cores
+    assert sorted(map(str, dealt.select("o_orderkey").toPandas()["o_orderkey"].astype("Int64"))) == sorted("<NA>" if k is None else str(k) for k in keys)
+    assert max(len(p) for p in dealt.rdd.glom().collect()) < 2 * len(keys) / cores

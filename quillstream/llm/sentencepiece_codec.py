@@ -1,20 +1,21 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi.
 
-Words (a run of spaces and what follows it) of equal length advance together: for each end position the hashes of all
+Texts are cut wherever no piece holds the two characters side by side, as before a space or between a letter and a comma: no
+piece goes over such a place, so what lies between two of them, a word, is encoded by itself, and texts have far fewer
+different words than runs between spaces. Words of equal length advance together: for each end position the hashes of all
 substrings that may end there probe the sorted hashes of the pieces, and the best piece of each word is stored as a
 back-pointer. For a unigram model the best is the largest sum of scores. In a BPE model scores are merge ranks whose sum
 means nothing; there the last piece of a prefix is the one that merging would have left, which is the only one that is
 compatible with the best piece before it (no merge across their boundary comes before their own). Both give the ids of
 the reference library; characters outside the vocabulary become byte pieces.
 
-Words are encoded once per worker and kept in a bounded table. The vocabulary is read on the driver and broadcast; its
+Words are encoded and decoded once per worker and kept in a bounded table. The vocabulary is read on the driver and broadcast; its
 size is that of the model file, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,14 @@ from quillstream.llm.bytehash import U64, mix, powers
 from quillstream.llm.staging import map_arrow
 
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Longer words are walked one at a time, unless many have one length.
 LONG = 48
 #: Words kept by a worker, and characters of text worked on at once.
 KEPT, CHUNK = 800_000, 1 << 22
 #: Characters of a long word whose pieces are looked up at once.
 STRETCH = 1 << 16
+#: Bits of the table of characters that stand side by side in a piece. Two that share an entry are cut less often, which changes no ids.
+SIDE_BITS = 22
 NEVER = np.iinfo(np.int64).max
 
 
@@ -53,6 +55,8 @@ class Vocabulary:
     right: np.ndarray = None
     pairs: np.ndarray = None  # sorted left * n + right of pieces that a merge may give
     merged: np.ndarray = None  # the piece of each pair
+    beside: np.ndarray = None  # bool at _side(a, b): a piece may hold b behind a
+    codec: Codec = None  # of this worker, kept from one task to the next
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -63,6 +67,10 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _side(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(2654435761) + b) & np.uint32((1 << SIDE_BITS) - 1)
+
+
 def _merge_tree(v: Vocabulary, table: dict[str, int]) -> None:
     """rank, left, right, pairs: how merging builds each piece."""
     n = len(v.pieces)
@@ -112,8 +120,9 @@ def load(path: str, bpe: bool = True) -> Vocabulary:
     hashes = np.array([_hash(np.array([ord(c) for c in p], np.uint32))[-1] for p in table], U64)
     order = np.argsort(hashes)
     v.keys, v.ids = hashes[order], np.array(list(table.values()), np.int64)[order]
-    if any(SPACE in p.lstrip(SPACE) for p in table):
-        raise ValueError("a piece goes on past a space; words can't be encoded apart")
+    v.beside = np.zeros(1 << SIDE_BITS, bool)
+    sides = np.array(sorted({(ord(a), ord(b)) for p in table for a, b in zip(p, p[1:], strict=False)}), np.uint32).reshape(-1, 2)
+    v.beside[_side(sides[:, 0], sides[:, 1])] = True
     if bpe:
         _merge_tree(v, table)
     return v
@@ -184,9 +193,11 @@ def _back(last: np.ndarray, start: np.ndarray, out: np.ndarray, v: Vocabulary) -
         out[live, k] = last[live, at[live]]
         at[live] = start[live, at[live]]
         k += 1
+    foreign = (out >= len(v.pieces)).any(1).tolist()
     result = []
-    for r, m in zip(out, (out >= 0).sum(1), strict=True):
-        result.append(_with_bytes(r[:m][::-1], v).astype(np.int32))
+    for r, m, f in zip(out.astype(np.int32), (out >= 0).sum(1).tolist(), foreign, strict=True):
+        ids = r[:m][::-1]
+        result.append(_with_bytes(ids, v).astype(np.int32) if f else ids)
     return result
 
 
@@ -308,20 +319,58 @@ class Codec:
     """Encodes and decodes texts; keeps the ids of words that it has seen, up to KEPT of them."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.kept, self.scalar = v, {}, _Scalar(v)
+        self.v, self.scalar = v, _Scalar(v)
         byte = {int(i): bytes([b]) for b, i in enumerate(v.bytes_) if i != v.unk}
         self.text = [byte.get(i, b"" if not v.normal[i] else p.replace(SPACE, " ").encode()) for i, p in enumerate(v.pieces)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kept: dict[bytes, int] = {}  # a word's code points: its place in sizes, starts and back
+        self.ids, self.sizes, self.starts, self.back = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes and decodes words that aren't kept yet."""
+        new = [w for w in words if w not in self.kept]
+        if self.kept and len(self.kept) + len(new) > KEPT:
+            self._forget()
+            new = words
+        if not new:
+            return
+        texts = [w.decode("utf-32-le", "surrogatepass") for w in new]
+        ids, text = encode_words(self.v, texts, self.scalar), self.text
+        back = [b"".join([text[i] for i in x.tolist()]) == t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes, self.back = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, sizes]), np.concatenate([self.back, np.array(back, bool)])
+        self.kept |= zip(new, range(len(self.kept), len(self.kept) + len(new)), strict=True)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's ids begin and the last one's end, whether the words of a text all give
+        themselves back)."""
+        codes = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE).encode("utf-32-le", "surrogatepass")
+        first = np.cumsum([0, *[len(t) + 1 if t else 0 for t in texts]])
+        if not first[-1]:
+            return np.zeros(0, np.int32), first, np.ones(len(texts), bool)
+        c = np.frombuffer(codes, np.uint32)
+        cut = np.ones(len(c) + 1, bool)
+        cut[1:-1] = ~self.v.beside[_side(c[:-1], c[1:])]
+        cut[first] = True
+        at = np.flatnonzero(cut)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(codes)]).dictionary_encode()
+        own = words.dictionary.to_pylist()
+        self._learn(own)
+        kept = self.kept
+        slot = np.array([kept[w] for w in own], np.int64)[words.indices.to_numpy()]
+        sizes = self.sizes[slot]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.starts[slot] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        word = np.searchsorted(at, first)  # each text's first word
+        astray = np.append(0, np.cumsum(~self.back[slot]))[word]
+        return flat, np.append(0, ends)[word], astray[1:] == astray[:-1]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws} - self.kept.keys())
-        if len(self.kept) + len(new) > KEPT:
-            self.kept = {}
-            new = list({w for ws in split for w in ws})
-        for w, ids in zip(new, encode_words(self.v, new, self.scalar), strict=True):
-            self.kept[w] = ids.tobytes()
-        kept = self.kept
-        return [np.frombuffer(b"".join([kept[w] for w in ws]), np.int32) for ws in split]
+        flat, at, _ = self.encode_flat(texts)
+        return np.split(flat, at[1:-1]) if texts else []
 
     def decode(self, ids: list[int]) -> str:
         text = self.text
@@ -352,17 +401,17 @@ def tokens(docs: DataFrame, model: str, bpe: bool = True, keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            codec = Codec(shared.value)
+            v = shared.value
+            codec = v.codec = v.codec or Codec(v)
             for batch in batches:
                 column = batch.column("text")
                 for a, b in _chunks(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
                     # a chunk at a time, so that a batch's texts aren't all held twice
                     texts = [t or "" for t in column[a:b].to_pylist()]
-                    ids = codec.encode(texts)
-                    same = [codec.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
-                    at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                    yield pa.record_batch([*(batch.column(c)[a:b] for c in keep), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32))), pa.array(same)], [*keep, "n_tokens", "token_ids", "round_trip"])
+                    flat, at, back = codec.encode_flat(texts)
+                    # a text of words that give themselves back is given back, unless it has space marks of its own
+                    same = [bool(k) and SPACE not in t or codec.decode(flat[at[i] : at[i + 1]].tolist()) == t for i, (k, t) in enumerate(zip(back, texts, strict=True))]
+                    yield pa.record_batch([*(batch.column(c)[a:b] for c in keep), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)), pa.array(same)], [*keep, "n_tokens", "token_ids", "round_trip"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     return map_arrow(docs.select(*keep, "text"), run, f"{kinds}, n_tokens bigint, token_ids array<int>, round_trip boolean")

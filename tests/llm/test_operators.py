@@ -666,6 +666,28 @@ def test_long_words_are_those_of_the_library():
             assert codec.encode([t])[0].tolist() == sp.encode(t)
 
 
+def test_texts_are_cut_where_no_piece_goes_on():
+    """Words joined by marks that no piece holds beside a letter are learnt once each, and their ids are those of the library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load(queries.TOKENIZER, True))
+    some = ["alpha", "Beta", "gamma", "naïve", "中文", "délta", "x", "stone", "river", "😀"]
+    texts = [f"{a},{b}\n{c}" for a in some for b in some for c in some] + ["", " ", "  two  spaces ", "a \u2581 b", "\u2581", "3.14,15;(x)'s--y", "a\r\n\tb\x00c"]
+    with np.errstate(over="ignore"):
+        ids, at, back = codec.encode_flat(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == sp.encode(t)
+        assert "\u2581" in t or back[i] == (codec.decode(ids[at[i] : at[i + 1]].tolist()) == t)
+    assert len(codec.kept) < 100
+
+
+def test_marks_of_space_are_not_given_back(spark):
+    rows = [(1, "a b"), (2, "a \u2581 b"), (3, "\u2581"), (4, None), (5, ""), (6, " "), (7, "a\n😀b ")]
+    got = sentencepiece_codec.tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), queries.TOKENIZER).collect()
+    assert {r.doc_id: r.round_trip for r in got} == {i: i not in (2, 3) for i, _ in rows}
+
+
 def test_html_keeps_parts_of_the_article_and_drops_threads():
     para = ["The first part, written at length, says what was found; it goes on for a while, and then it stops.", "The second, which is no shorter, adds what was left out, and weighs both, one against the other."]
     body = "".join(f"<p>{p}</p>" for p in para)

@@ -30,10 +30,14 @@ WINDOW, LEAST_COVER, LEAST_WORDS = 5, 0.8, 3
 #: Windows of the benchmark are broadcast up to this many (24 bytes and five words each); beyond it they are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
+_MARK, _WORD, _GAP = r"[\x01-\x03]", r"[\p{L}\p{N}\x01-\x03]", r"[^\p{L}\p{N}\x01-\x03]"
+#: Placeholders with so few words between them as in a loose window; without such a place a text has neither loose nor dense windows.
+_CROWD = f"{_MARK}(?:{_WORD}*+(?:{_GAP}++{_WORD}++){{0,{LEAST_WORDS - 1}}}{_GAP}++{_MARK}){{{WINDOW - LEAST_WORDS}}}"
 
 
 def template_words(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``, the template words, and ``out``_k, the same with only their marks left of placeholders.
+    """Adds ``out``, the template words, ``out``_k, the same with only their marks left of placeholders, and ``out``_m, whether
+    placeholders crowd so that windows may be loose.
 
     Placeholders begin with a mark (number 1, name 2, unit 3) before their value. A word is a run of letters and digits;
     points and commas inside a number are dropped.
@@ -43,22 +47,23 @@ def template_words(df: DataFrame, text: str, out: str) -> DataFrame:
     t = F.regexp_replace(t, r" (?=\p{Lu})(?<=[\p{Ll}\p{N}] |[\p{Ll}\p{N}][,;:] )", " " + NAME)
     df = df.withColumn("_t", F.lower(t))
     n = F.regexp_replace("_t", r"(?<=[0-9])[.,](?=[0-9])", "")
-    n = F.regexp_replace(n, r"(?<![\p{L}\p{N}])(?=[0-9])", NUM)
-    n = F.regexp_replace(n, "(?<=" + NUM + r"[0-9]{1,40} )(?=(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}]))", UNIT)
+    n = F.regexp_replace(n, r"(?=[0-9])(?<![\p{L}\p{N}])", NUM)
+    # the number is part of the match: looking back for it at each place costs ten times as much
+    n = F.regexp_replace(n, "(" + NUM + r"[0-9]{1,40} )(?=(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}]))", "$1" + UNIT)
     df = df.withColumn("_t", F.when(F.col("_t").rlike("[0-9]"), n).otherwise(F.col("_t")))
-    split = lambda c: F.array_remove(F.split(c, r"[^\p{L}\p{N}\x01-\x03]+"), "")
-    df = df.withColumn(out, split(F.col("_t")))
+    df = df.withColumn(out, F.array_remove(F.split("_t", _GAP + "+"), "")).withColumn(out + "_m", F.col("_t").rlike(_CROWD))
     return df.withColumn(out + "_k", F.when(F.col("_t").rlike("[\x01-\x03]"), F.transform(out, lambda w: F.when(F.ascii(w) < 4, F.substring(w, 1, 1)).otherwise(w))).otherwise(F.col(out))).drop("_t")
 
 
 def _window_keys(df: DataFrame, words: str, size: int, out: str) -> DataFrame:
     """Adds ``out``: a key of each window of ``size`` words; it holds the placeholders' values where the window is loose."""
     loose = f"xxhash64(slice({words}, i + 1, {size}))"
+    maybe = f"{words}_m" if size == WINDOW else "true"
     df = window_hashes(df, words + "_k", size, "_t")
-    df = window_counts(df, words + "_k", "ascii(x) > 3", size, "_n")
+    df = window_counts(df, f"if({maybe}, {words}_k, null)", "ascii(x) > 3", size, "_n")
     # not get(_n, i): the planner would count all windows again for each of them
     both = "zip_with(_t, _n, (t, n) -> struct(t, n))"
-    return df.withColumn(out, F.expr(f"transform({both}, (e, i) -> if(e.n < {LEAST_WORDS}, {loose}, e.t))")).drop("_t", "_n")
+    return df.withColumn(out, F.expr(f"if({maybe}, transform({both}, (e, i) -> if(e.n < {LEAST_WORDS}, {loose}, e.t)), _t)")).drop("_t", "_n")
 
 
 def _dense_windows(df: DataFrame, words: str, out: str, runs: list[int] | None = None) -> DataFrame:
@@ -68,7 +73,7 @@ def _dense_windows(df: DataFrame, words: str, out: str, runs: list[int] | None =
     text may go on with another number.
     """
     k = words + "_k"
-    plain = f"if(size(filter({k}, x -> ascii(x) < 4)) < 3, cast(array() as array<int>), filter(transform({k}, (x, i) -> if(ascii(x) > 3, i, -1)), i -> i >= 0))"
+    plain = f"if({words}_m, filter(transform({k}, (x, i) -> if(ascii(x) > 3, i, -1)), i -> i >= 0), cast(array() as array<int>))"
     df = df.withColumn("_p", F.expr(plain))
     df = df.withColumn("_p", F.expr(f"transform(_p, (p, j) -> struct(p as pos, coalesce(get(_p, j + 2), -1) - p + 1 as three, coalesce(get(_p, j + 1), size({k})) - p as run))"))
     spans = f"transform(filter(_p, p -> p.three > {WINDOW}), p -> struct(p.pos as pos, p.three as len))"
@@ -106,17 +111,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     found = _dense_windows(found, "_dw", "_dense", runs)
     for size in short:
         found = _window_keys(found, "_dw", size, f"_h{size}of")
-    at = [f"transform({h}, (h, i) -> struct(i as dpos, h as _dh, {size} as dlen))" for h, size in (("_h", WINDOW), *((f"_h{n}of", n) for n in short))]
-    at.append("transform(_dense, w -> struct(w.pos as dpos, w.h as _dh, w.len as dlen))")
-    found = found.select("doc_id", "_row", "_dw", F.expr(f"inline_outer(concat({', '.join(at)}))")).where("_dh is not null")
+    hashes = ["_h", *(f"_h{n}of" for n in short)]
+    # only the hashes are dealt to the join, by a generator of a plain column: with a higher-order function in it Spark
+    # copies a text's words for each
+    found = found.withColumn("_all", F.expr(f"concat({', '.join(hashes)}, transform(_dense, w -> w.h))")).withColumn("_sizes", F.expr(f"array({', '.join(f'size({h})' for h in hashes)})"))
+    found = found.select("doc_id", "_row", "_dw", "_sizes", "_dense", F.posexplode_outer("_all").alias("_i", "_dh")).where("_dh is not null")
+    pos = length = ""
+    left = "_i"
+    for k, n in enumerate((WINDOW, *short)):
+        pos, length, left = f"{pos} when {left} < _sizes[{k}] then {left}", f"{length} when {left} < _sizes[{k}] then {n}", f"{left} - _sizes[{k}]"
+    place = (f"case{pos} else get(_dense, {left}).pos end as dpos", f"case{length} else get(_dense, {left}).len end as dlen")
     if not small:
-        found = found.select("doc_id", "_row", F.expr("slice(_dw, dpos + 1, dlen)").alias("_ds"), "dpos", "_dh")
+        found = found.selectExpr("*", *place).select("doc_id", "_row", F.expr("slice(_dw, dpos + 1, dlen)").alias("_ds"), "dpos", "_dh")
     else:
         items = F.broadcast(items)
-    slots = "slice(_dw, dpos + 1, dlen)" if small else "_ds"
+    found = found.join(items, F.col("_dh") == F.col("_ih"))
+    if small:
+        found = found.selectExpr("*", *place).withColumn("_ds", F.expr("slice(_dw, dpos + 1, dlen)"))
     # a loose window's values are equal already, and take no part in the slots' consistency
-    pairs = f"filter(zip_with(_is, {slots}, (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and (dense or size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS})) as pairs"
-    hits = found.join(items, F.col("_dh") == F.col("_ih")).selectExpr("doc_id", "_row", "item_id", "item_words", "struct(ipos, wlen, dense) as w", "dpos - ipos as diagonal", pairs)
+    pairs = f"filter(zip_with(_is, _ds, (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and (dense or size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS})) as pairs"
+    hits = found.selectExpr("doc_id", "_row", "item_id", "item_words", "struct(ipos, wlen, dense) as w", "dpos - ipos as diagonal", pairs)
     aligned = hits.groupBy("doc_id", "_row", "item_id", "item_words", "diagonal").agg(F.collect_set("w").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     steady = aligned.where("size(array_distinct(transform(filter(pairs, p -> ascii(p.i) = 2), p -> p.i))) = size(filter(pairs, p -> ascii(p.i) = 2))")
     steady = steady.withColumn("near", F.expr(_COVER.format(at="at")))

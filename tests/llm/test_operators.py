@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import html_text, near_duplicates, pii, queries, secrets, sentencepiece_codec, sharding, suffix_dedup, warc_zip
 from quillstream.llm.components import connected_components
-from quillstream.llm.decontamination import contaminated
+from quillstream.llm.decontamination import contaminated, template_words
 from quillstream.llm.oracles import ORACLES
 from quillstream.llm.quality_rules import RATIOS, limits, quality_filter, quality_rules, sketches, text_counts
 
@@ -629,6 +629,34 @@ def test_decontamination_recall_of_renumbered_benchmark(spark):
     assert not {(d, i) for d, i in got if d != i and same[d] != same[i]}
 
 
+def test_decontamination_copies_no_words_for_each_window(spark):
+    """A generator with a higher-order function in it leaves the generated code and copies a text's words for each window."""
+    sf = "/root/testdata/sf0.001"
+    plan = contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    generators = [x for x in plan.splitlines() if "Generate " in x]
+    assert generators and not [x for x in generators if "lambda" in x]
+
+
+def test_texts_without_a_crowd_have_no_loose_or_dense_windows(spark):
+    rnd = random.Random(3)
+    some = ["word", "other", "naïve", "Maria", "Paul", "12", "7 kg", "3.5", "x2", "4th", "中文", "-", ", ", "\n", "İA", "5,000 miles"]
+    rows = [(i, "so " + rnd.choice([" ", " ", ", ", ". "]).join(rnd.choices(some, [6, 6, 4, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], k=rnd.randint(0, 14)))) for i in range(4000)]
+    seen = {True: 0, False: 0}
+    for r in template_words(spark.createDataFrame(rows, "i int, text string"), "text", "w").collect():
+        mark = [w[0] < "\x04" for w in r.w]
+        crowd = any(sum(mark[k : k + 5]) > 2 for k in range(len(mark) - 2))
+        assert r.w_m or not crowd, r.text  # a few more may be taken for crowded
+        seen[r.w_m] += 1
+    assert min(seen.values()) > 500
+
+
+def test_units_follow_numbers_only(spark):
+    text = "at 12 kg and 1,000.5 km/h, 7 miles x9 m a 5  s " + "1" * 40 + " g " + "1" * 41 + " g 3 minutesa 4 mm5 m"
+    (r,) = template_words(spark.createDataFrame([(text,)], "text string"), "text", "w").collect()
+    assert [w[1:] for w in r.w if w[0] == "\x03"] == ["kg", "km", "miles", "g"]
+    assert r.w_k[:4] == ["at", "\x01", "\x03", "and"]
+
+
 def test_hostile_texts_take_seconds(spark):
     """A megabyte of each pattern's worst case, and of text without blanks."""
     worst = ["-eyJ" * 250_000, "eyJaaaaaaaa." * 90_000, ".eyJaaaaaaaa" * 90_000, "token " * 170_000, "token" + " " * 10**6, "-----BEGIN PRIVATE KEY-----" * 40_000, "://a" * 250_000, "://a:" + "b" * 10**6, "sk-" * 330_000, "xoxb-" * 200_000, "AKIA" * 250_000]

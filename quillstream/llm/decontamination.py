@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.windows import window_counts, window_hashes
+from quillstream.llm.staging import stage
 
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "meters", "metres", "dollars", "euros", "cents", "percent", "degrees", "km/h", "mph")
@@ -104,8 +105,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
         each.append(part.select("item_id", "item_words", "_iw", F.posexplode("_h").alias("ipos", "_ih"), F.lit(size).alias("wlen"), F.lit(False).alias("dense")))
     dense = _dense_windows(words.where(f"item_words >= {WINDOW}"), "_iw", "_w").select("item_id", "item_words", "_iw", F.explode("_w").alias("w"))
     each.append(dense.select("item_id", "item_words", "_iw", F.col("w.pos").alias("ipos"), F.col("w.h").alias("_ih"), F.col("w.len").alias("wlen"), F.lit(True).alias("dense")))
-    items = functools.reduce(DataFrame.unionByName, each).select("item_id", "item_words", "ipos", "_ih", "wlen", "dense", F.expr("slice(_iw, ipos + 1, wlen)").alias("_is"))
-    small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    # written once: its sizes, its count and the join read the same rows
+    items = stage(functools.reduce(DataFrame.unionByName, each).select("item_id", "item_words", "ipos", "_ih", "wlen", "dense", F.expr("slice(_iw, ipos + 1, wlen)").alias("_is")), "benchmark-windows")
+    small = items.count() <= BROADCAST_WINDOWS
     found = _window_keys(template_words(docs.select("doc_id", "text", F.xxhash64("text").alias("_row")), "text", "_dw"), "_dw", WINDOW, "_h")
     runs = sorted(r.wlen for r in items.where("dense and size(filter(slice(_is, 2, wlen), t -> ascii(t) > 3)) = 0").select("wlen").distinct().collect())  # no more than an item has words
     found = _dense_windows(found, "_dw", "_dense", runs)
@@ -121,13 +123,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_cover: float = LEA
     for k, n in enumerate((WINDOW, *short)):
         pos, length, left = f"{pos} when {left} < _sizes[{k}] then {left}", f"{length} when {left} < _sizes[{k}] then {n}", f"{left} - _sizes[{k}]"
     place = (f"case{pos} else get(_dense, {left}).pos end as dpos", f"case{length} else get(_dense, {left}).len end as dlen")
+    # a window's words alone go on: rows of one text are held together where Spark joins them, and must not hold the text. A
+    # generator is a step that the planner doesn't move them into
+    own = "explode(array(slice(_dw, dpos + 1, dlen))) as _ds"
     if not small:
-        found = found.selectExpr("*", *place).select("doc_id", "_row", F.expr("slice(_dw, dpos + 1, dlen)").alias("_ds"), "dpos", "_dh")
+        found = found.selectExpr("*", *place).select("doc_id", "_row", "dpos", "_dh", F.expr("slice(_dw, dpos + 1, dlen)").alias("_ds"))
     else:
         items = F.broadcast(items)
     found = found.join(items, F.col("_dh") == F.col("_ih"))
     if small:
-        found = found.selectExpr("*", *place).withColumn("_ds", F.expr("slice(_dw, dpos + 1, dlen)"))
+        found = found.selectExpr("*", *place).selectExpr("doc_id", "_row", "dpos", "item_id", "item_words", "ipos", "wlen", "dense", "_is", own)
     # a loose window's values are equal already, and take no part in the slots' consistency
     pairs = f"filter(zip_with(_is, _ds, (i, d) -> struct(i, d)), p -> ascii(p.i) < 4 and (dense or size(filter(_is, t -> ascii(t) > 3)) >= {LEAST_WORDS})) as pairs"
     hits = found.selectExpr("doc_id", "_row", "item_id", "item_words", "struct(ipos, wlen, dense) as w", "dpos - ipos as diagonal", pairs)

@@ -637,6 +637,19 @@ def test_decontamination_copies_no_words_for_each_window(spark):
     assert generators and not [x for x in generators if "lambda" in x]
 
 
+def test_long_text_with_many_windows_of_the_benchmark(spark):
+    """Rows of one text that Spark holds together after the join have a window's words, not the text's."""
+    rnd = random.Random(4)
+    some = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(5000)]
+    passage = " ".join(rnd.choices(some, k=40))
+    docs = spark.createDataFrame([(1, " ".join(rnd.choices(some, k=20_000)) + " " + passage)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, passage) for i in range(100)], "item_id bigint, text string")
+    found = contaminated(docs, bench)
+    (pairs,) = {x.strip() for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "zip_with(_is" in x}
+    assert "_dw" not in pairs
+    assert sorted((r.item_id, r.words_covered) for r in found.collect()) == [(i, 40) for i in range(100)]
+
+
 def test_texts_without_a_crowd_have_no_loose_or_dense_windows(spark):
     rnd = random.Random(3)
     some = ["word", "other", "naïve", "Maria", "Paul", "12", "7 kg", "3.5", "x2", "4th", "中文", "-", ", ", "\n", "İA", "5,000 miles"]

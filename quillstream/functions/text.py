@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def prepared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, line): lines with single spaces, trimmed, without blank ones, numbered from 0."""
+def tidy_lines(text: Column) -> Column:
+    """Lines with single spaces, trimmed, without blank ones."""
     tidy = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
-    return docs.select(key, F.posexplode(F.filter(tidy, lambda x: x != "")).alias("line_no", "line"))
+    return F.filter(tidy, lambda x: x != "")
+
+
+def prepared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, line): ``tidy_lines``, numbered from 0."""
+    return docs.select(key, F.posexplode(tidy_lines(F.col(text))).alias("line_no", "line"))
 
 
 def redacted(text: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +18,26 @@ from quillstream.sources.shared import sized, written
 ACCEPT, GROUNDED = 0.65, 0.70
 #: Characters that are counted one by one for the bound of a likeness; the others count together.
 COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Texts of these characters alone, with single spaces, need no more than lower case. Each is named: a range takes longer to test.
+_PLAIN = "^[ " + "".join(c if c.isalnum() else "\\" + c for c in map(chr, range(0x21, 0x7F)) if c != "*") + "]+\\z"
+#: Words that count for a share.
+WORD = re.compile("[a-zA-Z0-9]{3,}")
 #: Words by whose hash a quote is looked up.
 LEAD = 5
 
 
-def exact_score(quote: Column, value: Column, block: Column) -> Column:
-    """1.0, 0.98, 0.95 or 0.92 by the way in which the block holds the quote or the value; null if it doesn't."""
-    some = lambda x, n: F.length(x) >= n
-    begins = lambda x: F.trim(F.left(x, F.lit(35)))
-    return F.when(some(block, 1), (
-        F.when(some(quote, 1) & (block.contains(quote) | (some(block, 15) & quote.contains(block))), 1.0)
-        .when(some(quote, 20) & block.contains(begins(quote)), 0.98)
-        .when(some(value, 2) & (block.contains(value) | (some(block, 15) & value.contains(block))), 0.95)
-        .when(some(value, 25) & block.contains(begins(value)), 0.92)
-    ))
+def exact_score(value: Column, block: Column) -> Column:
+    """1.0, 0.98, 0.95 or 0.92 by the way in which a block's form holds the quote or the value of a ``_value``; null if it doesn't.
+
+    What is too short to count is null there, and so never held.
+    """
+    held = lambda c: block.contains(value[c]) | (value[c + "_long"].contains(block) & (F.length(block) >= 15))
+    return F.when(held("quote"), 1.0).when(block.contains(value["quote_begins"]), 0.98).when(held("value"), 0.95).when(block.contains(value["value_begins"]), 0.92)
 
 
 def _form(text: Column) -> Column:
-    return grounding_form(F.translate(text, "*�−", "  -"))
+    plain = F.rlike(text, F.lit(_PLAIN)) & ~F.contains(text, F.lit("  ")) & ~F.startswith(text, F.lit(" ")) & ~F.endswith(text, F.lit(" "))
+    return F.when(plain, F.lower(text)).otherwise(grounding_form(F.translate(text, "*�−", "  -")))
 
 
 def _counts(text: Column) -> Column:
@@ -78,55 +82,160 @@ def ground(values: DataFrame, blocks: DataFrame, fuzzy: bool = True, parts: int
     by the ratio of common runs where its bound (as in ``candidate_pairs``) allows that to decide; the first best from 0.65
     on counts, and 0.70 grounds it. A document's blocks are one row, which meets its values once, in ``parts`` tasks.
     """
-    b = blocks.select("doc_id", F.struct(F.col("page").alias("_page"), "pos", "block_id", _form(F.col("text")).alias("_b"), "x0", "y0", "x1", "y1").alias("b"))
-    v = values.withColumn("_q", F.coalesce(_form(F.col("quote")), F.lit(""))).withColumn("_v", F.coalesce(_form(F.col("value")), F.lit("")))
+    b = blocks.select("doc_id", _block(F.col).alias("b"))
+    v = values.withColumn("_vs", F.array(_value(F.col)))
     if parts:
         b, v = b.repartition(parts, "doc_id"), v.repartition(parts, "doc_id")
     docs = b.groupBy("doc_id").agg(F.collect_list("b").alias("_bs"))
-    rows = v.join(docs.hint("merge"), "doc_id", "left")
-    place = lambda b: F.struct((b["_page"] != F.coalesce(F.col("page"), F.lit(1))).alias("far"), b["_page"].alias("_page"), b["pos"].alias("pos"))
-    hit = lambda b, score: F.struct(place(b).alias("place"), b["block_id"].alias("block_id"), score.alias("score"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
-    exact = F.filter(F.transform("_bs", lambda b: hit(b, exact_score(F.col("_q"), F.col("_v"), b["_b"]))), lambda h: h["score"].isNotNull())
-    rows = rows.withColumn("_h", F.array_min(exact))
-    kept = [*values.columns, "_h"]
-    if fuzzy:
-        target = F.when(F.col("_h").isNull(), F.when(F.col("_q") != "", F.col("_q")).otherwise(F.col("_v")))
-        rows = rows.select(*kept, target.alias("_t"), F.when(F.col("_h").isNull(), F.filter("_bs", lambda b: b["_b"] != "")).alias("_bs"))
-        rows = rows.withColumn("_words", _target_words(F.col("_t")))
-        rows = rows.withColumn("_overlaps", F.transform("_bs", lambda b: _overlap(F.col("_words"), b["_b"])))
-        rows = rows.withColumn("_least", F.greatest(F.lit(ACCEPT), F.array_max("_overlaps")))
-        # lengths bound a ratio too; what passes them is bounded by its letters beside the ratio
-        by_length = lambda t, b: 2 * F.least(F.length(t), F.length(b)) / (F.length(t) + F.length(b))
-        likely = lambda t, b: (F.length(t) <= 3 * F.length(b)) & (by_length(t, b) >= F.col("_least"))
-        # a block that isn't likely passes no text to Python
-        asked = F.transform("_bs", lambda b: F.when((F.col("_t") != "") & likely(F.col("_t"), b["_b"]), b["_b"]).otherwise(""))
-        # a step of its own, as no Python function may take or stand in what looks into an array
-        passed = F.struct(F.coalesce("_t", F.lit("")).alias("t"), F.coalesce(asked, F.array().cast("array<string>")).alias("bs"), "_least")
-        rows = rows.select(*kept, "_t", "_bs", "_overlaps", F.explode(F.array(passed)).alias("_p")).withColumn("_ratios", F.explode(F.array(_ratio()("_p.t", "_p.bs", "_p._least"))))
-        scores = F.zip_with("_overlaps", "_ratios", lambda x, y: F.greatest(x, y))
-        each = F.zip_with("_bs", scores, lambda b, s: F.struct((-s).alias("less"), hit(b, s).alias("h")))
-        best = F.array_min(F.filter(each, lambda m: m["h"]["score"] >= ACCEPT))
-        rows = rows.select(*values.columns, F.coalesce("_h", F.when(F.col("_t") != "", best)["h"]).alias("_h"))
-    out = rows.select(*values.columns, "_h.block_id", "_h.score", *[f"_h.{c}" for c in ("x0", "y0", "x1", "y1")])
+    rows = _hits(v.join(docs.hint("merge"), "doc_id", "left"), fuzzy)
+    return _told(rows.select(*values.columns, F.get("_hs", F.lit(0)).alias("_h")))
+
+
+def ground_in_rows(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """The same as ``ground`` for documents that bring their values and blocks along, without a shuffle.
+
+    ``docs``: keys, ``values`` (array of field, value, quote, page and more) and ``blocks`` (array of block_id, page, pos, text,
+    x0, y0, x1, y1). A row for each value: the keys, the value's columns and what ``ground`` adds.
+    """
+    keys = [c for c in docs.columns if c not in ("values", "blocks")]
+    names = docs.schema["values"].dataType.elementType.names
+    rows = docs.select(*keys, "values", F.transform("values", lambda v: _value(lambda c: v[c])).alias("_vs"), F.transform("blocks", lambda b: _block(lambda c: b[c])).alias("_bs"))
+    rows = _hits(rows, fuzzy).select(*keys, F.zip_with("values", "_hs", lambda v, h: F.struct(v.alias("v"), h.alias("h"))).alias("_x"))
+    # not explode: for it the planner makes all of this once more, to tell documents without values
+    return _told(rows.select(*keys, F.explode_outer("_x").alias("_x")).where("_x is not null").select(*keys, *[F.col("_x.v")[c].alias(c) for c in names], F.col("_x.h").alias("_h")))
+
+
+def _block(of) -> Column:
+    """In the order in which blocks are looked at."""
+    return F.struct(of("page").alias("_page"), of("pos").alias("pos"), of("block_id").alias("block_id"), *[of(c).alias(c) for c in ("x0", "y0", "x1", "y1")], _form(of("text")).alias("_b"))
+
+
+def _value(of) -> Column:
+    return F.struct(F.coalesce(_form(of("quote")), F.lit("")).alias("_q"), F.coalesce(_form(of("value")), F.lit("")).alias("_v"), of("page").alias("page"))
+
+
+def _sought(v: Column) -> Column:
+    """A ``_value`` with what ``exact_score`` looks for, made once for all blocks."""
+    long = lambda x: F.when(F.length(x) >= 15, x)
+    begins = lambda x, least: F.when(F.length(x) >= least, F.trim(F.left(x, F.lit(35))))
+    q, x = v["_q"], v["_v"]
+    return F.struct(q.alias("_q"), x.alias("_v"), v["page"].alias("page"), F.when(q != "", q).alias("quote"), long(q).alias("quote_long"), begins(q, 20).alias("quote_begins"), F.when(F.length(x) >= 2, x).alias("value"), long(x).alias("value_long"), begins(x, 25).alias("value_begins"))
+
+
+def _hits(rows: DataFrame, fuzzy: bool) -> DataFrame:
+    """``rows`` with ``_hs``: for each of ``_vs`` (``_value``) the best of ``_bs`` (``_block``), null where none counts."""
+    rows = rows.withColumn("_bs", F.array_sort(F.filter("_bs", lambda b: b["_b"] != ""))).withColumn("_vs", F.transform("_vs", _sought))
+    place = lambda v, b: F.struct((b["_page"] != F.coalesce(v["page"], F.lit(1))).alias("far"), b["_page"].alias("_page"), b["pos"].alias("pos"))
+    hit = lambda v, b, score: F.struct(place(v, b).alias("place"), b["block_id"].alias("block_id"), score.alias("score"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+    # array_min passes over nulls, so that only hits are built
+    exact = lambda v: F.array_min(F.zip_with("_bs", F.transform("_bs", lambda b: exact_score(v, b["_b"])), lambda b, s: F.when(s.isNotNull(), hit(v, b, s))))
+    rows = rows.withColumn("_hs", F.transform("_vs", exact))
+    if not fuzzy:
+        return rows
+    kept = rows.columns
+    target = lambda v, h: F.when(h.isNull(), F.when(v["_q"] != "", v["_q"]).otherwise(v["_v"]))
+    # a step of its own, as no Python function may take or stand in what looks into an array
+    passed = F.struct(F.zip_with("_vs", "_hs", target).alias("ts"), F.transform("_vs", lambda v: F.coalesce(v["page"], F.lit(1)).cast("long")).alias("pages"), F.transform("_bs", lambda b: b["_b"]).alias("bs"), F.transform("_bs", lambda b: b["_page"].cast("long")).alias("on"))
+    rows = rows.select(*kept, F.explode(F.array(passed)).alias("_p")).withColumn("_ls", F.explode(F.array(_likest()("_p.ts", "_p.pages", "_p.bs", "_p.on"))))
+    like = lambda v, l: F.when(l["at"] >= 0, hit(v, F.get("_bs", l["at"]), l["score"]))  # noqa: E731, E741
+    return rows.withColumn("_hs", F.transform("_vs", lambda v, i: F.coalesce(F.get("_hs", i), like(v, F.get("_ls", i)))))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """block_id, match_score, grounded and bbox in place of ``_h``."""
+    columns = rows.columns[:-1]
+    out = rows.select(*columns, "_h.block_id", "_h.score", *[f"_h.{c}" for c in ("x0", "y0", "x1", "y1")])
     score = F.round(F.coalesce(F.col("score"), F.lit(0.0)), 2)
     sure = F.coalesce(F.col("score") >= GROUNDED, F.lit(False))
     box = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")])
-    return out.select(*values.columns, "block_id", score.alias("match_score"), sure.alias("grounded"), F.when(sure, box).otherwise(F.array(*[F.lit(0.0)] * 4)).alias("bbox"))
+    return out.select(*columns, "block_id", score.alias("match_score"), sure.alias("grounded"), F.when(sure, box).otherwise(F.array(*[F.lit(0.0)] * 4)).alias("bbox"))
+
+
+def _likest():
+    """For each row's targets the place of the first likest of its blocks, -1 where none reaches ACCEPT, and its score.
+
+    The score is the share of the target's words that the block holds, or the ratio where that is greater. A ratio is asked for only
+    where bounds by lengths and by letters let it reach ACCEPT and the target's best share.
+    """
+
+    def common(a: str, b: str) -> int:
+        """Characters in the common runs that SequenceMatcher finds: the longest, first in a, then in b, and so on before and after it."""
+        total, todo = 0, [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            most = at = i = 0
+            while i + most < len(a):
+                while i + most < len(a) and a[i : i + most + 1] in b:
+                    most, at = most + 1, i
+                i += 1
+            if most:
+                j = b.find(a[at : at + most])
+                total += most
+                todo += [(x, y) for x, y in ((a[:at], b[:j]), (a[at + most :], b[j + most :])) if x and y]
+        return total
+
+    def ratio(a: str, b: str) -> float:
+        # from 200 characters on SequenceMatcher passes over frequent ones
+        return difflib.SequenceMatcher(None, a, b).ratio() if len(b) >= 200 else 2.0 * common(a, b) / (len(a) + len(b))
+
+    def shares(target: str | None, blocks: list[str]) -> list[float]:
+        words = WORD.findall(target) if target else ()
+        if words:
+            whole = "\n".join(blocks)
+            known = [w for w in words if w in whole]
+            if len(known) >= ACCEPT * len(words):  # else no block holds enough
+                return [sum([w in x for w in known]) / len(words) for x in blocks]
+        return [0.0] * len(blocks)
+
+    kinds = np.full(128, len(COUNTED), np.int64)
+    kinds[[ord(c) for c in COUNTED]] = np.arange(len(COUNTED))
 
+    def letters(texts: list[str]) -> np.ndarray:
+        """How often each of COUNTED is in a text, and how many other characters."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(COUNTED) + 1
+        return np.bincount(np.repeat(np.arange(len(texts)) * n, [len(t) for t in texts]) + kinds[np.minimum(codes, 127)], minlength=len(texts) * n).reshape(-1, n).astype(np.int32)
 
-def _ratio():
-    def one(target: str, block: str, least: float) -> float:
-        if not target or not block:
-            return 0.0
-        common = sum(min(target.count(c), block.count(c)) for c in set(target))
-        return difflib.SequenceMatcher(None, target, block).ratio() if 2.0 * common / (len(target) + len(block)) >= least else 0.0
+    def runs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a row's elements begin among all, and their number."""
+        n = np.array(lists.value_lengths().fill_null(0), np.int64)
+        return np.concatenate(([0], np.cumsum(n))), n
 
-    @F.pandas_udf("array<double>")
-    def ratio(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for target, blocks, least in parts:
-            yield pd.Series([[one(t, b, x) for b in bs] for t, bs, x in zip(target, blocks, least, strict=True)], dtype=object)
+    @F.arrow_udf("array<struct<at:int,score:double>>")
+    def likest(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for targets, pages, blocks, on in parts:
+            t, b = (x.flatten().to_numpy(zero_copy_only=False).tolist() for x in (targets, blocks))
+            (first_t, n_t), (first_b, n_b) = runs(targets), runs(blocks)
+            t_size, b_size = np.array([len(x or "") for x in t], np.int64), np.array([len(x) for x in b], np.int64)
+            row = np.repeat(np.arange(len(n_t)), n_t)  # of a target
+            first = np.concatenate(([0], np.cumsum(n_b[row])))  # its first pair
+            page, of_page, no_page = np.array(pages.flatten(), np.int64), np.array(on.flatten().fill_null(0), np.int64), np.array(on.flatten().is_null(), bool)
+            at, score, k, starts = np.full(len(t), -1, np.int32), np.zeros(len(t)), 0, first_b.tolist()
+            while k < len(t):  # so many targets at a time that their pairs are few
+                end = max(k + 1, int(np.searchsorted(first, first[k] + (1 << 16), "right")) - 1)
+                one = np.repeat(np.arange(k, end), n_b[row[k:end]])
+                other = np.arange(first[k], first[end]) - first[one] + first_b[row[one]]
+                scores = np.array([s for v, d in enumerate(row[k:end].tolist(), k) for s in shares(t[v], b[starts[d] : starts[d + 1]])], np.float64)
+                least = np.full(end - k, ACCEPT)
+                np.maximum.at(least, one - k, scores)
+                x, y, z = t_size[one], b_size[other], least[one - k]
+                asked = np.flatnonzero((x > 0) & (x <= 3 * y) & (2 * np.minimum(x, y) / np.maximum(x + y, 1) >= z))
+                for likely in np.array_split(asked, len(asked) // 4096 + 1):
+                    if len(likely):
+                        (ts, i), (bs, j) = (np.unique(of[likely], return_inverse=True) for of in (one, other))
+                        same = np.minimum(letters([t[v] for v in ts])[i], letters([b[v] for v in bs])[j]).sum(1)
+                        for p in likely[2.0 * same / (x + y)[likely] >= z[likely]]:
+                            scores[p] = max(scores[p], ratio(t[one[p]], b[other[p]]))
+                good = np.flatnonzero(scores >= ACCEPT)
+                far = np.where(no_page[other[good]], 0, np.where(of_page[other[good]] == page[one[good]], 1, 2))
+                # of each target the greatest score first, near before far, then by place
+                good = good[np.lexsort((other[good], far, -scores[good], one[good]))]
+                lead, i = np.unique(one[good], return_index=True)
+                at[lead], score[lead] = other[good[i]] - first_b[row[lead]], scores[good[i]]
+                k = end
+            yield pa.ListArray.from_arrays(first_t.astype(np.int32), pa.StructArray.from_arrays([pa.array(at), pa.array(score)], ["at", "score"]))
 
-    return ratio
+    return likest
 
 
 def passages(quotes: DataFrame, docs: DataFrame) -> DataFrame:

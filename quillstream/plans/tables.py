@@ -25,9 +25,9 @@ def western(amount):
     return F.format_number(amount.cast("decimal(18,2)"), 2)
 
 
-def rendered_invoices(spark: SparkSession, sf_dir: str, series: str = "INV-24-") -> DataFrame:
+def rendered_invoices(spark: SparkSession, sf_dir: str, series: str = "INV-24-", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text: each order as an invoice. Every tenth has no vendor line, every seventh a total of 0;
-    ``series`` begins its number."""
+    ``series`` begins its number, and columns of the order named in ``keep`` follow."""
     k = F.col("o_orderkey")
     vendor = F.concat(F.lit("Vendor: Acme Works "), k.cast("string"), F.lit(" Ltd"))
     total = F.when(k % 7 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("o_totalprice").cast("decimal(18,2)"))
@@ -41,7 +41,7 @@ def rendered_invoices(spark: SparkSession, sf_dir: str, series: str = "INV-24-")
         F.concat(F.lit("Subtotal: $"), western(total - 1)),
         F.concat(F.lit("Grand Total: $"), western(total)),
     ))
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"), *keep)
 
 
 def rendered_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillstream.catalog import QUERIES
 from quillstream.operators import grounding
 
 VALUES = "doc_id long, field string, value string, quote string, page int"
@@ -85,6 +86,52 @@ def test_few_pairs_reach_the_ratio(spark):
     assert len(likely) < 0.5 * len(pairs)
 
 
+def grouped(spark, values, blocks):
+    """A row for each document: its values and its blocks."""
+    v = spark.createDataFrame(values, VALUES).groupBy("doc_id").agg(F.collect_list(F.struct("field", "value", "quote", "page")).alias("values"))
+    b = spark.createDataFrame(blocks, BLOCKS).groupBy("doc_id").agg(F.collect_list(F.struct("block_id", "page", "pos", "text", "x0", "y0", "x1", "y1")).alias("blocks"))
+    return v.join(b, "doc_id", "left")
+
+
+def test_ground_in_rows_by_force(spark):
+    """Runs of few letters, as they are found one after the other, blocks from 200 characters on, and documents without blocks or values."""
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choices("aab Bé😀", k=n))
+    blocks, values = [], []
+    for d in range(60):
+        blocks += [(d, f"b{p}-{k}", p, k, text(rnd.choice([0, 3, 9, 20, 205])), 1.0, 2.0, 3.0, 4.0) for p in (1, 2) for k in range(5)]
+        for f in range(6):
+            t = list(rnd.choice(blocks[-10:])[4] or "ab")
+            for _ in range(rnd.randint(0, 1 + len(t) // 4)):
+                t.insert(rnd.randrange(len(t) + 1), rnd.choice("abz1é"))
+            values.append((d, f"f{f}", None, "".join(t), rnd.choice([None, 1, 2])))
+    values.append((99, "alone", "some value", "", 1))
+    got = grounding.ground_in_rows(grouped(spark, values, blocks))
+    want = {(d, f): by_force(v, q, p, [b for b in blocks if b[0] == d]) for d, f, v, q, p in values}
+    assert {(r.doc_id, r.field): (r.block_id, r.match_score, r.grounded) for r in got.collect()} == want
+    assert sum(0.65 <= s < 0.92 for _, s, _ in want.values()) > 50
+    schema = "doc_id long, values array<struct<field: string, value: string, quote: string, page: int>>, blocks array<struct<block_id: string, page: int, pos: int, text: string, x0: double, y0: double, x1: double, y1: double>>"
+    for row in ((1, [], []), (1, None, None)):
+        assert grounding.ground_in_rows(spark.createDataFrame([row], schema)).count() == 0
+
+
+def test_orders_meet_their_lines_without_join_or_shuffle(spark):
+    for name in ("ground_likeness", "ground_values"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        assert [x for x in plan.splitlines() if "Exchange" in x and "REPARTITION_BY_NUM" not in x] == []
+
+
+def test_form_of_odd_texts(spark):
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choices("aB1-*  •“”–−\ufffd\t\n\u00a0é.$~_", k=rnd.randint(0, 8))) for _ in range(3000)] + ["", " ", "a\n", "Plain text.", "two  spaces", " lead", "trail ", "!\"#$%&'()+,-./:;<=>?@[\\]^_`{|}~ x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t").rlike(r"^[\x20-\x7e]*$")
+    known = grounding.grounding_form(F.translate("t", "*\ufffd−", "  -"))
+    got = rows.select("t", plain.alias("plain"), grounding._form(F.col("t")).alias("form"), known.alias("known")).collect()
+    assert all(r.form == r.known for r in got) and sum(r.plain for r in got) > 20
+
+
 def test_passages(spark):
     quotes = spark.createDataFrame([(1, "one two three four five six"), (2, "nine"), (3, ""), (4, "two three"), (5, "six")], "item_id int, quote string")
     docs = spark.createDataFrame([(1, "zero One two, three\nNINE nines"), (2, "x one two three four five six y"), (3, None), (4, ""), (5, "one two three four five sixty")], "doc_id long, text string")
